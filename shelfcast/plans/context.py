@@ -1,50 +1,96 @@
-"""Shared lazy plans for one (session, table folder).
+"""Shared plans for one (session, table folder).
 
-Every query builds from these.  Nothing is cached or collected here: each
-property is a lazy DataFrame, so Catalyst sees (and prunes) the whole plan of
-whichever query uses it.
+The reference runs as separate steps joined by files (preprocessed panel ->
+feature table -> prediction table).  The same boundaries exist here as
+Parquet tables written under the shared ``spark.checkpoint.dir``:
+
+- ``joined``: the star-joined panel, pre-release rows included (partitioned
+  by store, so a store filter prunes files)
+- ``features``: the feature table over the pre-release-dropped panel
+- ``quantity_preds`` / ``occurrence_probs``: long prediction tables
+
+Each is computed once per application and folder, cuts lineage (a lost
+executor re-reads the files instead of recomputing from the raw scans), and
+is shared by every report.  Queries still run their own operator on top of
+these tables; queries about the panel build itself run from the raw tables.
 """
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
 from shelfcast.operators import panel as P
+from shelfcast.session import materialize
 from shelfcast.sources import standin as S
+from shelfcast.sources.tables import table_path
+
+_TABLES: dict = {}
+
+
+def _stamp(sf_dir: str) -> tuple:
+    """Modification times of the inputs, so a rewritten table is not reused."""
+    out = []
+    for t in ("lineitem", "part", "supplier", "nation", "region"):
+        try:
+            out.append(os.path.getmtime(table_path(sf_dir, t)))
+        except OSError:
+            out.append(None)
+    return tuple(out)
 
 
 class RetailContext:
-    def __init__(self, spark: SparkSession, sf_dir: str, horizon: int = P.HORIZON):
+    def __init__(self, spark: SparkSession, sf_dir: str, horizon: int = P.HORIZON,
+                 persist: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.horizon = horizon
+        self.persist = persist
+
+    def _table(self, name: str, build, partition_by=None) -> DataFrame:
+        if not self.persist:
+            return build()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, _stamp(self.sf_dir), name)
+        if key not in _TABLES:
+            _TABLES[key] = materialize(build(), name, partition_by)
+        return _TABLES[key]
 
     # ---------------------------------------------------------- inputs
     @cached_property
     def calendar(self) -> DataFrame:
         return S.calendar(self.spark, self.sf_dir)
 
-    @cached_property
-    def sales_long(self) -> DataFrame:
-        return S.sales_long(self.spark, self.sf_dir)
-
     @cached_property
     def prices(self) -> DataFrame:
         return S.sell_prices(self.spark, self.sf_dir)
 
     @cached_property
-    def train_end(self):
-        return P.train_end_of(self.calendar, self.horizon)
+    def n_days(self) -> int:
+        return S.n_days(self.spark, self.sf_dir)
+
+    @cached_property
+    def train_end(self) -> int:
+        """Last training day ``T = max(d_int) - horizon``."""
+        return self.n_days - self.horizon
+
+    @cached_property
+    def sales_wide(self) -> DataFrame:
+        """The wide sales input (a file in the reference), written once."""
+        return self._table("sales_wide", lambda: S.sales_wide(self.spark, self.sf_dir))
 
     # ----------------------------------------------------------- panel
     @cached_property
     def joined(self) -> DataFrame:
-        return P.star_join(self.sales_long, self.calendar, self.prices)
+        return self._table("joined", lambda: P.star_join(
+            S.sales_long(self.spark, self.sf_dir), self.calendar, self.prices), ["store_id"])
+
+    @cached_property
+    def sales_long(self) -> DataFrame:
+        return self.joined.select(*S.ID_COLS, "d", "sales")
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -53,12 +99,14 @@ class RetailContext:
 
     @cached_property
     def features(self) -> DataFrame:
-        return FT.build_features(self.panel, self.train_end)
+        return self._table("features", lambda: FT.build_features(self.panel, self.train_end),
+                           ["store_id"])
 
     # ------------------------------------------------------ forecasts
     @cached_property
     def quantity_preds(self) -> DataFrame:
-        return E.quantity_candidates(self.features, self.train_end, self.horizon)
+        return self._table("quantity_preds", lambda: E.quantity_candidates(
+            self.features, self.train_end, self.horizon))
 
     @cached_property
     def model_rmse(self) -> DataFrame:
@@ -76,7 +124,8 @@ class RetailContext:
 
     @cached_property
     def occurrence_probs(self) -> DataFrame:
-        return E.occurrence_candidates(self.features, self.train_end, self.horizon)
+        return self._table("occurrence_probs", lambda: E.occurrence_candidates(
+            self.features, self.train_end, self.horizon))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -91,10 +140,5 @@ class RetailContext:
         return E.best_threshold(self.sweep)
 
 
-def ctx(spark: SparkSession, sf_dir: str) -> RetailContext:
-    return RetailContext(spark, sf_dir)
-
-
-def first_series_id(c: RetailContext):
-    """The overlay's series: the smallest id (a scalar subquery)."""
-    return c.sales_long.select(F.min("id")).scalar()
+def ctx(spark: SparkSession, sf_dir: str, persist: bool = True) -> RetailContext:
+    return RetailContext(spark, sf_dir, persist=persist)

@@ -45,18 +45,23 @@ def r6(c, name: str | None = None):
 # ------------------------------------------------------------ reshape / panel
 
 
+def _raw_joined(spark, sf):
+    """The star join computed from the raw tables (not the materialized panel)."""
+    c = ctx(spark, sf)
+    return P.star_join(S.sales_long(spark, sf), c.calendar, c.prices)
+
+
 @query
 def unpivot_sales(spark, sf):
     """RSH1/PRJ2: melt the wide sales table (d_* columns) into the long panel."""
-    wide = S.sales_wide(spark, sf)
-    return R.unpivot_wide(wide, S.ID_COLS)
+    return R.unpivot_wide(ctx(spark, sf).sales_wide, S.ID_COLS)
 
 
 @query
 def daily_total_sales(spark, sf):
     """RSH3/AGG1: daily totals of the wide table's day columns, with dates."""
     c = ctx(spark, sf)
-    totals = R.column_totals(S.sales_wide(spark, sf))
+    totals = R.column_totals(c.sales_wide)
     return totals.join(F.broadcast(c.calendar.select("d", "date")), "d", "left")
 
 
@@ -71,20 +76,20 @@ def dense_panel(spark, sf):
 @query
 def star_join(spark, sf):
     """JON1/JON2: panel x calendar (inner on d) x prices (left on 3 keys)."""
-    return ctx(spark, sf).joined.withColumn("sell_price", r6("sell_price"))
+    return _raw_joined(spark, sf).withColumn("sell_price", r6("sell_price"))
 
 
 @query
 def drop_prerelease(spark, sf):
     """FLT4: the panel without rows before an item's first price."""
-    c = ctx(spark, sf)
-    return P.drop_prerelease(c.joined).select(*S.ID_COLS, "d", "sales", "wm_yr_wk", r6("sell_price"))
+    return P.drop_prerelease(_raw_joined(spark, sf)).select(
+        *S.ID_COLS, "d", "sales", "wm_yr_wk", r6("sell_price"))
 
 
 @query
 def prerelease_counts(spark, sf):
     """FLT4 report: rows before / after / removed."""
-    return P.prerelease_counts(ctx(spark, sf).joined)
+    return P.prerelease_counts(_raw_joined(spark, sf))
 
 
 @query
