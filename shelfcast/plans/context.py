@@ -79,8 +79,8 @@ class RetailContext:
 
     @cached_property
     def sales_wide(self) -> DataFrame:
-        """The wide sales input (a file in the reference), written once."""
-        return self._table("sales_wide", lambda: S.sales_wide(self.spark, self.sf_dir))
+        """The wide sales input (a file in the reference), pivoted from the panel."""
+        return S.sales_wide(self.spark, self.sf_dir, self.sales_long)
 
     # ----------------------------------------------------------- panel
     @cached_property

@@ -159,9 +159,16 @@ def sales_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_series_id(grid).select(*ID_COLS, day_label(d_int).alias("d"), "sales")
 
 
-def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide sales: one row per series, one ``d_N`` column per day."""
-    return pivot_days(sales_long(spark, sf_dir), ID_COLS, n_days(spark, sf_dir))
+def sales_wide(spark: SparkSession, sf_dir: str, long: DataFrame | None = None) -> DataFrame:
+    """Wide sales: one row per series, one ``d_N`` column per day.
+
+    The trailing repartition (one row per series) is a plan barrier: without
+    it Catalyst folds a later melt's thousands of struct fields into this
+    projection, producing an expression too large to compile.
+    """
+    long = long if long is not None else sales_long(spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pivot_days(long, ID_COLS, n_days(spark, sf_dir)).repartition(n, "id")
 
 
 def sell_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
