@@ -1,7 +1,124 @@
-"""MLlib model queries (rows-only checks: no SQL twin)."""
+"""MLlib model queries (rows-only checks: model fits have no SQL twin).
+
+Each fits on the training days of the shared feature table (all stores in one
+distributed fit, store code as a feature) and returns a long prediction table
+over the validation days.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfcast.operators import features as FT
+from shelfcast.operators import metrics as M
+from shelfcast.operators import models as MD
+from shelfcast.operators import sequences as SQ
+from shelfcast.operators.ensemble import validation_rows
+from shelfcast.plans.context import ctx
+
+REGISTRY: dict = {}
+
+# The sequence model reads a short list of per-day inputs.
+SEQ_FEATURES = ["sales", "sell_price", "snap_CA", "days_to_event"]
+
+
+def query(fn):
+    REGISTRY[fn.__name__] = fn
+    return fn
+
+
+def _coded(spark: SparkSession, sf: str):
+    c = ctx(spark, sf)
+    f = FT.category_codes(c.features, ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"])
+    f = MD.with_store_code(f)
+    # keep the original store id for grouping next to its code
+    train = f.where(F.col("d_int") <= c.train_end)
+    val = validation_rows(f, c.train_end, c.horizon)
+    return c, train, val
+
+
+def _weights(train: DataFrame) -> DataFrame:
+    return M.balanced_weights(train.withColumn("label", (F.col("sales") > 0).cast("int")))
+
+
+@query
+def gbt_forecast(spark, sf):
+    """MOD2: boosted regression on log1p(sales), squared loss, all features."""
+    _, tr, va = _coded(spark, sf)
+    return MD.gbt_quantity(tr, va, MD.ModelConfig("squared_error", "all", 42))
+
+
+@query
+def gbt_forecast_absolute(spark, sf):
+    """MOD2: boosted regression on log1p(sales), absolute loss, no lag features."""
+    _, tr, va = _coded(spark, sf)
+    return MD.gbt_quantity(tr, va, MD.ModelConfig("absolute_error", "no_lags", 7))
+
+
+@query
+def poisson_forecast(spark, sf):
+    """MOD3: Poisson GLM (log link) on raw sales."""
+    _, tr, va = _coded(spark, sf)
+    return MD.gbt_quantity(tr, va, MD.ModelConfig("poisson", "all", 99))
+
+
+@query
+def hurdle_forecast(spark, sf):
+    """MOD4: P(sales > 0) from a boosted classifier x regression fitted on positive rows."""
+    _, tr, va = _coded(spark, sf)
+    return MD.gbt_quantity(tr, va, MD.ModelConfig("squared_error", "all", 2, is_hurdle=True))
+
+
+@query
+def gbt_occurrence(spark, sf):
+    """MOD5: class-weighted boosted classifier with a 10 % early-stopping holdout."""
+    _, tr, va = _coded(spark, sf)
+    return MD.occurrence_model(tr, va, "gbt", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
+
+
+@query
+def rf_occurrence(spark, sf):
+    """MOD6: class-weighted random forest, 30 trees of depth 10."""
+    _, tr, va = _coded(spark, sf)
+    return MD.occurrence_model(tr, va, "rf", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
+
+
+@query
+def lr_occurrence(spark, sf):
+    """MOD7: class-weighted L2 logistic regression on per-store standardised features."""
+    _, tr, va = _coded(spark, sf)
+    return MD.occurrence_model(tr, va, "lr", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
+
+
+@query
+def seq_occurrence(spark, sf):
+    """MOD8 (re-aimed): classifier over flattened 28-day windows (WIN8 + FLT2)."""
+    c = ctx(spark, sf)
+    cols = ["id", "d", "d_int", "store_id"] + SEQ_FEATURES
+    src = c.features.select(*cols).fillna(0, subset=SEQ_FEATURES)
+    t = c.train_end
+    tr_rows = src.where((F.col("d_int") >= t + 1 - 365) & (F.col("d_int") <= t))
+    va_rows = src.where((F.col("d_int") >= t + 1 - 27) & (F.col("d_int") <= t + c.horizon))
+
+    def seqs(rows):
+        s = SQ.flatten_sequence(SQ.sequence_windows(rows, SEQ_FEATURES), SEQ_FEATURES)
+        keys = rows.select("id", "d_int", "d", "store_id", "sales")
+        return s.select("id", "d_int", "seq_flat").join(keys, ["id", "d_int"])
+
+    return MD.sequence_model(seqs(tr_rows), seqs(va_rows), len(SEQ_FEATURES))
+
+
+@query
+def occurrence_ensemble(spark, sf):
+    """MOD10 + ENS2: tree and linear model probabilities power-averaged by key."""
+    _, tr, va = _coded(spark, sf)
+    from shelfcast.operators.ensemble import power_mean
+    w = _weights(tr)
+    probs = (MD.occurrence_model(tr, va, "rf", w, seed=42, features=FT.OCCURRENCE_FEATURES)
+             .unionByName(MD.occurrence_model(tr, va, "lr", w, seed=42, features=FT.OCCURRENCE_FEATURES)))
+    return power_mean(probs)
+
 
 def queries() -> dict:
-    return {}
+    return dict(REGISTRY)
