@@ -85,10 +85,18 @@ def safety_stock_rows(forecasts: DataFrame, value_col: str = "simple_avg_pred",
 def sample_submission_template(series_ids: DataFrame) -> DataFrame:
     """Stand-in template: every id under both suffixes, validation block first.
 
-    ``row_pos`` is the template order (block, id); the window orders the
-    series list only (two rows per series).
+    ``row_pos`` is an increasing position in (block, id) order: a distributed
+    range sort, then ``monotonically_increasing_id`` (increasing across the
+    sorted partitions), so no single task numbers all rows.
     """
     ev = series_ids.select("id").distinct()
     both = (ev.select(to_validation_id("id").alias("id"), F.lit(0).alias("block"))
             .unionByName(ev.select("id", F.lit(1).alias("block"))))
-    return both.withColumn("row_pos", F.row_number().over(Window.orderBy("block", "id")))
+    return both.orderBy("block", "id").withColumn("row_pos", F.monotonically_increasing_id())
+
+
+def read_template(spark, path: str) -> DataFrame:
+    """A submission template file with its file order kept as ``row_pos``."""
+    from shelfcast.sources.files import TEMPLATE_SCHEMA, read_csv
+    return read_csv(spark, path, TEMPLATE_SCHEMA).select(
+        "id", F.monotonically_increasing_id().alias("row_pos"))
