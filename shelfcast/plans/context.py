@@ -4,6 +4,7 @@ The reference runs as separate steps joined by files (preprocessed panel ->
 feature table -> prediction table).  The same boundaries exist here as
 Parquet tables written under the shared ``spark.checkpoint.dir``:
 
+- ``daily``: per (series, day) sums of the raw line items (one raw pass)
 - ``joined``: the star-joined panel, pre-release rows included (partitioned
   by store, so a store filter prunes files)
 - ``features``: the feature table over the pre-release-dropped panel
@@ -64,9 +65,14 @@ class RetailContext:
     def calendar(self) -> DataFrame:
         return S.calendar(self.spark, self.sf_dir)
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Per (series, day) sums of the raw line items: the one raw-table pass."""
+        return self._table("daily", lambda: S.daily_lines(self.spark, self.sf_dir))
+
     @cached_property
     def prices(self) -> DataFrame:
-        return S.sell_prices(self.spark, self.sf_dir)
+        return S.sell_prices(self.spark, self.sf_dir, self.daily)
 
     @cached_property
     def n_days(self) -> int:
@@ -86,7 +92,7 @@ class RetailContext:
     @cached_property
     def joined(self) -> DataFrame:
         return self._table("joined", lambda: P.star_join(
-            S.sales_long(self.spark, self.sf_dir), self.calendar, self.prices), ["store_id"])
+            S.sales_long(self.spark, self.sf_dir, self.daily), self.calendar, self.prices), ["store_id"])
 
     @cached_property
     def sales_long(self) -> DataFrame:

@@ -130,29 +130,43 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sparse_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-zero daily sales per series: ``item_id..state_id, date, sales``.
+SERIES_ATTRS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
-    Partial (map-side) aggregation runs before the shuffle, so a brand/region
-    holding a third of all lines still shuffles one row per (series, day, task).
+
+def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (series, ship date) with a sale: ``sales`` (summed quantity),
+    ``ratio_sum`` (sum of unit prices of the lines) and ``n_lines``.
+
+    The single pass over the raw line items: sales and weekly prices both
+    derive from it.  Partial (map-side) aggregation runs before the shuffle,
+    so a brand/region holding a third of all lines still shuffles one row per
+    (series, day, task).
     """
     return (sales_lines(spark, sf_dir)
-            .groupBy("item_id", "dept_id", "cat_id", "store_id", "state_id", "date")
-            .agg(F.sum("qty").cast("int").alias("sales")))
+            .groupBy(*SERIES_ATTRS, "date")
+            .agg(F.sum("qty").cast("int").alias("sales"),
+                 F.sum(F.try_divide("ext_price", "qty")).alias("ratio_sum"),
+                 F.count("qty").alias("n_lines")))
+
+
+def sparse_sales(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """Non-zero daily sales per series: ``item_id..state_id, date, sales``."""
+    daily = daily if daily is not None else daily_lines(spark, sf_dir)
+    return daily.select(*SERIES_ATTRS, "date", "sales")
 
 
 def _with_series_id(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.concat_ws("_", "item_id", "store_id", F.lit("evaluation")))
 
 
-def sales_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_long(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Long panel ``id, item_id, dept_id, cat_id, store_id, state_id, d, sales``.
 
     Dense: every series has a row for every calendar day, 0 when nothing sold
     (what melting the reference's wide file yields).
     """
     lo, hi = date_bounds(spark, sf_dir)
-    grid = dense_grid(sparse_sales(spark, sf_dir),
+    grid = dense_grid(sparse_sales(spark, sf_dir, daily),
                       ["item_id", "dept_id", "cat_id", "store_id", "state_id"],
                       "date", lo, hi, value_cols=["sales"])
     d_int = F.datediff("date", lo) + 1
@@ -171,18 +185,19 @@ def sales_wide(spark: SparkSession, sf_dir: str, long: DataFrame | None = None)
     return pivot_days(long, ID_COLS, n_days(spark, sf_dir)).repartition(n, "id")
 
 
-def sell_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sell_prices(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
     """Weekly prices ``store_id, item_id, wm_yr_wk, sell_price``.
 
-    Mean unit price per (store, item, week); empty weeks carry the last price
+    Mean unit price of the lines per (store, item, week), from the daily
+    sums (sum of ratios / number of lines); empty weeks carry the last price
     forward; weeks before a series' first sale stay absent.  The carry-forward
     window is per series and bounded by the number of weeks.
     """
     lo, hi = date_bounds(spark, sf_dir)
     wk = F.floor(F.datediff("date", lo) / 7).cast("int")
-    weekly = (sales_lines(spark, sf_dir)
-              .groupBy("store_id", "item_id", wk.alias("wm_yr_wk"))
-              .agg(F.avg(F.try_divide("ext_price", "qty")).alias("unit_price")))
+    daily = daily if daily is not None else daily_lines(spark, sf_dir)
+    weekly = (daily.groupBy("store_id", "item_id", wk.alias("wm_yr_wk"))
+              .agg((F.sum("ratio_sum") / F.sum("n_lines")).alias("unit_price")))
     last_week = F.floor(F.datediff(hi, lo) / 7).cast("int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weeks = (weekly.groupBy("store_id", "item_id").agg(F.min("wm_yr_wk").alias("first_wk"))
