@@ -74,8 +74,9 @@ def dense_grid(sparse: DataFrame, series_cols: list[str], day_col: str,
     ``num_partitions`` tasks (a series yields exactly one row per day, so no
     task holds more than its share).  The sparse values join back on
     ``(series, day)``, a key that is unique on both sides, so no key is hot.
-    ``lo``/``hi`` default to the sparse table's own day bounds (scalar
-    subqueries, evaluated once).
+    ``lo``/``hi`` default to the sparse table's own day bounds as scalar
+    subqueries; each re-reads ``sparse``, so pass known bounds (e.g. the
+    calendar's) when ``sparse`` is expensive.
     """
     value_cols = value_cols or [c for c in sparse.columns if c not in series_cols + [day_col]]
     spark = sparse.sparkSession

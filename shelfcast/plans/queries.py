@@ -69,8 +69,9 @@ def daily_total_sales(spark, sf):
 def dense_panel(spark, sf):
     """RSH4: sparse non-zero daily sales densified over every day, 0-filled."""
     sparse = S.sparse_sales(spark, sf)
+    lo, hi = S.date_bounds(spark, sf)  # the calendar's range, read once
     return R.dense_grid(sparse, ["item_id", "dept_id", "cat_id", "store_id", "state_id"], "date",
-                        value_cols=["sales"])
+                        lo, hi, value_cols=["sales"])
 
 
 @query
