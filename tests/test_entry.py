@@ -35,3 +35,15 @@ def test_panel_is_dense_and_matches_fixture_counts(spark):
                                   "rmsse_overall", "sequence_windows_next", "unpivot_sales"])
 def test_queries_run_on_smoke_tables(spark, name):
     assert E.queries()[name](spark, SMOKE).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver tables absent")
+def test_feature_windows_share_one_series_shuffle(spark):
+    import re
+
+    from shelfcast.operators import features as FT
+    from shelfcast.plans.context import ctx
+    c = ctx(spark, SMOKE)
+    plan = FT.build_features(c.panel, c.train_end)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(id#\d+", plan)) == 1
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
