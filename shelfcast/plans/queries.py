@@ -48,7 +48,8 @@ def r6(c, name: str | None = None):
 def _raw_joined(spark, sf):
     """The star join computed from the raw tables (not the materialized panel)."""
     c = ctx(spark, sf, persist=False)
-    return P.star_join(S.sales_long(spark, sf), c.calendar, c.prices)
+    daily = S.daily_lines(spark, sf)
+    return P.star_join(S.sales_long(spark, sf, daily), c.calendar, S.sell_prices(spark, sf, daily))
 
 
 @query
