@@ -1 +1,9 @@
 """Operators of a training-data pipeline; nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that these
+# need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

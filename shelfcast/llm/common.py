@@ -25,6 +25,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """Mark a saved table for broadcast if it counts few rows; the join
+    shuffles otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def id_fold(doc_id: Column, n: int) -> Column:
     """crc32(id as text) mod n; null ids have no fold."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
@@ -44,9 +53,10 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def map_rows(df: DataFrame, cols: list[str], make: Callable, schema: str,
-             keep: list[str] | None = None) -> DataFrame:
-    """Per row, ``make(*cols) -> tuple`` for the fields of ``schema``.
+def map_batches(df: DataFrame, cols: list[str], make: Callable[..., list[tuple]], schema: str,
+                keep: list[str] | None = None) -> DataFrame:
+    """Per Arrow batch, ``make(*lists)`` gives a tuple for the fields of
+    ``schema`` per row, in order.
 
     ``keep`` columns pass through unchanged, before the new ones; new names
     must differ from kept ones.
@@ -54,26 +64,36 @@ def map_rows(df: DataFrame, cols: list[str], make: Callable, schema: str,
     keep = keep or []
     src = df.select(*[F.col(f"`{c}`") for c in keep],
                     *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(cols)])
-    kept = src.select(*keep).schema if keep else None
-    new = StructType.fromDDL(schema)
-    full = StructType((kept.fields if kept else []) + new.fields)
+    full = StructType(src.schema.fields[:len(keep)] + StructType.fromDDL(schema).fields)
     n_keep, n_cols = len(keep), len(cols)
-
     arrow = to_arrow_schema(full)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ins = [b.column(n_keep + i).to_pylist() for i in range(n_cols)]
-            rows = [make(*r) for r in zip(*ins)]
-            cols_out = list(zip(*rows)) if rows else [[] for _ in new.fields]
+            rows = make(*[b.column(n_keep + i).to_pylist() for i in range(n_cols)])
+            made = list(zip(*rows)) if rows else [[] for _ in range(len(full.fields) - n_keep)]
             arrays = [b.column(i).cast(arrow.field(i).type) for i in range(n_keep)]
-            arrays += [pa.array(c, type=arrow.field(n_keep + j).type)
-                       for j, c in enumerate(cols_out)]
+            arrays += [pa.array(c, type=arrow.field(n_keep + j).type) for j, c in enumerate(made)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return src.mapInArrow(run, full)
 
 
+def map_rows(df: DataFrame, cols: list[str], make: Callable[..., tuple], schema: str,
+             keep: list[str] | None = None) -> DataFrame:
+    """As ``map_batches``, ``make`` taking one row's values."""
+    return map_batches(df, cols, lambda *lists: [make(*r) for r in zip(*lists)], schema, keep)
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """``docs`` under names that clash with nothing, the new name of each
+    column, and the expressions that restore the old names."""
+    names = docs.columns
+    at = {c: f"__d{i}" for i, c in enumerate(names)}
+    return (docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in names]), at,
+            [F.col(at[c]).alias(c) for c in names])
+
+
 def running_totals(df: DataFrame, keys: list[str], order: list[str], fraction: str,
                    value: str, out: str, rows_per_bucket: int = 4096) -> DataFrame:
     """Exclusive running sum of ``value`` per group of ``keys`` in ``order``.

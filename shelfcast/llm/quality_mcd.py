@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import map_rows, saved
+from shelfcast.llm.common import if_small, map_rows, positional, saved
 
 SYMBOLS = frozenset(b"#*$%&|<>")
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
@@ -112,9 +112,9 @@ def _start(stats: DataFrame, groups: list[str]) -> DataFrame:
     """Centre and scale from medians and median deviations per coordinate,
     exact on a grid of 1/64, so that the buffers stay small."""
     grid = {v: F.round(F.col(v) * 64) / 64 for v in VECTOR}
-    centre = stats.groupBy(*groups).agg(
-        *[F.percentile(grid[v], 0.5).alias(f"m_{v}") for v in VECTOR])
-    spread = stats.join(centre, groups).groupBy(*groups).agg(
+    centre = saved(stats.groupBy(*groups).agg(
+        *[F.percentile(grid[v], 0.5).alias(f"m_{v}") for v in VECTOR]), "mcd-centre")
+    spread = stats.join(if_small(centre), groups).groupBy(*groups).agg(
         F.count("*").alias("n"), *[F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR],
         *[F.percentile(F.abs(grid[v] - F.col(f"m_{v}")), 0.5).alias(f"s_{v}") for v in VECTOR])
     scale = [F.greatest(1.4826 * F.col(f"s_{v}"), F.lit(FLOOR)) for v in VECTOR]
@@ -176,7 +176,7 @@ def fit(stats: DataFrame, groups: list[str], steps: int = STEPS) -> DataFrame:
     schema = ", ".join(f"{g} string" for g in groups) + ", n long, centre array<double>, inverse array<double>"
     for _ in range(steps):
         d2 = _distance()
-        bins = (stats.join(params.drop("n"), groups)
+        bins = (stats.join(if_small(params.drop("n")), groups)
                 .withColumn("bin", F.least(F.lit(MAX_BIN), F.floor(F.log1p(F.greatest(d2, F.lit(0.0)))
                                                                    * BINS_PER_E)).cast("int"))
                 .groupBy(*groups, "bin").agg(
@@ -192,11 +192,9 @@ def judged(stats: DataFrame, group_cols: list[str], min_group: int = MIN_GROUP,
     """``stats`` with base_failed, distance (squared, robust) and kept."""
     own, everyone = params or estimates(stats, group_cols)
     x = stats.withColumns(_vector()).withColumns(dict(zip(("__k0", "__k1"), _keys(group_cols))))
-    small = own.count() <= 100_000  # beyond it the join shuffles by group instead
     own = own.filter(F.col("n") >= min_group).select("__k0", "__k1", "centre", "inverse")
-    hint = F.broadcast if small else (lambda d: d)
     one = everyone.select("__k2", F.col("centre").alias("__c"), F.col("inverse").alias("__i"))  # one row
-    x = x.join(hint(own), ["__k0", "__k1"], "left")
+    x = x.join(if_small(own), ["__k0", "__k1"], "left")
     x = x.withColumn("__k2", F.lit("all")).join(F.broadcast(one), "__k2", "left")
     x = x.withColumn("centre", F.coalesce("centre", "__c")).withColumn(
         "inverse", F.coalesce("inverse", "__i"))
@@ -225,11 +223,8 @@ def quality_verdicts(docs: DataFrame, text: str = "text", group_cols: tuple[str,
 def filter_quality(docs: DataFrame, text: str = "text",
                    group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    names = docs.columns
     stats = saved(with_stats(docs, text, list(group_cols)), "quality-stats")
     params = estimates(stats, list(group_cols))
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(names)])
-    at = {c: f"__d{i}" for i, c in enumerate(names)}
+    renamed, at, back = positional(docs)
     rows = map_rows(renamed, [at[text]], text_stats, STATS, list(at.values()))
-    out = judged(rows, [at[c] for c in group_cols], params=params).filter("kept")
-    return out.select(*[F.col(at[c]).alias(c) for c in names])
+    return judged(rows, [at[c] for c in group_cols], params=params).filter("kept").select(*back)

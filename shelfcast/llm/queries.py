@@ -5,9 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfcast.llm import quality_mcd
-from shelfcast.llm.common import table
+from shelfcast.llm import decontaminate, licenses, lm_automaton, mixing, quality_mcd, sharding, site_quality, toxicity, warc
+from shelfcast.llm.common import held_out, table
+
+
+def op1_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"),
+                        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join("licenses", ",").alias("licenses"))
+
+
+def op2_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_automaton.train_and_score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 1))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' source is their host, their language its path."""
+    return site_quality.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"),
+        use=~held_out(F.col("doc_id"), 5, 1)).withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
+
+
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.write_archive(table(spark, sf_dir, "pages")))
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"),
+                                  table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    ids = F.col("items")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(ids), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "matches")
+
+
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id"), 4, 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +69,11 @@ def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_mcd,)}
+    return {f.__name__: f for f in (
+        op1_license_rules, op2_backoff_automaton, op3_mix_sources, op4_best_fit_shards,
+        op5_site_quality, op6_warc_archive, op8_suffix_array, op9_counterfactual_toxicity,
+        op10_quality_mcd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_rules": licenses.oracle(), "op3_mix_sources": mixing.oracle()}
