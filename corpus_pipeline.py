@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from shelfcast.llm import quality_mcd  # noqa: E402
+from shelfcast.llm import decontaminate, mixing, ngram_join, quality_mcd, sharding  # noqa: E402
 from shelfcast.llm.common import saved, table  # noqa: E402
 
 
@@ -23,8 +23,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_mcd.filter_quality(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: texts on word
+    five-grams with a Jaccard similarity of 0.8 or more."""
+    return ngram_join.deduplicate(docs, width=5, percent=80)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target shares: a document once per repeat."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the shard that holds their text."""
+    return sharding.sharded(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("source_mix", mix),
+    ("shards", shards),
 ]
 
 #: The robust estimates of the first stage are no SQL; tests use brute force.

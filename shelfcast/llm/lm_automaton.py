@@ -34,7 +34,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,47 +41,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from shelfcast.llm.common import lower_words_of, saved
+from shelfcast.llm.packing import (ODD_A, ODD_C, mixed_hash, pack_keys, pack_numbers, unpack_keys,
+                                   unpack_numbers)
 
 ORDER = 2
 STRENGTHS = {2: 200.0, 3: 20.0, 4: 10.0, 5: 10.0}
 BLOCK_BYTES = 4 << 20       # text per block (one text at least)
 BLOCKS_PER_RANGE = 4        # blocks' worth of n-grams that one hash range holds
 _START, _END = xxhash.xxh64_intdigest(b"  "), xxhash.xxh64_intdigest(b" ")
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 BLOCKS = ("block long, doc_ids array<{id}>, held array<boolean>, n_docs int, train_docs long, "
           "train_tokens long, lengths binary, words binary, tokens binary")
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Compressed bytes of an integer array, byte planes apart."""
-    v = np.ascontiguousarray(values)
-    planes = v.view(np.uint8).reshape(len(v), v.itemsize).T if len(v) else np.zeros((0, 0), np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack_numbers(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as their differences."""
-    return pack_numbers(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack_numbers(data, np.uint64), dtype=np.uint64)
-
-
 def _block_row(number: int, ids: pa.Array, texts: list, held: list[bool]) -> tuple:
     numbers: dict[bytes, int] = {}
     tokens, lengths = [], []
@@ -147,11 +119,11 @@ class BlockGrams:
         depth = np.arange(total) - np.repeat(self.first, self.lengths + 1)
         held = np.repeat(np.array(held, bool), self.lengths + 1) if n_docs else np.zeros(0, bool)
         self.keys, self.at, self.counts = {}, {}, {}
-        key = _mix(hashes + _A)
+        key = mixed_hash(hashes + ODD_A)
         for n in range(1, order + 1):
             if n > 1:  # the context's key, moved on by one, and this word
                 before = np.concatenate([[np.uint64(0)], key[:-1]])
-                key = _mix(before * _A + hashes * _C + np.uint64(n))
+                key = mixed_hash(before * ODD_A + hashes * ODD_C + np.uint64(n))
             whole = np.flatnonzero(depth >= n - 1)
             distinct, inverse = np.unique(key[whole], return_inverse=True)
             place = np.full(total, -1, np.int64)
@@ -204,7 +176,7 @@ def answers(asked: DataFrame) -> DataFrame:
         distinct, inverse = np.unique(flat, return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
         gram = group["gram"][0].as_py()
-        words = int(np.count_nonzero(total[distinct != _mix(np.array([_START], np.uint64) + _A)[0]])) if gram == 1 else 0
+        words = int(np.count_nonzero(total[distinct != mixed_hash(np.array([_START], np.uint64) + ODD_A)[0]])) if gram == 1 else 0
         mine = np.split(total[inverse], sizes)
         return pa.table({"gram": group["gram"], "bucket": group["bucket"], "block": group["block"],
                          "totals": pa.array([pack_numbers(m) for m in mine], pa.binary()),

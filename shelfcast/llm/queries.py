@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, licenses, lm_automaton, mixing, quality_mcd, sharding, site_quality, toxicity, warc
+from shelfcast.llm import (decontaminate, licenses, lm_automaton, mixing, ngram_join, quality_mcd,
+                           sharding, site_quality, toxicity, warc)
 from shelfcast.llm.common import held_out, table
 
 
@@ -44,6 +45,11 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"),
                                   table(spark, sf_dir, "benchmark"), keep=["doc_id"])

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import hash_fraction, running_totals, saved
+from shelfcast.llm.common import hash_fraction, positional, running_totals, saved
 
 N_SHARDS = 24
 OVERHEAD = 8
@@ -184,3 +184,17 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_shards:
               .withColumn("one", F.lit(1).cast("long")), "shard-placed")
     return running_totals(x, ["shard"], ["f", "key"], "f", "one", "slot").select(
         "doc_id", "size", "text_crc32", "digest", "shard", "slot")
+
+
+def sharded(docs: DataFrame, text: str = "text", n_shards: int | None = N_SHARDS, capacity: int | None = None,
+            overhead: int = OVERHEAD, shard_name: str = "shard") -> DataFrame:
+    """The columns of ``docs`` and ``shard_name`` (which replaces a column of that name)."""
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256)
+    sizes = docs.select(digest.alias("digest"), (F.octet_length(F.coalesce(
+        F.col(f"`{text}`").cast("string"), F.lit(""))) + overhead).cast("long").alias("size"))
+    groups = saved(sizes.groupBy("digest").agg(F.sum("size").alias("group_size")), "shard-groups")
+    renamed, at, back = positional(docs.drop(shard_name))
+    x = renamed.withColumn("digest", F.sha2(F.coalesce(
+        F.col(at[text]).cast("string"), F.lit("")).cast("binary"), 256))
+    return x.join(place_groups(groups, n_shards, capacity), "digest").select(
+        *back, F.col("shard").alias(shard_name))
