@@ -77,7 +77,7 @@ def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_rules, op2_backoff_automaton, op3_mix_sources, op4_best_fit_shards,
-        op5_site_quality, op6_warc_archive, op8_suffix_array, op9_counterfactual_toxicity,
+        op5_site_quality, op6_warc_archive, op7_prefix_tree_join, op8_suffix_array, op9_counterfactual_toxicity,
         op10_quality_mcd)}
 
 
