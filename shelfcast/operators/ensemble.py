@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import clip0, day_index, occurrence
+from shelfcast.operators.features import recent_occurrence
 from shelfcast.operators.metrics import confusion_counts, metric_columns
+from shelfcast.session import small_side
 
 # Fixed values of the ensemble rules.
 WEIGHT_EPS = 1e-6
@@ -54,7 +56,7 @@ def weighted_ensemble(preds: DataFrame, weights: DataFrame, shrink: float = SHRI
     The weight table is stores x models rows; the row-level mean is a grouped
     sum on ``(id, d)`` with partial aggregation before the shuffle.
     """
-    w = weights.select(group, "model_id", "weight")
+    w = small_side(weights.select(group, "model_id", "weight"), "weights")
     return (preds.join(w, [group, "model_id"], "inner")
             .groupBy("id", "d", group)
             .agg(F.first("sales").alias("sales"),
@@ -71,11 +73,18 @@ def power_mean(probs: DataFrame, power: float = POWER, out: str = "score") -> Da
                  F.avg(F.pow("prob", F.lit(power))).alias(out)))
 
 
+def below_all_cuts(score: str) -> Column:
+    """The score, with NULL and NaN below every cut: such rows count as negative."""
+    lowest = F.lit(float("-inf"))
+    return F.coalesce(F.nanvl(F.col(score).cast("double"), lowest), lowest)
+
+
 def _bin_counts(scored: DataFrame, cuts: list[float], score: str, label: str) -> DataFrame:
     """Label counts per bin, bin = number of cuts <= score (binary search)."""
     splits = [float("-inf")] + list(cuts) + [float("inf")]
     binned = Bucketizer(splits=splits, inputCol=score, outputCol="bin",
-                        handleInvalid="keep").transform(scored.select(score, label))
+                        handleInvalid="keep").transform(
+                            scored.select(below_all_cuts(score).alias(score), label))
     return (binned.groupBy("bin")
             .agg(F.sum(F.col(label)).cast("bigint").alias("pos"),
                  F.sum(1 - F.col(label)).cast("bigint").alias("neg")))
@@ -136,7 +145,7 @@ def final_metrics(scored: DataFrame, cut: Column | float, score: str = "score",
                   label: str = "label") -> DataFrame:
     """Accuracy, precision, recall, F1 at the chosen cut, one pass (ENS5)."""
     c = cut if isinstance(cut, Column) else F.lit(cut)
-    predicted = (F.col(score) >= c).cast("int")
+    predicted = (below_all_cuts(score) >= c).cast("int")
     counts = scored.agg(*confusion_counts(F.col(label), predicted))
     return counts.withColumns(metric_columns()).withColumn("optimal_threshold", c)
 
@@ -164,7 +173,8 @@ def quantity_candidates(features: DataFrame, train_end, horizon: int = 28) -> Da
     pos = (train.where(F.col("sales") > 0).groupBy("id")
            .agg(F.avg(F.col("sales").cast("double")).alias("mean_pos")))
     val = (validation_rows(features, t, horizon)
-           .join(occ, ["id", "wday"], "left").join(pos, "id", "left"))
+           .join(small_side(occ, "occ-by-day"), ["id", "wday"], "left")
+           .join(small_side(pos, "mean-positive"), "id", "left"))
     models = {
         "naive_lag28": F.col("sales_lag_28").cast("double"),
         "rolling_mean_30": F.col("rolling_mean_30"),
@@ -189,16 +199,13 @@ def occurrence_candidates(features: DataFrame, train_end, horizon: int = 28) ->
     train = features.where(F.col("d_int") <= t)
     occ = (train.groupBy("id", "wday")
            .agg(F.avg(occurrence("sales").cast("double")).alias("p_series_wday")))
-    w = Window.partitionBy("id").orderBy("d_int").rowsBetween(-55, -28)
-    recent = F.when(F.count("sales").over(w) == 28,
-                    F.avg(occurrence("sales").cast("double")).over(w))
-    feats = features.withColumn("p_recent", recent)
-    val = validation_rows(feats, t, horizon).join(occ, ["id", "wday"], "left")
+    feats = features if "occ_rate_28" in features.columns else recent_occurrence(features)
+    val = validation_rows(feats, t, horizon).join(small_side(occ, "occ-by-day"), ["id", "wday"], "left")
     models = {
         "series_wday_rate": F.col("p_series_wday"),
         "dept_wday_rate": F.col("dept_wday_mean"),
         "item_event_rate": F.col("item_event_mean"),
-        "recent_rate": F.col("p_recent"),
+        "recent_rate": F.col("occ_rate_28"),
     }
     stack = F.explode(F.array(*[F.struct(F.lit(k).alias("model_id"),
                                          F.coalesce(v, F.lit(0.0)).alias("prob"))

@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import day_index, occurrence, safe_ratio, weekday0
+from shelfcast.session import materialize, small_side
 
 SALES_LAGS = [28, 35, 42, 364]
 ROLL_WINDOWS = [7, 14, 30, 60]
 BASE_LAG = 28
 NO_EVENT = 9999  # sentinel when no event before / after a day
 
-# The reference's feature list, in its order; the last two come from the
-# occurrence encodings.
+# The feature names of the model tables, in their order; the
+# last two come from the occurrence encodings.
 FEATURES_ALL = [
     "item_id", "dept_id", "cat_id", "wday", "month", "year",
     "event_name_1", "event_type_1", "snap_CA", "snap_TX", "snap_WI",
@@ -83,6 +84,15 @@ def rolling_stats(df: DataFrame, windows=ROLL_WINDOWS, base_lag: int = BASE_LAG,
     return df.withColumns(cols)
 
 
+def recent_occurrence(df: DataFrame, rows: int = 28, base_lag: int = BASE_LAG, key: str = "id") -> DataFrame:
+    """``occ_rate_n``: share of sold rows among ``n`` rows ending ``base_lag``
+    rows back; NULL unless all are there.  Same window spec as the lags."""
+    df = with_day_index(df)
+    fr = series_window(key).rowsBetween(-(base_lag - 1 + rows), -base_lag)
+    return df.withColumn(f"occ_rate_{rows}", F.when(
+        F.count("sales").over(fr) == rows, F.avg(occurrence("sales").cast("double")).over(fr)))
+
+
 def price_momentum(df: DataFrame, key: str = "id", causal: bool = False) -> DataFrame:
     """Price ratios to 7 and 28 rows back and to the series' max price (WIN1/WIN2).
 
@@ -127,7 +137,8 @@ def event_days(df: DataFrame, date_col: str = "date") -> DataFrame:
 def event_distance(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Attach ``days_since_event`` / ``days_to_event`` by date (JON3).
 
-    The day table has one row per date, so it is broadcast.
+    The day table has one row per date, so it is broadcast; a row without a
+    date has no distance.
     """
     return df.join(F.broadcast(event_days(df, date_col)), date_col, "left")
 
@@ -154,16 +165,16 @@ def target_encode(df: DataFrame, train_end, keys: list[str], name: str,
     ``target='quantity'`` averages ``sales``; ``'occurrence'`` averages
     ``sales > 0``.  Statistics come from rows with ``d_int <= train_end`` only;
     a row with no matching group takes the ``fallback_keys`` mean, then
-    ``default``.  The maps are groups x keys in size (no hint: AQE broadcasts
-    them when the measured map is small, else a shuffle join).
+    ``default``.  A map is written and counted; a small one is broadcast, so
+    that the rows of ``df`` are not shuffled by these few keys.
     """
     tr = train if train is not None else train_rows(df, train_end)
     tgt = F.col("sales").cast("double") if target == "quantity" else occurrence("sales").cast("double")
-    out = df.join(encoding_map(tr, keys, tgt, name), keys, "left")
+    out = df.join(small_side(encoding_map(tr, keys, tgt, name), f"map-{name}"), keys, "left")
     value = F.col(name)
     if fallback_keys:
         fb = f"__{name}_fb"
-        out = out.join(encoding_map(tr, fallback_keys, tgt, fb), fallback_keys, "left")
+        out = out.join(small_side(encoding_map(tr, fallback_keys, tgt, fb), f"map-{fb}"), fallback_keys, "left")
         value = F.coalesce(value, F.col(fb))
     out = out.withColumn(name, F.coalesce(value, F.lit(default)))
     return out.drop(f"__{name}_fb") if fallback_keys else out
@@ -178,25 +189,42 @@ def add_encodings(df: DataFrame, train_end) -> DataFrame:
     return target_encode(df, train_end, ["item_id", "event_name_1"], "item_event_mean", "occurrence")
 
 
-def category_dictionary(df: DataFrame, col: str) -> DataFrame:
-    """``value -> code``: rank among the sorted distinct non-null values (WIN10).
+def category_dictionaries(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column, value -> code`` for all ``cols``: rank among a column's sorted
+    distinct non-null values (WIN10).
 
-    Only the distinct-value table (a dimension, not the fact rows) is ordered.
+    One scan gives the distinct (column, value) pairs.  They are sorted by
+    range, each range is numbered by itself, and the ranges' counts give their
+    offsets: no task orders all values.
     """
-    vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return vals.withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols]))
+    vals = df.select(pair.alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull()).distinct()
+    ranged = materialize(vals.repartitionByRange("column", "value")
+                         .withColumn("part", F.spark_partition_id()), "dictionary-ranges")
+    inside = F.row_number().over(Window.partitionBy("part", "column").orderBy("value"))
+    counts = ranged.groupBy("column", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("column", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return (ranged.withColumn("inside", inside).join(offsets, ["column", "part"])
+            .select("column", "value", (F.col("before") + F.col("inside") - 1).cast("int").alias("code")))
+
+
+def category_dictionary(df: DataFrame, col: str) -> DataFrame:
+    """``value -> code`` of one column."""
+    return category_dictionaries(df, [col]).select("value", "code")
 
 
 def category_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace each column with its code; NULL or unseen values become -1 (B8).
 
-    One dictionary per column, built from the whole input, so train and
-    validation share codes.
+    The dictionaries are built from the whole input in one scan, so train and
+    validation share codes; a small one is broadcast.
     """
     out = df
+    every = materialize(category_dictionaries(df, cols), "dictionaries")
     for c in cols:
-        dic = category_dictionary(df, c).withColumnRenamed("value", c).withColumnRenamed("code", f"__code_{c}")
-        out = (out.join(dic, c, "left")
+        dic = every.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"__code_{c}"))
+        out = (out.join(small_side(dic, f"dictionary-{c}"), c, "left")
                .withColumn(c, F.coalesce(F.col(f"__code_{c}"), F.lit(-1)))
                .drop(f"__code_{c}"))
     return out
@@ -210,13 +238,14 @@ def standardize(df: DataFrame, cols: list[str], by: str = "store_id",
     ``ddof=0``: population std, zero variance -> 1 (the tabular scaler);
     ``ddof=1, eps=1e-8``: sample std + eps (the one-store sequence scaler).
     Missing values are filled with 0 first.  Statistics come from
-    ``fit_rows`` (default: ``df``), a table of groups x features.
+    ``fit_rows`` (default: ``df``), a table of groups x features, broadcast
+    when it counts small.
     """
     src = (fit_rows if fit_rows is not None else df).fillna(0, subset=cols)
     stats = src.groupBy(by).agg(
         *[F.avg(c).alias(f"__mu_{c}") for c in cols],
         *[(F.stddev_pop(c) if ddof == 0 else F.stddev_samp(c)).alias(f"__sd_{c}") for c in cols])
-    out = df.fillna(0, subset=cols).join(stats, by, "left")
+    out = df.fillna(0, subset=cols).join(small_side(stats, "scales"), by, "left")
     scaled = {}
     for c in cols:
         sd = F.col(f"__sd_{c}")
@@ -235,6 +264,7 @@ def build_features(joined: DataFrame, train_end, causal_price_max: bool = False)
     df = add_date_parts(with_day_index(joined))
     df = sales_lags(df)
     df = rolling_stats(df)
+    df = recent_occurrence(df)
     df = price_momentum(df, causal=causal_price_max)
     df = event_distance(df)
     return add_encodings(df, train_end)

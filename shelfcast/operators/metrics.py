@@ -44,19 +44,22 @@ def rmsse_denominator(long: DataFrame, train_end=None, key: str = "id") -> DataF
     reference does (B2); otherwise days ``<= train_end`` only.
     """
     df = long.withColumn("d_int", day_index("d")) if "d_int" not in long.columns else long
+    within = F.lit(True)
     if train_end is not None:
-        t = train_end if isinstance(train_end, Column) else F.lit(train_end)
-        df = df.where(F.col("d_int") <= t)
-    whole = Window.partitionBy(key)
+        within = F.col("d_int") <= (train_end if isinstance(train_end, Column) else F.lit(train_end))
+    # One scan and one window: a difference counts from the day after the
+    # first sale on, that is where an earlier row of the series has sold.
     ordered = Window.partitionBy(key).orderBy("d_int")
-    df = df.withColumn("first_sale", F.min(F.when(F.col("sales") > 0, F.col("d_int"))).over(whole))
-    active = df.where(F.col("d_int") >= F.col("first_sale"))
-    diffs = active.withColumn("diff", F.col("sales") - F.lag("sales").over(ordered))
-    per = diffs.groupBy(key).agg(F.avg(F.pow("diff", 2)).alias("msd"))
-    series = long.select(key).distinct()
-    return (series.join(per, key, "left")
-            .select(key, F.when(F.col("msd").isNull() | (F.col("msd") <= 0), F.lit(1.0))
-                    .otherwise(F.col("msd")).alias("denominator")))
+    sold = F.max(F.when(F.col("sales") > 0, 1)).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    diffs = df.select(key, F.when(within & (sold == 1), F.col("sales") - F.lag("sales").over(ordered)).alias("diff"))
+    msd = F.avg(F.pow("diff", 2))
+    return diffs.groupBy(key).agg(F.when(msd > 0, msd).otherwise(F.lit(1.0)).alias("denominator"))
+
+
+def validation_counts(validation: DataFrame, by: str = "store_id") -> DataFrame:
+    """Rows, distinct groups and sold rows of the validation days (AGG18)."""
+    return validation.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(by).alias("n_stores"),
+                          F.sum(occurrence("sales")).cast("bigint").alias("n_sold"))
 
 
 def rmsse_by_series(preds: DataFrame, denominators: DataFrame, train_end,

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import clip0, occurrence
-from shelfcast.operators.features import CATEGORICAL, feature_set
+from shelfcast.operators.features import feature_set
+from shelfcast.session import small_side
 
 # Fixed values of the reference's model grid.
 LOSSES = ["squared_error", "poisson", "absolute_error"]
@@ -50,7 +51,7 @@ def model_grid() -> list[ModelConfig]:
     """3 losses x 2 feature sets x 8 seeds + 2 hurdle configs = 50 (MOD1)."""
     grid = [ModelConfig(o, f, s) for o in LOSSES for f in FEATURE_SETS for s in SEEDS]
     grid += [ModelConfig("poisson", "all", 1, True), ModelConfig("squared_error", "all", 2, True)]
-    return grid[:50]
+    return grid
 
 
 def model_features(df: DataFrame, names: list[str]) -> list[str]:
@@ -95,7 +96,7 @@ def gbt_quantity(train: DataFrame, val: DataFrame, cfg: ModelConfig,
                                                regParam=1e-3, labelCol="target")
         loss = "squared" if cfg.objective == "squared_error" else "absolute"
         return GBTRegressor(lossType=loss, maxIter=rounds, stepSize=lr, maxDepth=max_depth,
-                            seed=cfg.seed, labelCol="target", subsamplingRate=0.8)
+                            seed=cfg.seed, labelCol="target")
 
     if cfg.is_hurdle:
         clf = GBTClassifier(maxIter=rounds, stepSize=lr, maxDepth=max_depth, seed=cfg.seed,
@@ -112,10 +113,30 @@ def gbt_quantity(train: DataFrame, val: DataFrame, cfg: ModelConfig,
     return _long(scored, cfg.model_id, clip0(pred), "pred", "sales")
 
 
+def fit_grid(train: DataFrame, val: DataFrame, grid: list[ModelConfig] | None = None) -> DataFrame:
+    """Predictions of every config of the grid, by ``(id, d, model_id)`` (MOD1).
+
+    Without row or feature sampling a fit does not depend on its seed, so each
+    distinct objective, feature set and hurdle flag is fitted once and its
+    predictions stand for all seeds of the grid.
+    """
+    grid = model_grid() if grid is None else grid
+    seeds: dict[tuple, list[ModelConfig]] = {}
+    for g in grid:
+        seeds.setdefault((g.objective, g.feature_set, g.is_hurdle), []).append(g)
+    out = None
+    for configs in seeds.values():
+        one = gbt_quantity(train, val, configs[0]).drop("model_id")
+        every = one.withColumn("model_id", F.explode(F.array(*[F.lit(g.model_id) for g in configs])))
+        out = every if out is None else out.unionByName(every)
+    return out
+
+
 def _with_weights(train: DataFrame, weights: DataFrame) -> DataFrame:
     """Attach the balanced class weight of each row's (store, label) (AGG14)."""
     w = weights.select("store_id", F.col("label").alias("occ"), "weight")
-    return train.withColumn("occ", occurrence("sales")).join(w, ["store_id", "occ"], "left")
+    return train.withColumn("occ", occurrence("sales")).join(
+        small_side(w, "class-weights"), ["store_id", "occ"], "left")
 
 
 def occurrence_model(train: DataFrame, val: DataFrame, kind: str, weights: DataFrame,
@@ -132,7 +153,9 @@ def occurrence_model(train: DataFrame, val: DataFrame, kind: str, weights: DataF
     tr = prepare(_with_weights(train, weights).withColumn("occ", F.col("occ").cast("double")), feats)
     va = prepare(val, feats)
     if kind == "gbt":
-        tr = tr.withColumn("is_holdout", F.rand(seed) < OCC_HOLDOUT)
+        # By a hash of the key, so that it does not depend on partitioning.
+        place = F.pmod(F.xxhash64("id", "d", F.lit(seed)), F.lit(1000))
+        tr = tr.withColumn("is_holdout", place < int(1000 * OCC_HOLDOUT))
         est = GBTClassifier(maxIter=rounds, stepSize=LEARNING_RATE, seed=seed, labelCol="occ",
                             weightCol="weight", validationIndicatorCol="is_holdout")
     elif kind == "rf":
@@ -173,8 +196,8 @@ def with_store_code(df: DataFrame) -> DataFrame:
     from shelfcast.operators.features import category_dictionary
     dic = category_dictionary(df, "store_id").withColumnRenamed("value", "store_id") \
         .withColumnRenamed("code", "store_code")
-    return df.join(F.broadcast(dic), "store_id", "left")
+    return df.join(small_side(dic, "stores"), "store_id", "left")
 
 
 __all__ = ["ModelConfig", "model_grid", "gbt_quantity", "occurrence_model", "sequence_model",
-           "with_store_code", "CATEGORICAL"]
+           "with_store_code"]

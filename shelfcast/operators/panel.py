@@ -47,10 +47,15 @@ def train_end_of(calendar: DataFrame, horizon: int = HORIZON) -> Column:
     return calendar.select(F.max(day_index("d")) - F.lit(horizon)).scalar()
 
 
+def _day(df: DataFrame) -> Column:
+    """The stored day number, which a scan can filter on, else the parsed label."""
+    return F.col("d_int") if "d_int" in df.columns else day_index("d")
+
+
 def temporal_split(df: DataFrame, train_end, horizon: int = HORIZON) -> DataFrame:
     """Label rows ``train`` (d <= T) or ``validation`` (T < d <= T+H); drop the rest (FLT1)."""
     t = train_end if isinstance(train_end, Column) else F.lit(train_end)
-    d_int = day_index("d")
+    d_int = _day(df)
     split = (F.when(d_int <= t, F.lit("train"))
              .when(d_int <= t + horizon, F.lit("validation")))
     return df.withColumn("split", split).where(F.col("split").isNotNull())
@@ -65,7 +70,7 @@ def lookback_split(df: DataFrame, train_end, horizon: int = HORIZON,
     next-step label).  A row can be in both; it is emitted once per split.
     """
     t = train_end if isinstance(train_end, Column) else F.lit(train_end)
-    d_int = day_index("d")
+    d_int = _day(df)
     tr = df.where((d_int >= t + 1 - lookback) & (d_int <= t)).withColumn("split", F.lit("train"))
     va = (df.where((d_int >= t + 1 - context) & (d_int <= t + horizon))
           .withColumn("split", F.lit("validation")))

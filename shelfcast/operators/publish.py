@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.functions.columns import occurrence
 from shelfcast.functions.columns import safety_stock as safety_stock_expr
 from shelfcast.functions.columns import to_validation_id
 from shelfcast.operators.reshape import horizon_pivot
@@ -57,6 +58,19 @@ def item_overlay(preds: DataFrame, calendar: DataFrame, series_id: str,
     return out.orderBy("date")
 
 
+def item_comparison(panel_rows: DataFrame, single: DataFrame, ensemble: DataFrame, series_id: str) -> DataFrame:
+    """One series by date: ``date, actual_sold, single_prob, v10_prob`` (OUT2).
+
+    ``panel_rows`` has ``id, d, date, sales``; ``single`` one model's ``prob``
+    and ``ensemble`` the power-mean ``score``, both keyed ``(id, d)``.
+    """
+    one = panel_rows.where(F.col("id") == series_id).select("d", "date", occurrence("sales").alias("actual_sold"))
+    a = single.where(F.col("id") == series_id).select("d", F.col("prob").alias("single_prob"))
+    b = ensemble.where(F.col("id") == series_id).select("d", F.col("score").alias("v10_prob"))
+    return (one.join(a, "d", "left").join(b, "d", "left")
+            .select("date", "actual_sold", "single_prob", "v10_prob").orderBy("date"))
+
+
 def forecast_head(preds: DataFrame, n: int = HEAD_ROWS, key=("id", "d"),
                   value_col: str = "simple_avg_pred") -> DataFrame:
     """First ``n`` forecasts by an explicit key (LIM1): a top-k, not a sort."""
@@ -67,10 +81,10 @@ def forecast_sample(preds: DataFrame, n: int = SAMPLE_SIZE, seed: int = SAMPLE_S
                     value_col: str = "simple_avg_pred") -> DataFrame:
     """Repeatable sample of exactly ``n`` rows, forecast rounded to 2 (SMP1).
 
-    Rows are ranked by a seeded hash of their key, so the sample does not
+    Rows are ranked by a seeded digest of their key, so the sample does not
     depend on partitioning; ``limit`` after the ordering is a distributed top-k.
     """
-    h = F.xxhash64("id", "d", F.lit(seed))
+    h = F.md5(F.concat_ws("|", "id", "d", F.lit(str(seed))).cast("binary"))
     return (preds.orderBy(h, "id", "d").limit(n)
             .select(F.col("id").alias("item"), F.round(F.col(value_col), 2).alias("forecast")))
 

@@ -55,12 +55,16 @@ def column_totals(wide: DataFrame, prefix: str = "d_",
                   var_name: str = "d", value_name: str = "sales") -> DataFrame:
     """Wide column sums as ``(d, sales)`` rows (RSH3 + AGG1).
 
-    Melts, then aggregates by day: partial sums per task, one row per day
-    after the shuffle.  (A single wide ``agg`` of every column would pull all
-    partial sums into one task anyway, with a 2,000-column codegen stage.)
+    Every row gives its values with their positions; partial sums per task,
+    one row per day after the shuffle, and only these rows get their labels.
+    (A single wide ``agg`` of every column would pull all partial sums into
+    one task, with a 2,000-column codegen stage.)
     """
-    melted = unpivot_wide(wide, [], prefix, var_name, value_name)
-    return melted.groupBy(var_name).agg(F.sum(value_name).cast("bigint").alias(value_name))
+    cols = day_columns(wide, prefix)
+    cells = wide.selectExpr(f"posexplode(array({', '.join(f'`{c}`' for c in cols)})) AS (pos, v)")
+    totals = cells.groupBy("pos").agg(F.sum("v").cast("bigint").alias(value_name))
+    names = ", ".join(f"'{c}'" for c in cols)
+    return totals.selectExpr(f"element_at(array({names}), pos + 1) AS {var_name}", value_name)
 
 
 def dense_grid(sparse: DataFrame, series_cols: list[str], day_col: str,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import occurrence
+from shelfcast.operators.features import standardize
 
 SEQ_LEN = 28
 
@@ -26,6 +27,16 @@ def _windows(df: DataFrame, features: list[str], seq_len: int, frame: tuple[int,
             .select(key, order, occurrence("sales").alias("label"), "seq"))
 
 
+def scaled_inputs(features: DataFrame, train_end: int, cols: list[str], lookback: int = 365,
+                  horizon: int = 28, by: str = "store_id") -> DataFrame:
+    """The rows of the lookback year and the horizon with ``cols`` scaled per
+    group by the statistics of the train rows (AGG19); ``sales`` stays as it is
+    and is not among the inputs."""
+    t = train_end
+    rows = features.where((F.col("d_int") >= t + 1 - lookback) & (F.col("d_int") <= t + horizon))
+    return standardize(rows, cols, by=by, fit_rows=rows.where(F.col("d_int") <= t))
+
+
 def sequence_windows(df: DataFrame, features: list[str], seq_len: int = SEQ_LEN,
                      key: str = "id", order: str = "d_int") -> DataFrame:
     """Rows ``i-seq_len+1 .. i``, label = occurrence at row ``i`` (WIN8).

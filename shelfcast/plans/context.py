@@ -18,7 +18,6 @@ these tables; queries about the panel build itself run from the raw tables.
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +27,14 @@ from shelfcast.operators import features as FT
 from shelfcast.operators import panel as P
 from shelfcast.session import materialize
 from shelfcast.sources import standin as S
-from shelfcast.sources.tables import table_path
+from shelfcast.sources.tables import table_stamp
 
 _TABLES: dict = {}
 
 
-def _stamp(sf_dir: str) -> tuple:
-    """Modification times of the inputs, so a rewritten table is not reused."""
-    out = []
-    for t in ("lineitem", "part", "supplier", "nation", "region"):
-        try:
-            out.append(os.path.getmtime(table_path(sf_dir, t)))
-        except OSError:
-            out.append(None)
-    return tuple(out)
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """The inputs' files, so a rewritten table is not reused."""
+    return tuple(table_stamp(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
 
 
 class RetailContext:
@@ -55,7 +48,7 @@ class RetailContext:
     def _table(self, name: str, build, partition_by=None) -> DataFrame:
         if not self.persist:
             return build()
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, _stamp(self.sf_dir), name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, _stamp(self.spark, self.sf_dir), name)
         if key not in _TABLES:
             _TABLES[key] = materialize(build(), name, partition_by)
         return _TABLES[key]
@@ -86,22 +79,23 @@ class RetailContext:
     @cached_property
     def sales_wide(self) -> DataFrame:
         """The wide sales input (a file in the reference), pivoted from the panel."""
-        return S.sales_wide(self.spark, self.sf_dir, self.sales_long)
+        return self._table("sales_wide", lambda: S.sales_wide(self.spark, self.sf_dir, self.sales_long))
 
     # ----------------------------------------------------------- panel
     @cached_property
     def joined(self) -> DataFrame:
-        return self._table("joined", lambda: P.star_join(
-            S.sales_long(self.spark, self.sf_dir, self.daily), self.calendar, self.prices), ["store_id"])
+        """Star-joined panel with ``d_int``, so that day filters reach the files."""
+        return self._table("joined", lambda: FT.with_day_index(P.star_join(
+            S.sales_long(self.spark, self.sf_dir, self.daily), self.calendar, self.prices)), ["store_id"])
 
     @cached_property
     def sales_long(self) -> DataFrame:
-        return self.joined.select(*S.ID_COLS, "d", "sales")
+        return self.joined.select(*S.ID_COLS, "d", "sales", "d_int")
 
     @cached_property
     def panel(self) -> DataFrame:
         """Star-joined panel without pre-release rows, with ``d_int``."""
-        return FT.with_day_index(P.drop_prerelease(self.joined))
+        return P.drop_prerelease(self.joined)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -112,7 +106,7 @@ class RetailContext:
     @cached_property
     def quantity_preds(self) -> DataFrame:
         return self._table("quantity_preds", lambda: E.quantity_candidates(
-            self.features, self.train_end, self.horizon))
+            self.features, self.train_end, self.horizon), ["store_id"])
 
     @cached_property
     def model_rmse(self) -> DataFrame:
@@ -126,12 +120,13 @@ class RetailContext:
     @cached_property
     def ensemble(self) -> DataFrame:
         """Prediction table ``id, d, store_id, sales, simple_avg_pred``."""
-        return E.weighted_ensemble(self.quantity_preds, self.weights)
+        return self._table("ensemble", lambda: E.weighted_ensemble(self.quantity_preds, self.weights),
+                           ["store_id"])
 
     @cached_property
     def occurrence_probs(self) -> DataFrame:
         return self._table("occurrence_probs", lambda: E.occurrence_candidates(
-            self.features, self.train_end, self.horizon))
+            self.features, self.train_end, self.horizon), ["store_id"])
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -10,17 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
 from shelfcast.operators import metrics as M
 from shelfcast.operators import models as MD
 from shelfcast.operators import sequences as SQ
 from shelfcast.operators.ensemble import validation_rows
 from shelfcast.plans.context import ctx
+from shelfcast.session import materialize
 
 REGISTRY: dict = {}
 
-# The sequence model reads a short list of per-day inputs.
-SEQ_FEATURES = ["sales", "sell_price", "snap_CA", "days_to_event"]
+CATEGORIES = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
+#: All model inputs: categories as codes, numeric ones scaled; no same-day sales.
+SEQ_FEATURES = FT.OCCURRENCE_FEATURES
 
 
 def query(fn):
@@ -30,7 +33,7 @@ def query(fn):
 
 def _coded(spark: SparkSession, sf: str):
     c = ctx(spark, sf)
-    f = FT.category_codes(c.features, ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"])
+    f = FT.category_codes(c.features, CATEGORIES)
     f = MD.with_store_code(f)
     # keep the original store id for grouping next to its code
     train = f.where(F.col("d_int") <= c.train_end)
@@ -91,15 +94,64 @@ def lr_occurrence(spark, sf):
     return MD.occurrence_model(tr, va, "lr", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
 
 
+def sequence_inputs(features: DataFrame, train_end: int) -> DataFrame:
+    """The sequence model's input rows: category codes, scaled numbers."""
+    coded = FT.category_codes(features, CATEGORIES)
+    scaled = [f for f in SEQ_FEATURES if f not in CATEGORIES and not f.startswith("snap_")]
+    return SQ.scaled_inputs(coded, train_end, scaled).fillna(0, subset=SEQ_FEATURES)
+
+
+@query
+def fitted_ensemble_checks(spark, sf):
+    """MOD1 + MOD3 + ENS1 over fitted members: the grid's Poisson models, both
+    feature sets and all seeds, as one written prediction table; per store the
+    number of models and rows, the sum of weights, and whether every ensemble
+    value is the weighted mean of its members."""
+    c, tr, va = _coded(spark, sf)
+    grid = [g for g in MD.model_grid() if g.objective == "poisson" and not g.is_hurdle]
+    preds = materialize(MD.fit_grid(tr, va, grid), "fitted-grid", ["store_id"])
+    weights = E.ensemble_weights(M.rmse(preds, "sales", "pred", ["store_id", "model_id"]))
+    ens = E.weighted_ensemble(preds, weights).select("id", "d", "simple_avg_pred")
+    again = (preds.join(weights.select("store_id", "model_id", "weight"), ["store_id", "model_id"])
+             .groupBy("id", "d").agg(F.sum(F.col("weight") * F.col("pred")).alias("mean")))
+    ok = ens.join(again, ["id", "d"]).join(preds.select("id", "d", "store_id").distinct(), ["id", "d"])
+    ok = ok.groupBy("store_id").agg(F.every(F.abs(F.col("simple_avg_pred") - E.SHRINK * F.col("mean"))
+                                            <= 1e-9 * (1 + F.abs("mean"))).alias("is_mean"))
+    sums = weights.groupBy("store_id").agg(F.round(F.sum("weight"), 6).alias("weight_sum"))
+    rows = preds.groupBy("store_id").agg(F.count_distinct("model_id").alias("n_models"),
+                                         F.count(F.lit(1)).alias("n_rows"))
+    return rows.join(sums, "store_id").join(ok, "store_id")
+
+
+@query
+def occurrence_chain_checks(spark, sf):
+    """MOD7 + MOD10 + ENS2-ENS5 over a fitted classifier and the closed forms:
+    the sweep's counts add up to the validation rows at each cut, every
+    probability lies in 0..1, and the final counts do too."""
+    c, tr, va = _coded(spark, sf)
+    fitted = MD.occurrence_model(tr, va, "lr", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
+    probs = materialize(c.occurrence_probs.unionByName(fitted), "fitted-occurrence", ["store_id"])
+    scored = E.power_mean(probs)
+    sweep = E.threshold_sweep(scored)
+    final = E.final_metrics(scored, E.best_threshold(sweep).select("optimal_threshold").scalar())
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    a = sweep.agg(F.count(F.lit(1)).alias("n_cuts"), F.min(total).alias("least"), F.max(total).alias("most"))
+    b = probs.agg(F.count_distinct("model_id").alias("n_models"),
+                  F.sum((~F.col("prob").between(0, 1)).cast("int")).cast("bigint").alias("n_outside"))
+    one = F.lit(1).alias("one")
+    return (a.select("*", one).join(b.select("*", one), "one")
+            .join(final.select(total.alias("final_rows"), one), "one").drop("one"))
+
+
 @query
 def seq_occurrence(spark, sf):
-    """MOD8 (re-aimed): classifier over flattened 28-day windows (WIN8 + FLT2)."""
+    """MOD8 (re-aimed): classifier over flattened 28-day windows of all inputs
+    (WIN8 + FLT2), numeric ones scaled per store by the train rows (AGG19)."""
     c = ctx(spark, sf)
-    cols = ["id", "d", "d_int", "store_id"] + SEQ_FEATURES
-    src = c.features.select(*cols).fillna(0, subset=SEQ_FEATURES)
     t = c.train_end
-    tr_rows = src.where((F.col("d_int") >= t + 1 - 365) & (F.col("d_int") <= t))
-    va_rows = src.where((F.col("d_int") >= t + 1 - 27) & (F.col("d_int") <= t + c.horizon))
+    src = sequence_inputs(c.features, t).select("id", "d", "d_int", "store_id", "sales", *SEQ_FEATURES)
+    tr_rows = src.where(F.col("d_int") <= t)
+    va_rows = src.where(F.col("d_int") >= t + 1 - 27)
 
     def seqs(rows):
         s = SQ.flatten_sequence(SQ.sequence_windows(rows, SEQ_FEATURES), SEQ_FEATURES)

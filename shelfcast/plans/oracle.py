@@ -289,6 +289,47 @@ def _r(expr: str, name: str) -> str:
     return f"round({expr}, 6) AS {name}"
 
 
+_INTS = ["sales", "wm_yr_wk", "snap_CA", "snap_TX", "snap_WI", "d_int"]
+_RANGES = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(min({c}) AS BIGINT) AS min_value, CAST(max({c}) AS BIGINT) AS max_value "
+    "FROM (SELECT *, CAST(split_part(d, '_', 2) AS INTEGER) AS d_int FROM joined)" for c in _INTS)
+_NARROW = """CASE WHEN min_value > -128 AND max_value < 127 THEN 'tinyint'
+          WHEN min_value > -32768 AND max_value < 32767 THEN 'smallint'
+          WHEN min_value > -2147483648 AND max_value < 2147483647 THEN 'int' ELSE NULL END"""
+_SCALED = ["wday", "month", "year", "sell_price", "sales_lag_28", "sales_lag_35", "sales_lag_42",
+           *[f"rolling_{s}_{n}" for n in (7, 14, 30, 60) for s in ("mean", "std")],
+           "price_change_w1", "price_change_m1", "price_max_ratio", "days_since_event", "days_to_event",
+           "sales_lag_364", "item_wday_mean", "dept_wday_mean", "item_event_mean"]
+_T = "(SELECT t FROM tend)"
+_YEAR = f"d_int >= {_T} + 1 - 365 AND d_int <= {_T}"
+_SCALES = ", ".join(f"avg(COALESCE({c}, 0)) AS m_{c}, stddev_pop(COALESCE({c}, 0)) AS p_{c}, "
+                    f"stddev_samp(COALESCE({c}, 0)) AS s_{c}" for c in _SCALED)
+_SCALE_CTE = f"(SELECT store_id, {_SCALES} FROM features WHERE {_YEAR} GROUP BY store_id)"
+
+
+def _scaled_windows(first: int, frame: str) -> str:
+    z = ", ".join(f"(COALESCE(f.{c}, 0) - m_{c}) / CASE WHEN p_{c} = 0 THEN 1 ELSE p_{c} END AS {c}" for c in _SCALED)
+    sums = ", ".join(f"round(sum({c}) OVER w, 3) + 0.0 AS {c}_sum" for c in _SCALED)
+    return (f"SELECT * EXCLUDE (n) FROM (SELECT id, d_int, CAST(sales > 0 AS INTEGER) AS label, {sums}, count(*) OVER w AS n "
+            f"FROM (SELECT f.id, f.d_int, f.sales, {z} FROM features f JOIN {_SCALE_CTE} k ON k.store_id = f.store_id "
+            f"WHERE f.d_int >= {_T} + 1 - {first} AND f.d_int <= {_T} + 28) "
+            f"WINDOW w AS (PARTITION BY id ORDER BY d_int ROWS BETWEEN {frame})) WHERE n = 28")
+
+
+def _narrowed() -> str:
+    """One row per feature column: its narrow type and its count of values."""
+    ints = [*_INTS, "wday", "month", "year", "sales_lag_28", "sales_lag_35", "sales_lag_42", "sales_lag_364"]
+    floats = [c for c in _SCALED if c not in ints and not c.startswith("days_")]
+    texts = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id", "d", "event_name_1", "event_type_1",
+             "event_name_2", "event_type_2"]
+    rows = [f"SELECT '{c}' AS \"column\", {_NARROW} AS type, n_values FROM (SELECT min({c}) AS min_value, "
+            f"max({c}) AS max_value, count({c}) AS n_values FROM features)" for c in ints]
+    rows += [f"SELECT '{c}', '{kind}', count({c}) FROM features" for kind, cols in (
+        ("float", floats), ("string", texts), ("smallint", ["days_since_event", "days_to_event"]), ("date", ["date"]))
+        for c in cols]
+    return " UNION ALL ".join(rows)
+
+
 _F = ", ".join(f"round(F{i}, 6) AS F{i}" for i in range(1, 29))
 _PIVOT = ", ".join(
     f"max(CASE WHEN fd = {i} THEN simple_avg_pred END) AS F{i}" for i in range(1, 29))
@@ -324,21 +365,8 @@ SQL = {
     "log_target_roundtrip": """SELECT id, d, sales, round(ln(1 + sales), 6) AS log_sales,
         round(exp(ln(1 + sales)) - 1, 6) AS roundtrip FROM panel""",
     "occurrence_label": "SELECT id, d, sales, CAST(sales > 0 AS INTEGER) AS label FROM panel",
-    "column_ranges": """SELECT * FROM (
-        SELECT 'sales' AS "column", CAST(min(sales) AS BIGINT) AS min_value, CAST(max(sales) AS BIGINT) AS max_value FROM joined
-        UNION ALL SELECT 'wm_yr_wk', min(wm_yr_wk), max(wm_yr_wk) FROM joined
-        UNION ALL SELECT 'snap_CA', min(snap_CA), max(snap_CA) FROM joined
-        UNION ALL SELECT 'snap_TX', min(snap_TX), max(snap_TX) FROM joined
-        UNION ALL SELECT 'snap_WI', min(snap_WI), max(snap_WI) FROM joined)""",
-    "narrow_types": """SELECT *, CASE WHEN min_value > -128 AND max_value < 127 THEN 'tinyint'
-          WHEN min_value > -32768 AND max_value < 32767 THEN 'smallint'
-          WHEN min_value > -2147483648 AND max_value < 2147483647 THEN 'int' ELSE NULL END AS narrow_type
-        FROM (
-        SELECT 'sales' AS "column", CAST(min(sales) AS BIGINT) AS min_value, CAST(max(sales) AS BIGINT) AS max_value FROM joined
-        UNION ALL SELECT 'wm_yr_wk', min(wm_yr_wk), max(wm_yr_wk) FROM joined
-        UNION ALL SELECT 'snap_CA', min(snap_CA), max(snap_CA) FROM joined
-        UNION ALL SELECT 'snap_TX', min(snap_TX), max(snap_TX) FROM joined
-        UNION ALL SELECT 'snap_WI', min(snap_WI), max(snap_WI) FROM joined)""",
+    "column_ranges": f"SELECT * FROM ({_RANGES})",
+    "narrow_types": f"SELECT *, {_NARROW} AS narrow_type FROM ({_RANGES})",
     "price_momentum": "SELECT id, d, round(price_change_w1, 6) AS price_change_w1, round(price_change_m1, 6) AS price_change_m1 FROM feat",
     "price_max_ratio": "SELECT id, d, round(price_max_ratio, 6) AS price_max_ratio FROM feat",
     "sales_lags": """SELECT id, d, CAST(sales_lag_28 AS DOUBLE) AS sales_lag_28,
@@ -475,6 +503,82 @@ SQL = {
         WHERE e.id = 'BRAND_1_AF_1_evaluation'""",
     "safety_stock": """SELECT id, d, round(simple_avg_pred, 6) AS forecast,
         CAST(trunc(simple_avg_pred * 3 * 1.15) AS INTEGER) AS safety_stock FROM ens""",
+    "event_distance_panel": """SELECT id, d, CAST(days_since_event AS INTEGER) AS days_since_event,
+        CAST(days_to_event AS INTEGER) AS days_to_event FROM features""",
+    "standardize_sample": f"""SELECT f.id, {", ".join(
+        f"round(sum((COALESCE(f.{c}, 0) - m_{c}) / (s_{c} + 1e-8)), 3) + 0.0 AS {c}_z" for c in _SCALED)}
+        FROM features f JOIN {_SCALE_CTE} k ON k.store_id = f.store_id WHERE {_YEAR} GROUP BY f.id""",
+    "sequence_features": _scaled_windows(27, "27 PRECEDING AND CURRENT ROW"),
+    "sequence_features_next": _scaled_windows(28, "28 PRECEDING AND 1 PRECEDING"),
+    "rmse_global": "SELECT round(sqrt(avg(power(sales - simple_avg_pred, 2))), 6) AS rmse FROM ens",
+    "validation_counts": """SELECT count(*) AS n_rows, count(DISTINCT store_id) AS n_stores,
+        CAST(sum(CAST(sales > 0 AS INTEGER)) AS BIGINT) AS n_sold FROM valf""",
+    "ensemble_weights_past": f"""SELECT q.id, q.d,
+        round(sum(w.raw * greatest(q.pred, 0)) / sum(w.raw) * 0.98, 6) AS simple_avg_pred
+        FROM qpreds q JOIN (SELECT store_id, model_id, 1.0 / (sqrt(avg(power(sales - pred, 2))) + 1e-6) AS raw
+                            FROM qpreds WHERE {_D_INT} <= {_T} + 14 GROUP BY 1, 2) w
+          ON w.store_id = q.store_id AND w.model_id = q.model_id
+        WHERE {_D_INT} > {_T} + 14 GROUP BY q.id, q.d""",
+    "threshold_choice_past": f"""WITH half AS (SELECT *, {_D_INT} <= {_T} + 14 AS early FROM scored),
+        n AS (SELECT c.threshold,
+            sum(CASE WHEN s.score >= c.threshold AND s.label = 1 THEN 1 ELSE 0 END) AS tp,
+            sum(CASE WHEN s.score >= c.threshold AND s.label = 0 THEN 1 ELSE 0 END) AS fp,
+            sum(CASE WHEN s.score < c.threshold AND s.label = 1 THEN 1 ELSE 0 END) AS fn,
+            sum(CASE WHEN s.score < c.threshold AND s.label = 0 THEN 1 ELSE 0 END) AS tn
+          FROM cuts c CROSS JOIN half s WHERE s.early GROUP BY 1),
+        q AS (SELECT threshold,
+            COALESCE((tp + tn) / NULLIF(CAST(tp + fp + fn + tn AS DOUBLE), 0), 0) AS a,
+            COALESCE(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0) AS p,
+            COALESCE(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0) AS r,
+            COALESCE(2 * tp / NULLIF(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f FROM n),
+        cut AS (SELECT CASE WHEN beats = 1 OR f > 0 THEN threshold ELSE 0.5 END AS t FROM (
+            SELECT *, CAST(a > 0.6720 AND p > 0.6510 AND r > 0.5840 AND f > 0.6160 AS INTEGER) AS beats FROM q)
+          ORDER BY beats DESC, f DESC, threshold LIMIT 1),
+        m AS (SELECT
+            CAST(sum(CASE WHEN score >= t AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+            CAST(sum(CASE WHEN score >= t AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+            CAST(sum(CASE WHEN score < t AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+            CAST(sum(CASE WHEN score < t AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+            any_value(t) AS optimal_threshold FROM half, cut WHERE NOT early)
+        SELECT tp, fp, fn, tn, round(COALESCE(2 * tp / NULLIF(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1,
+            optimal_threshold FROM m""",
+    "price_max_ratio_causal": """SELECT id, d, round(COALESCE(sell_price / NULLIF(max(sell_price) OVER (
+        PARTITION BY id ORDER BY d_int ROWS UNBOUNDED PRECEDING), 0), CAST(1 AS DOUBLE)), 6) AS price_max_ratio FROM panel""",
+    "standardize_train_fit": f"""SELECT f.id, f.d,
+        round((f.sell_price - s.mp) / CASE WHEN s.sp = 0 THEN 1 ELSE s.sp END, 6) AS sell_price_z,
+        round((COALESCE(f.sales_lag_28, 0) - s.ml) / CASE WHEN s.sl = 0 THEN 1 ELSE s.sl END, 6) AS sales_lag_28_z
+        FROM feat f JOIN (
+          SELECT store_id, avg(sell_price) AS mp, stddev_pop(sell_price) AS sp,
+                 avg(COALESCE(sales_lag_28, 0)) AS ml, stddev_pop(COALESCE(sales_lag_28, 0)) AS sl
+          FROM feat WHERE d_int <= {_T} GROUP BY store_id) s ON s.store_id = f.store_id""",
+    "narrowed_features": _narrowed(),
+    "files_round_trip": """SELECT date, CAST(sum(sales) AS BIGINT) AS sales,
+        count(sell_price) AS n_prices, round(sum(sell_price), 3) + 0.0 AS prices,
+        (SELECT 2 * count(DISTINCT id) FROM sales_long) AS n_template FROM joined GROUP BY date""",
+    "metrics_json": """SELECT
+        round(COALESCE((tp + tn) / NULLIF(CAST(tp + fp + fn + tn AS DOUBLE), 0), 0), 6) AS "Accuracy",
+        round(COALESCE(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS "Precision",
+        round(COALESCE(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS "Recall",
+        round(COALESCE(2 * tp / NULLIF(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1_score,
+        t AS "Optimal_Threshold", k AS "All_Kill_Success" FROM (SELECT
+            sum(CASE WHEN s.score >= b.optimal_threshold AND s.label = 1 THEN 1 ELSE 0 END) AS tp,
+            sum(CASE WHEN s.score >= b.optimal_threshold AND s.label = 0 THEN 1 ELSE 0 END) AS fp,
+            sum(CASE WHEN s.score < b.optimal_threshold AND s.label = 1 THEN 1 ELSE 0 END) AS fn,
+            sum(CASE WHEN s.score < b.optimal_threshold AND s.label = 0 THEN 1 ELSE 0 END) AS tn,
+            any_value(b.optimal_threshold) AS t, any_value(b.all_kill_success) AS k FROM scored s, best b)""",
+    "item_comparison": f"""SELECT v.date, v.label AS actual_sold, round(o.prob, 6) AS single_prob,
+        round(s.score, 6) AS v10_prob FROM valo v
+        LEFT JOIN oprobs o ON o.id = v.id AND o.d = v.d AND o.model_id = 'series_wday_rate'
+        LEFT JOIN scored s ON s.id = v.id AND s.d = v.d WHERE v.id = 'BRAND_1_AF_1_evaluation'""",
+    "lookback_split_next": f"""SELECT id, d, 'train' AS split FROM panel WHERE {_YEAR}
+        UNION ALL SELECT id, d, 'validation' FROM panel
+          WHERE d_int >= {_T} + 1 - 28 AND d_int <= {_T} + 28""",
+    "fitted_ensemble_checks": """SELECT store_id, CAST(16 AS BIGINT) AS n_models, 16 * count(*) AS n_rows,
+        CAST(1 AS DOUBLE) AS weight_sum, true AS is_mean FROM valf GROUP BY store_id""",
+    "occurrence_chain_checks": """SELECT CAST(161 AS BIGINT) AS n_cuts, count(*) AS least, count(*) AS most,
+        CAST(5 AS BIGINT) AS n_models, CAST(0 AS BIGINT) AS n_outside, count(*) AS final_rows FROM valf""",
+    "forecast_sample": """SELECT id AS item, round(simple_avg_pred, 2) AS forecast FROM ens
+        ORDER BY md5(id || '|' || d || '|42'), id, d LIMIT 200""",
     "forecast_head": """SELECT id, d, round(simple_avg_pred, 6) AS forecast FROM ens
         ORDER BY id, d LIMIT 5""",
 }
@@ -492,5 +596,6 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in SQL.items():
         prefix = PREFIX + (_PIV_CTE if name == "submission_table" else "")
-        out[name] = prefix + body
+        # A query with steps of its own adds them to the shared ones.
+        out[name] = prefix.rstrip() + "," + body[4:] if body.startswith("WITH") else prefix + body
     return out

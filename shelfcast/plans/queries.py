@@ -6,6 +6,7 @@ are rounded to 6 places on both sides where summation order could differ.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import columns as C
 from shelfcast.functions.narrowing import column_ranges, narrow_expr_sql
+from shelfcast.functions.narrowing import narrow_types as narrow_cast
 from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
 from shelfcast.operators import metrics as M
@@ -21,11 +23,18 @@ from shelfcast.operators import publish as PB
 from shelfcast.operators import reshape as R
 from shelfcast.operators import sequences as SQ
 from shelfcast.plans.context import ctx
+from shelfcast.session import checkpoint_dir, materialize
+from shelfcast.sources import files as FS
 from shelfcast.sources import standin as S
 
 OVERLAY_SERIES = "BRAND_1_AF_1_evaluation"
+CATEGORIES = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
 ROUND = 6
 
+#: The numeric inputs of the sequence model: all features but the categories
+#: and the 0/1 flags.
+SCALED = [f for f in FT.OCCURRENCE_FEATURES if f not in CATEGORIES and not f.startswith("snap_")]
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -42,14 +51,19 @@ def r6(c, name: str | None = None):
     return col.alias(alias) if alias else col
 
 
+def r3(c, name: str):
+    """Round a sum of scaled values to 3 places, without a negative zero."""
+    return (F.round(c, 3) + F.lit(0.0)).alias(name)
+
+
 # ------------------------------------------------------------ reshape / panel
 
 
-def _raw_joined(spark, sf):
-    """The star join computed from the raw tables (not the materialized panel)."""
-    c = ctx(spark, sf, persist=False)
-    daily = S.daily_lines(spark, sf)
-    return P.star_join(S.sales_long(spark, sf, daily), c.calendar, S.sell_prices(spark, sf, daily))
+def _joined_from_daily(spark, sf):
+    """The star join computed from the daily sums: the one table that reads the
+    raw line items, written once per application."""
+    c = ctx(spark, sf)
+    return P.star_join(S.sales_long(spark, sf, c.daily), c.calendar, S.sell_prices(spark, sf, c.daily))
 
 
 @query
@@ -69,7 +83,7 @@ def daily_total_sales(spark, sf):
 @query
 def dense_panel(spark, sf):
     """RSH4: sparse non-zero daily sales densified over every day, 0-filled."""
-    sparse = S.sparse_sales(spark, sf)
+    sparse = S.sparse_sales(spark, sf, ctx(spark, sf).daily)
     lo, hi = S.date_bounds(spark, sf)  # the calendar's range, read once
     return R.dense_grid(sparse, ["item_id", "dept_id", "cat_id", "store_id", "state_id"], "date",
                         lo, hi, value_cols=["sales"])
@@ -78,20 +92,20 @@ def dense_panel(spark, sf):
 @query
 def star_join(spark, sf):
     """JON1/JON2: panel x calendar (inner on d) x prices (left on 3 keys)."""
-    return _raw_joined(spark, sf).withColumn("sell_price", r6("sell_price"))
+    return _joined_from_daily(spark, sf).withColumn("sell_price", r6("sell_price"))
 
 
 @query
 def drop_prerelease(spark, sf):
     """FLT4: the panel without rows before an item's first price."""
-    return P.drop_prerelease(_raw_joined(spark, sf)).select(
+    return P.drop_prerelease(_joined_from_daily(spark, sf)).select(
         *S.ID_COLS, "d", "sales", "wm_yr_wk", r6("sell_price"))
 
 
 @query
 def prerelease_counts(spark, sf):
     """FLT4 report: rows before / after / removed."""
-    return P.prerelease_counts(_raw_joined(spark, sf))
+    return P.prerelease_counts(_joined_from_daily(spark, sf))
 
 
 @query
@@ -116,9 +130,9 @@ def day_index(spark, sf):
 
 @query
 def date_parts(spark, sf):
-    """SCL2/SCL3: weekday (Monday = 0), month, year of each calendar day."""
-    cal = ctx(spark, sf).calendar
-    return FT.add_date_parts(cal.select("d", "date")).select("d", "date", "wday", "month", "year")
+    """SCL2/SCL3: weekday (Monday = 0), month, year of each panel day."""
+    days = ctx(spark, sf).joined.select("d", "date").distinct()
+    return FT.add_date_parts(days).select("d", "date", "wday", "month", "year")
 
 
 @query
@@ -147,15 +161,13 @@ def occurrence_label(spark, sf):
 @query
 def column_ranges_q(spark, sf):
     """AGG17: min / max of every integer column of the joined panel."""
-    j = ctx(spark, sf).joined
-    return column_ranges(j, ["sales", "wm_yr_wk", "snap_CA", "snap_TX", "snap_WI"])
+    return column_ranges(ctx(spark, sf).joined)
 
 
 @query
 def narrow_types(spark, sf):
     """DWN1: narrowest strict integer type per column, from one range pass."""
-    j = ctx(spark, sf).joined
-    rng = column_ranges(j, ["sales", "wm_yr_wk", "snap_CA", "snap_TX", "snap_WI"])
+    rng = column_ranges(ctx(spark, sf).joined)
     return rng.withColumn("narrow_type", F.expr(narrow_expr_sql("x")))
 
 
@@ -198,34 +210,45 @@ def event_distance(spark, sf):
     return FT.event_days(ctx(spark, sf).panel)
 
 
-def _encoded(spark, sf):
+@query
+def event_distance_panel(spark, sf):
+    """JON3: the distances joined to every panel row by date."""
+    f = FT.event_distance(ctx(spark, sf).panel)
+    return f.select("id", "d", F.col("days_since_event").cast("int").alias("days_since_event"),
+                    F.col("days_to_event").cast("int").alias("days_to_event"))
+
+
+def _encoded(spark, sf, *keys):
+    """The panel's distinct keys, which take the encodings, and the train rows:
+    the panel itself is only aggregated, never joined."""
     c = ctx(spark, sf)
-    return FT.add_date_parts(c.panel), c.train_end
+    df = FT.add_date_parts(c.panel)
+    return df.select(*keys).distinct(), FT.train_rows(df, c.train_end)
 
 
 @query
 def target_encode_item_wday(spark, sf):
     """AGG2: train mean sales per (item, weekday), item mean fallback, then 0."""
-    df, t = _encoded(spark, sf)
-    enc = FT.target_encode(df, t, ["item_id", "wday"], "item_wday_mean", "quantity",
-                           fallback_keys=["item_id"])
-    return enc.select("item_id", "wday", r6("item_wday_mean")).distinct()
+    keys, train = _encoded(spark, sf, "item_id", "wday")
+    enc = FT.target_encode(keys, None, ["item_id", "wday"], "item_wday_mean", "quantity",
+                           fallback_keys=["item_id"], train=train)
+    return enc.select("item_id", "wday", r6("item_wday_mean"))
 
 
 @query
 def target_encode_dept_wday(spark, sf):
     """AGG3: train occurrence rate per (department, weekday), 0 when missing."""
-    df, t = _encoded(spark, sf)
-    enc = FT.target_encode(df, t, ["dept_id", "wday"], "dept_wday_mean", "occurrence")
-    return enc.select("dept_id", "wday", r6("dept_wday_mean")).distinct()
+    keys, train = _encoded(spark, sf, "dept_id", "wday")
+    enc = FT.target_encode(keys, None, ["dept_id", "wday"], "dept_wday_mean", "occurrence", train=train)
+    return enc.select("dept_id", "wday", r6("dept_wday_mean"))
 
 
 @query
 def target_encode_item_event(spark, sf):
     """AGG4: train occurrence rate per (item, event); non-event days get 0."""
-    df, t = _encoded(spark, sf)
-    enc = FT.target_encode(df, t, ["item_id", "event_name_1"], "item_event_mean", "occurrence")
-    return enc.select("item_id", "event_name_1", r6("item_event_mean")).distinct()
+    keys, train = _encoded(spark, sf, "item_id", "event_name_1")
+    enc = FT.target_encode(keys, None, ["item_id", "event_name_1"], "item_event_mean", "occurrence", train=train)
+    return enc.select("item_id", "event_name_1", r6("item_event_mean"))
 
 
 @query
@@ -235,28 +258,24 @@ def target_encode_quantity(spark, sf):
     Keys carry the store, so each store gets its own (dept, weekday) and
     (item, event) means of sales, as the single-store script computes for one.
     """
-    df, t = _encoded(spark, sf)
-    enc = FT.target_encode(df, t, ["store_id", "dept_id", "wday"], "dept_wday_qty", "quantity")
-    enc = FT.target_encode(enc, t, ["store_id", "item_id", "event_name_1"], "item_event_qty", "quantity")
+    keys, train = _encoded(spark, sf, "store_id", "item_id", "dept_id", "wday", "event_name_1")
+    enc = FT.target_encode(keys, None, ["store_id", "dept_id", "wday"], "dept_wday_qty", "quantity", train=train)
+    enc = FT.target_encode(enc, None, ["store_id", "item_id", "event_name_1"], "item_event_qty", "quantity",
+                           train=train)
     return enc.select("store_id", "item_id", "dept_id", "wday", "event_name_1",
-                      r6("dept_wday_qty"), r6("item_event_qty")).distinct()
+                      r6("dept_wday_qty"), r6("item_event_qty"))
 
 
 @query
 def category_codes(spark, sf):
     """WIN10: per categorical column, value -> rank among sorted distinct values, NULL -> -1."""
     p = ctx(spark, sf).panel
-    cols = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
-    parts = []
-    for c in cols:
-        vals = p.select(F.col(c).alias("value")).distinct()
-        dic = FT.category_dictionary(p, c)
-        parts.append(vals.join(dic, "value", "left").select(
-            F.lit(c).alias("column"), "value", F.coalesce("code", F.lit(-1)).alias("code")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    known = FT.category_dictionaries(p, CATEGORIES)
+    absent = p.agg(*[F.max(F.col(c).isNull()).alias(c) for c in CATEGORIES])
+    missing = absent.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("some"))
+                                                for c in CATEGORIES])).alias("m")).where("m.some")
+    return known.unionByName(missing.select("m.column", F.lit(None).cast("string").alias("value"),
+                                            F.lit(-1).alias("code")))
 
 
 @query
@@ -268,6 +287,45 @@ def standardize_features(spark, sf):
     return z.select("id", "d", r6("sell_price", "sell_price_z"), r6("sales_lag_28", "sales_lag_28_z"))
 
 
+@query
+def standardize_sample(spark, sf):
+    """AGG19, second form: sample std + 1e-8, every numeric feature of the
+    lookback rows, one scale per store."""
+    c = ctx(spark, sf)
+    cols = SCALED
+    f = P.lookback_split(c.features, c.train_end).where(F.col("split") == "train")
+    z = FT.standardize(f, cols, by="store_id", ddof=1, eps=1e-8)
+    return z.groupBy("id").agg(*[r3(F.sum(x), f"{x}_z") for x in cols])
+
+
+def _window_sum(name: str):
+    """Sum of one input over a window's rows."""
+    return F.aggregate("seq", F.lit(0.0), lambda total, step: total + step[name])
+
+
+@query
+def sequence_features(spark, sf):
+    """WIN8 over the model's inputs: every feature of the 28 rows ending at the
+    labelled validation row, scaled per store on the train rows (AGG19), as
+    sums over the window."""
+    c = ctx(spark, sf)
+    rows = SQ.scaled_inputs(c.features, c.train_end, SCALED)
+    va = rows.where(F.col("d_int") >= c.train_end + 1 - 27)
+    seqs = SQ.sequence_windows(va, SCALED)
+    return seqs.select("id", "d_int", "label", *[r3(_window_sum(x), f"{x}_sum") for x in SCALED])
+
+
+@query
+def sequence_features_next(spark, sf):
+    """WIN9 over the model's inputs: the 28 rows before the labelled one, with
+    28 context days (FLT2)."""
+    c = ctx(spark, sf)
+    rows = SQ.scaled_inputs(c.features, c.train_end, SCALED)
+    va = rows.where(F.col("d_int") >= c.train_end + 1 - 28)
+    seqs = SQ.sequence_windows_next(va, SCALED)
+    return seqs.select("id", "d_int", "label", *[r3(_window_sum(x), f"{x}_sum") for x in SCALED])
+
+
 @query
 def sequence_windows(spark, sf):
     """WIN8: 28-row windows ending at the labelled row, never crossing series."""
@@ -304,6 +362,122 @@ def model_rmse(spark, sf):
     return ctx(spark, sf).model_rmse.select("store_id", "model_id", r6("rmse"))
 
 
+@query
+def rmse_global(spark, sf):
+    """AGG6: one RMSE over all validation rows."""
+    return M.rmse(ctx(spark, sf).ensemble).select(r6("rmse"))
+
+
+@query
+def validation_counts(spark, sf):
+    """AGG18: rows, stores and sold rows of the validation days."""
+    c = ctx(spark, sf)
+    return M.validation_counts(E.validation_rows(c.features, c.train_end, c.horizon))
+
+
+@query
+def ensemble_weights_past(spark, sf):
+    """ENS1 with weights from other rows than it is scored on (B4): fitted on
+    the first validation fortnight, scored on the second."""
+    c = ctx(spark, sf)
+    q = c.quantity_preds.withColumn("d_int", C.day_index("d"))
+    first, second = q.where(F.col("d_int") <= c.train_end + 14), q.where(F.col("d_int") > c.train_end + 14)
+    w = E.ensemble_weights(M.rmse(first, "sales", "pred", ["store_id", "model_id"]))
+    return E.weighted_ensemble(second, w).select("id", "d", r6("simple_avg_pred"))
+
+
+@query
+def threshold_choice_past(spark, sf):
+    """ENS4/ENS5 with the cut chosen on other rows than it is scored on (B5)."""
+    c = ctx(spark, sf)
+    s = c.scored.withColumn("d_int", C.day_index("d"))
+    best = E.best_threshold(E.threshold_sweep(s.where(F.col("d_int") <= c.train_end + 14)))
+    m = E.final_metrics(s.where(F.col("d_int") > c.train_end + 14), best.select("optimal_threshold").scalar())
+    return m.select("tp", "fp", "fn", "tn", r6("f1"), "optimal_threshold")
+
+
+@query
+def price_max_ratio_causal(spark, sf):
+    """WIN2 with the running maximum instead of the whole series' (B7)."""
+    f = FT.price_momentum(ctx(spark, sf).panel, causal=True)
+    return f.select("id", "d", r6("price_max_ratio"))
+
+
+@query
+def standardize_train_fit(spark, sf):
+    """AGG19 with the scales of the train rows only (B6)."""
+    c = ctx(spark, sf)
+    z = FT.standardize(c.features, ["sell_price", "sales_lag_28"], by="store_id",
+                       fit_rows=FT.train_rows(c.features, c.train_end))
+    return z.select("id", "d", r6("sell_price", "sell_price_z"), r6("sales_lag_28", "sales_lag_28_z"))
+
+
+@query
+def narrowed_features(spark, sf):
+    """DWN1/SNK1: the feature table cast to its narrowest types, written as
+    Parquet, read again; per column its type and how many values it has."""
+    c = ctx(spark, sf)
+    back = materialize(narrow_cast(c.features.drop("occ_rate_28")), "narrowed", ["store_id"])
+    counts = back.agg(*[F.count(x).alias(x) for x in back.columns])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"),
+                                         F.lit(f.dataType.simpleString()).alias("type"),
+                                         F.col(f.name).alias("n_values")) for f in back.schema.fields]))
+    return counts.select(pairs.alias("p")).select("p.column", "p.type", "p.n_values")
+
+
+@query
+def files_round_trip(spark, sf):
+    """SRC1/SRC2/SNK2: calendar, prices and the submission template as CSV,
+    read by their schemas and joined to the panel: daily sales and sum of prices,
+    and the template's row count."""
+    c = ctx(spark, sf)
+    root = checkpoint_dir(spark) + f"/files-{uuid.uuid4().hex[:8]}"
+    cal = c.calendar.select(*[F.col(f.name) if f.name in c.calendar.columns else F.lit(None).cast(f.dataType)
+                              .alias(f.name) for f in FS.CALENDAR_SCHEMA.fields])
+    FS.write_csv(cal, f"{root}/calendar")
+    FS.write_csv(c.prices.select("sell_price", "item_id", "wm_yr_wk", "store_id"), f"{root}/prices")
+    FS.write_csv(PB.sample_submission_template(c.sales_long).orderBy("row_pos").select(
+        "id", *[F.lit(0.0).alias(f"F{i}") for i in range(1, 29)]), f"{root}/template")
+    calendar = FS.read_csv(spark, f"{root}/calendar", FS.CALENDAR_SCHEMA)
+    prices = FS.read_csv(spark, f"{root}/prices", FS.PRICES_SCHEMA)
+    n = PB.read_template(spark, f"{root}/template").agg(F.count(F.lit(1)).alias("n_template"))
+    joined = P.star_join(c.sales_long.drop("d_int"), calendar, prices)
+    daily = joined.groupBy("date").agg(F.sum("sales").alias("sales"), F.count("sell_price").alias("n_prices"),
+                                       r3(F.sum("sell_price"), "prices"))
+    return daily.withColumn("n_template", F.lit(n.first()["n_template"]))
+
+
+@query
+def metrics_json(spark, sf):
+    """SNK4: the metrics record written as JSON and read again."""
+    c = ctx(spark, sf)
+    m = E.final_metrics(c.scored, c.best.select("optimal_threshold").scalar())
+    path = checkpoint_dir(spark) + f"/metrics-{uuid.uuid4().hex[:8]}"
+    FS.write_json(FS.metrics_record(m, c.best), path)
+    back = spark.read.schema("Accuracy double, Precision double, Recall double, `F1-Score` double, "
+                             "Optimal_Threshold double, All_Kill_Success boolean").json(path)
+    return back.select(r6("Accuracy"), r6("Precision"), r6("Recall"), r6(F.col("`F1-Score`"), "f1_score"),
+                       "Optimal_Threshold", "All_Kill_Success")
+
+
+@query
+def item_comparison(spark, sf):
+    """OUT2: one series by date: sold or not, one model's probability, the
+    power mean of all."""
+    c = ctx(spark, sf)
+    single = c.occurrence_probs.where(F.col("model_id") == "series_wday_rate")
+    rows = E.validation_rows(c.features, c.train_end, c.horizon)
+    o = PB.item_comparison(rows, single, c.scored, OVERLAY_SERIES)
+    return o.select("date", "actual_sold", r6("single_prob"), r6("v10_prob"))
+
+
+@query
+def lookback_split_next(spark, sf):
+    """FLT2 with 28 days of context, for a next-step label."""
+    c = ctx(spark, sf)
+    return P.lookback_split(c.panel, c.train_end, context=28).select("id", "d", "split")
+
+
 @query
 def ensemble_weights(spark, sf):
     """ENS1: inverse-RMSE weights normalised per store."""

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators are written against.  AQE re-plans at runtime: it
 # turns sort-merge joins into broadcast joins only when the *measured* shuffle
@@ -24,6 +25,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+_WRITTEN: list[tuple[str, str]] = []  # (application, path) of materialized tables
 LOCAL_DRIVER_MEMORY = "16g"  # local mode: the driver JVM is the only executor
 
 
@@ -56,7 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is left alone.  Tests and local runs get a fresh folder.
+    folder and is left alone; without it a cluster session raises, since a
+    machine-local folder would differ per executor.  Local masters get a fresh
+    folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -66,6 +70,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if sc.getCheckpointDir() is not None:
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -84,8 +90,34 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+    if partition_by:
+        # Rows of a partition come together, a large one in several tasks:
+        # a few files per partition instead of one per partition and task.
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
     return spark.read.parquet(path)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A lookup table for a join with fact rows: written, counted, and marked
+    for broadcast if it has at most ``rows`` rows; else the join shuffles."""
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= rows else written
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this application; plans
+    over them are unusable afterwards.  Returns their number."""
+    app, n = spark.sparkContext.applicationId, 0
+    for owner, path in [w for w in _WRITTEN if w[0] == app]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+        _WRITTEN.remove((owner, path))
+    return n

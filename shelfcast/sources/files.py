@@ -48,8 +48,16 @@ WIDE_ID_COLS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header row and a fixed schema (SRC1/SRC2)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header row and a fixed schema, matched by column name (SRC1/SRC2).
+
+    The header's order is free; a column that is missing raises, further
+    columns are not read.  A value that does not fit its type is NULL.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_wide_sales(spark: SparkSession, path: str, prefix: str = "d_") -> DataFrame:
@@ -89,13 +97,8 @@ def write_store_results(df: DataFrame, path: str, store_col: str = "store_id") -
     Dynamic partition overwrite replaces only the stores present in ``df``, so
     finishing one store rewrites that store's files, not all results so far.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(store_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(store_col).parquet(path))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

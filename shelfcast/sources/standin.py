@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import day_label
 from shelfcast.operators.reshape import dense_grid, pivot_days
-from shelfcast.sources.tables import read_table
+from shelfcast.sources.tables import read_table, table_stamp
 
 ID_COLS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 SERIES_KEYS = ["item_id", "store_id"]
@@ -76,7 +76,7 @@ _BOUNDS: dict = {}
 
 def date_range(spark: SparkSession, sf_dir: str):
     """(first, last) ship date as Python dates, read once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, table_stamp(spark, sf_dir, "lineitem"))
     if key not in _BOUNDS:
         ship = read_table(spark, sf_dir, "lineitem", ["l_shipdate"])
         row = ship.agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi")).first()
@@ -93,10 +93,10 @@ def n_days(spark: SparkSession, sf_dir: str) -> int:
 def date_bounds(spark: SparkSession, sf_dir: str):
     """(first, last) ship date as two literal columns.
 
-    One aggregate over a single column (answered from Parquet footers when
-    aggregate pushdown applies); only the two dates reach the driver.  Using
-    literals keeps every downstream plan small instead of re-embedding a
-    scalar subquery wherever a bound is used.
+    One aggregate over a scan of a single column with partial minima and
+    maxima; only the two dates reach the driver.  Using literals keeps every
+    downstream plan small instead of re-embedding a scalar subquery wherever a
+    bound is used.
     """
     lo, hi = date_range(spark, sf_dir)
     return F.lit(lo), F.lit(hi)
@@ -135,7 +135,8 @@ SERIES_ATTRS = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
 def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (series, ship date) with a sale: ``sales`` (summed quantity),
-    ``ratio_sum`` (sum of unit prices of the lines) and ``n_lines``.
+    ``ratio_sum`` (sum of unit prices of the lines) and ``n_lines`` (lines that
+    have a unit price; a line without quantity has none).
 
     The single pass over the raw line items: sales and weekly prices both
     derive from it.  Partial (map-side) aggregation runs before the shuffle,
@@ -146,7 +147,7 @@ def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy(*SERIES_ATTRS, "date")
             .agg(F.sum("qty").cast("int").alias("sales"),
                  F.sum(F.try_divide("ext_price", "qty")).alias("ratio_sum"),
-                 F.count("qty").alias("n_lines")))
+                 F.count(F.try_divide("ext_price", "qty")).alias("n_lines")))
 
 
 def sparse_sales(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def table_stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Names, lengths and times of a table's files, through Spark's own file
+    systems: the same for local paths and object stores, and different as soon
+    as a file of the folder changes."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ()
+    files = fs.listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     """Scan one table.  Naming the columns keeps ``ReadSchema`` minimal."""
