@@ -7,8 +7,10 @@ neutral mentions of a group move no score, whatever the labels' bias.
 
 The fit takes a bounded sample of labelled rows (``max_labelled``, chosen by
 hash of the id); everything else covers all rows: every whole text is scored,
-in its own task, without a shuffle.  The sampled labels and the model, whose
-size the hash dimension bounds, are broadcast.
+in its own task, without a shuffle.  Features are chosen by
+counts over all sampled rows before the rows come together, so that only the
+chosen ones do.  The sampled labels and the model, whose size the hash range
+bounds, are broadcast.
 
 Defined results: a null or empty text scores the model's bias; label rows
 without a label are left out, an id with several labels counts as toxic if any
@@ -19,17 +21,22 @@ and text are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import lower_words_of, map_batches
+from shelfcast.llm.packing import pack_keys, pack_numbers, unpack_keys, unpack_numbers
 
 MAX_LABELLED = 30_000    # labelled rows that the fit takes, about
 DIMENSION = 1 << 20      # feature hash range
+SLICES = 16              # slices of the hash range, for counting
 BEGINNINGS = (4, 5, 6)   # word beginnings, in characters
 LEAST_DOCS = 3           # labelled texts a feature must stand in
 LEAST_Z = 3.0            # z value of its log odds ratio
@@ -105,55 +112,91 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, doc_id: s
     rows = rows.join(F.broadcast(y), "__id")
     other = swaps(terms)
 
+    totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("positive")).first()
+    n, positive = totals["n"], totals["positive"] or 0
+    if positive in (0, n):
+        share = positive / n if n else 0.0
+        return Model(math.log((share + 1e-6) / (1 - share + 1e-6)), {})
+    chosen = telling_features(rows, n, positive)
+
     def extract(texts: list[str | None]) -> list[tuple]:
         seen: dict[bytes, list[int]] = {}
+        kept = set(chosen)
         out = []
         for t in texts:
             words = {w.strip(_EDGE) for w in lower_words_of(t)}
-            mine = text_features(words, seen)
             named = words & other.keys()
-            swapped = text_features((words - named) | {other[w] for w in named}, seen) if named else set()
-            out.append((np.array(sorted(mine), np.int32).tobytes(),
-                        np.array(sorted(swapped), np.int32).tobytes() if named else None))
+            swapped = (words - named) | {other[w] for w in named} if named else None
+            out.append(tuple(None if ws is None else np.array(
+                sorted(text_features(ws, seen) & kept), np.int32).tobytes() for ws in (words, swapped)))
         return out
 
     found = map_batches(rows, ["__text"], extract, "features binary, swapped binary", ["toxic"])
     data = found.toArrow()
-    return _fit([np.frombuffer(b, np.int32) for b in data["features"].to_pylist()],
-                [None if b is None else np.frombuffer(b, np.int32) for b in data["swapped"].to_pylist()],
-                np.array(data["toxic"].to_pylist(), float), swap_weight)
-
-
-def _fit(texts: list[np.ndarray], swapped: list, y: np.ndarray, swap_weight: float) -> Model:
-    """Logistic fit with a ridge and the penalty on score changes under swaps."""
-    n, positive = len(y), float(y.sum())
-    if n == 0 or positive in (0.0, float(n)):
-        share = positive / n if n else 0.0
-        return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))), {})
-    lengths = np.array([len(t) for t in texts])
-    cols = np.concatenate(texts)
-    rows = np.repeat(np.arange(n), lengths)
-    df = np.bincount(cols, minlength=DIMENSION)
-    pos = np.bincount(cols, weights=y[rows], minlength=DIMENSION)
-    neg = df - pos
-    odds = np.log((pos + 0.5) / (positive - pos + 0.5)) - np.log((neg + 0.5) / (n - positive - neg + 0.5))
-    spread = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    chosen = np.flatnonzero((df >= LEAST_DOCS) & (np.abs(odds) >= LEAST_Z * spread))
-    number = np.full(DIMENSION, -1, np.int64)
-    number[chosen] = np.arange(len(chosen))
-    k = len(chosen)
+    # In an order that does not depend on the partitions, so that reruns agree.
+    rows = sorted(zip(data["features"].to_pylist(), data["toxic"].to_pylist(), data["swapped"].to_pylist()),
+                  key=lambda r: r[:2])
+    w, bias = logistic([np.frombuffer(f, np.int32) for f, _, _ in rows],
+                       [None if s is None else np.frombuffer(s, np.int32) for _, _, s in rows],
+                       np.array([t for _, t, _ in rows], float), np.array(chosen, np.int32), swap_weight)
+    return Model(bias, dict(zip(chosen, w.tolist())))
+
+
+def telling_features(rows: DataFrame, n: int, positive: int) -> list[int]:
+    """The features whose log odds ratio stands out, counted over all rows of
+    ``__text, toxic``: each batch counts its texts, the owner of a slice of the
+    feature range adds the counts up."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df, pos, seen = np.zeros(DIMENSION, np.uint32), np.zeros(DIMENSION, np.uint32), {}
+            for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                f = np.fromiter(text_features({w.strip(_EDGE) for w in lower_words_of(t)}, seen), np.int64)
+                df[f] += 1
+                if toxic:
+                    pos[f] += 1
+            out = []
+            for i in range(SLICES):
+                part = slice(i * DIMENSION // SLICES, (i + 1) * DIMENSION // SLICES)
+                at = np.flatnonzero(df[part])
+                out.append((i, pack_keys((at + part.start).astype(np.uint64)), pack_numbers(df[part][at]),
+                            pack_numbers(pos[part][at])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["slice", "features", "df", "pos"])
+
+    def choose(group: pa.Table) -> pa.Table:
+        df, pos = np.zeros(DIMENSION), np.zeros(DIMENSION)
+        for f, d, p in zip(*(group[c].to_pylist() for c in ("features", "df", "pos"))):
+            f = unpack_keys(f).astype(np.int64)
+            df[f] += unpack_numbers(d, np.uint32)
+            pos[f] += unpack_numbers(p, np.uint32)
+        neg = df - pos
+        odds = (np.log((pos + 0.5) / (positive - pos + 0.5))
+                - np.log((neg + 0.5) / (n - positive - neg + 0.5)))
+        spread = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        return pa.table({"feature": np.flatnonzero((df >= LEAST_DOCS) & (np.abs(odds) >= LEAST_Z * spread))})
+
+    counted = rows.select("__text", "toxic").mapInArrow(count, "slice int, features binary, df binary, pos binary")
+    best = counted.groupBy("slice").applyInArrow(choose, "feature long")
+    return sorted(r[0] for r in best.toLocalIterator())
+
+
+def logistic(texts: list[np.ndarray], swapped: list, y: np.ndarray, chosen: np.ndarray,
+             swap_weight: float) -> tuple[np.ndarray, float]:
+    """Weights of the chosen features and bias, with a ridge and the penalty on
+    score changes under swaps."""
+    n, k = len(y), len(chosen)
 
     def sparse(arrays):
-        c = number[np.concatenate(arrays)] if arrays else np.zeros(0, np.int64)
-        r = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
-        return r[c >= 0], c[c >= 0]
+        cols = np.searchsorted(chosen, np.concatenate([*arrays, np.zeros(0, np.int32)]))
+        return np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), cols
 
     r, c = sparse(texts)
     pairs = [i for i, s in enumerate(swapped) if s is not None]
     r1, c1 = sparse([texts[i] for i in pairs])
     r2, c2 = sparse([swapped[i] for i in pairs])
-    w, bias = np.zeros(k), float(np.log(positive / (n - positive)))
-    m, v, t = np.zeros(k + 1), np.zeros(k + 1), 0
+    w, bias = np.zeros(k), float(np.log(y.sum() / (n - y.sum())))
+    m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, STEPS + 1):  # Adam over all sampled rows
         z = np.bincount(r, weights=w[c], minlength=n) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -167,7 +210,7 @@ def _fit(texts: list[np.ndarray], swapped: list, y: np.ndarray, swap_weight: flo
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, bias = w - step[:k], bias - float(step[k])
-    return Model(bias, dict(zip(chosen.tolist(), w.tolist())))
+    return w, bias
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
