@@ -111,10 +111,11 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], fraction: s
     mark = [F.col(k).isNull() for k in keys]
     g = [f"__g{i}" for i in range(2 * len(keys))]
     df = df.withColumns(dict(zip(g, [*null_safe, *mark])))
-    sizes = df.groupBy(*g).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_bucket))
-                               .alias("__nb"))
-    df = df.join(sizes, g)
+    sizes = saved(df.groupBy(*g).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_bucket))
+                                     .alias("__nb")), "range-counts")
+    df = df.join(if_small(sizes), g)
     df = df.withColumn("__b", F.least(F.floor(F.col(fraction) * F.col("__nb")), F.col("__nb") - 1))
+    df = df.repartition(*g, "__b")  # by range, not by group: a group may be hot
     inside = Window.partitionBy(*g, "__b").orderBy(*order)
     df = df.withColumn("__in", F.sum(value).over(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value))
