@@ -66,12 +66,6 @@ def safety_stock(forecast, lead_days: int = SAFETY_LEAD_DAYS,
     return (col_(forecast) * F.lit(lead_days) * F.lit(buffer)).cast("int")
 
 
-def nan_to_null(c) -> Column:
-    """Spark ``avg`` propagates NaN; the reference treats NaN as missing."""
-    c = col_(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
 def safe_ratio(num, den, default: float | None = None) -> Column:
     """``num / den`` with NULL (or ``default``) for a missing or zero divisor (B10)."""
     r = F.try_divide(col_(num), col_(den))

@@ -23,7 +23,7 @@ from shelfcast.operators import publish as PB
 from shelfcast.operators import reshape as R
 from shelfcast.operators import sequences as SQ
 from shelfcast.plans.context import ctx
-from shelfcast.session import checkpoint_dir, materialize
+from shelfcast.session import checkpoint_dir
 from shelfcast.sources import files as FS
 from shelfcast.sources import standin as S
 
@@ -417,7 +417,9 @@ def narrowed_features(spark, sf):
     """DWN1/SNK1: the feature table cast to its narrowest types, written as
     Parquet, read again; per column its type and how many values it has."""
     c = ctx(spark, sf)
-    back = materialize(narrow_cast(c.features.drop("occ_rate_28")), "narrowed", ["store_id"])
+    path = checkpoint_dir(spark) + f"/narrowed-{uuid.uuid4().hex[:8]}"
+    FS.write_parquet(narrow_cast(c.features.drop("occ_rate_28")).hint("rebalance", "store_id"), path)
+    back = FS.read_parquet(spark, path)
     counts = back.agg(*[F.count(x).alias(x) for x in back.columns])
     pairs = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"),
                                          F.lit(f.dataType.simpleString()).alias("type"),
