@@ -3,14 +3,16 @@
 A text's set holds the hashes of its distinct word n-grams.  Two texts link
 when their sets' Jaccard similarity reaches ``percent``.
 
-1. Equal sets collapse into one node.
-2. Blocking that loses no link: sets that link differ in at most k elements,
-   k following from their size class.  The hash range is cut into more than k
-   parts, so some part holds equal elements in both; a part's content, hashed,
-   is a signature.  A set has signatures for its own size class and the next,
-   as linked sets are at most one class apart.  A batch sends each signature
-   once, with one node, so a frequent one costs a number per batch.
-3. Nodes that share signatures, directly or through others, form a family.
+1. Texts with equal word sequences collapse into one node.
+2. Blocking that loses no link (prefix filter): in one global order of the
+   n-grams, rarest first, two sets that link share an n-gram among the first
+   ``n - ceil(t n) + 1`` of each.  Texts are packed into blocks of bounded size;
+   a block asks the owners of hash ranges in how many texts its n-grams stand,
+   and the answers order its sets.  An n-gram of one text only is shared with
+   nobody, so a text that is mostly its own has no signature at all, and common
+   passages are none unless a text consists of them.  A block sends each
+   signature once, with one text, so a frequent one costs a number per block.
+3. Nodes that share a signature, directly or through others, form a family.
    A family's sets, in one global order (most frequent n-gram first), go into
    a prefix tree.  A set is looked up by walking down the tree: the overlap
    with a path is shared by all sets below it, and a subtree is left when even
@@ -25,6 +27,8 @@ joined together with the family's first set; whatever that does not reach
 Nodes and n-grams are 64-bit hashes: two of N different ones coincide with a
 chance of about N*N/4e19.
 
+Equal sets of different word sequences link like any others.
+
 Defined results: a null text or one without words has an empty set, links with
 nothing and is its own component; fewer words than n make one n-gram; null ids
 take part, and a component's id is its least non-null id (null if there is
@@ -33,7 +37,6 @@ none); repeated rows share a node; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,161 +51,183 @@ from pyspark.sql.types import StructType
 
 from shelfcast.llm.common import lower_words_of, positional, saved
 from shelfcast.llm.components import components
-from shelfcast.llm.packing import (ODD_A, ODD_C, mixed_hash, pack_keys, pack_numbers, unpack_keys,
-                                   unpack_numbers)
+from shelfcast.llm.packing import ODD_A, mixed_hash, pack_keys, pack_numbers, unpack_keys, unpack_numbers
 
 WIDTH = 3
 PERCENT = 90
-DOCS_PER_BUCKET = 8192         # documents' worth of signatures that one bucket holds
+BLOCK_BYTES = 4 << 20          # text per block (one text at least)
+BLOCKS_PER_RANGE = 4           # blocks' worth of n-grams that one hash range holds
 BLOCK_SHINGLES = 1_500_000     # n-grams of the sets that one join task holds, about
-PIECE_BYTES = 4 << 20          # text hashed at a time
 
 
-def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
-    """Each text's set: sorted distinct 64-bit hashes of its word n-grams."""
+def shingle_sets(texts: list[list[bytes]], width: int = WIDTH) -> list[np.ndarray]:
+    """The sets of texts given as words: sorted distinct 64-bit n-gram hashes."""
     numbers: dict[bytes, int] = {}
-    lengths, flat = [], []
-    for t in texts:
-        words = lower_words_of(t)
-        lengths.append(len(words))
-        flat.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
+    flat = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+            for words in texts]
     table = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
     out = []
     for words in flat:
         h = table[words]
-        if not len(h):
-            out.append(h)
-            continue
         w = min(width, len(h))
-        key = np.full(len(h) - w + 1, w, np.uint64)
+        key = np.full(len(h) - w + 1 if w else 0, w, np.uint64)
         for i in range(w):
             key = mixed_hash(key * ODD_A + h[i:i + len(key)])
         out.append(np.unique(key))
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """A set's node number, a signed 64-bit hash."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
-class SizeClasses:
-    """Size classes so wide that linked sets are at most one class apart."""
-
-    def __init__(self, percent: int = PERCENT):
-        self.percent = percent
-        self.tops = [1]
-        self.known: list[tuple[int, int]] = []
-
-    def of(self, n: int) -> int:
-        while self.tops[-1] < n:
-            top = self.tops[-1]
-            self.tops.append(max(top + 1, top * 100 // self.percent))
-        return int(np.searchsorted(self.tops, n))
-
-    def parts(self, c: int) -> tuple[int, int]:
-        """Parts of the hash range for class ``c``, and how many of them may be
-        empty in a set without being signed.
-
-        Linked sets of which the larger is of class c differ in at most
-        k = (1-t)/(1+t) of both sizes together, so of k + 1 + spare parts at
-        least 1 + spare agree, and one of those is not empty in a set with at
-        most ``spare`` empty parts.  ``spare`` is what random sets hardly exceed.
-        """
-        while len(self.known) <= c:
-            i = len(self.known)
-            while len(self.tops) <= i:
-                self.of(self.tops[-1] + 1)
-            k = (100 - self.percent) * 2 * self.tops[i] // (100 + self.percent)
-            least = self.tops[i - 2] + 1 if i > 1 else 1
-            empty = (k + 1) * math.exp(-least / (k + 1))
-            spare = math.ceil(empty + 5 * math.sqrt(empty) + 1) if k else 0
-            self.known.append((k + 1 + spare, spare))
-        return self.known[c]
-
-
-def signatures(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Signatures of a sorted, non-empty set for its class and the next."""
-    own = classes.of(len(s))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed_hash(s + ODD_A), dtype=np.uint64)])
-    out = []
-    for c in (own, own + 1):
-        parts, spare = classes.parts(c)
-        step = ((1 << 64) - 1) // parts  # the last part takes what is left over
-        cuts = np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(step))
-        edges = np.concatenate([[0], cuts, [len(s)]])
-        content = sums[edges[1:]] - sums[edges[:-1]]
-        sign = mixed_hash(content * ODD_C + np.arange(parts, dtype=np.uint64) * ODD_A + np.uint64(c + 1))
-        full = edges[1:] > edges[:-1]
-        out.append(sign[full] if parts - np.count_nonzero(full) <= spare else sign)
-    return np.concatenate(out)
+def prefix_length(n: int, percent: int) -> int:
+    """How many of a set's first n-grams hold one of every set it links with."""
+    return n - -(-percent * n // 100) + 1
 
 
-SETS = ("kind int, uid long, doc_id {id}, text_hash long, n long, node long, first boolean, body binary, "
-        "bucket int, signs binary, rows binary, a long, b long")
+TEXTS = ("kind int, uid long, doc_id {id}, text_hash long, node long, first boolean, "
+         "block long, rows binary, body binary")
 
 
-def prepare(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+def prepare(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> DataFrame:
     """One pass over the texts, written to the shared checkpoint folder: rows of
-    kind 0 are documents (with the compressed text where its set is the first
-    of its kind in the batch), of kind 1 signatures by bucket with the batch's
-    rows they are from (counted from ``uid``), of kind 2 edges between rows (by
-    uid) of a batch that share a signature."""
+    kind 0 are the documents, ``first`` where a batch has their word sequence
+    for the first time; rows of kind 1 are blocks of such texts, as words joined
+    by spaces, with their places counted from the block's number, a uid."""
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
                       F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"))
-    buckets = max(1, -(-src.count() // DOCS_PER_BUCKET))
-    schema = StructType.fromDDL(SETS.format(id=src.schema["doc_id"].dataType.simpleString()))
+    schema = StructType.fromDDL(TEXTS.format(id=src.schema["doc_id"].dataType.simpleString()))
     arrow = to_arrow_schema(schema)
 
-    def table(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays(
-            [columns[f.name].cast(f.type) if isinstance(columns.get(f.name), pa.Array)
-             else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type)
-             for f in arrow], schema=arrow)
-
     def pass_over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
-        classes = SizeClasses(percent)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes, nodes, first, bodies, signs, owners = [], [], [], [], [], []
+            nodes, first, bodies, rows, size, blocks = [], [], [], [], 0, []
             known: set[int] = set()
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size < PIECE_BYTES and i + 1 < len(texts):
-                    continue
-                for j, s in enumerate(shingle_sets(texts[start:i + 1], width), start):
-                    node = node_of(s) if len(s) else None
-                    new = node is not None and node not in known
-                    sizes.append(len(s))
-                    nodes.append(node)
-                    first.append(new)
-                    bodies.append(squeeze(texts[j].encode()) if new else None)
-                    if new:
-                        known.add(node)
-                        signs.append(signatures(s, classes))
-                        owners.append(np.full(len(signs[-1]), j, np.uint32))
-                start, size = i + 1, 0
-            yield table(kind=[0] * len(texts), uid=range(uid, uid + len(texts)), doc_id=batch.column(0),
-                        text_hash=batch.column(2), n=sizes, node=nodes, first=first, body=bodies)
-            base, uid = uid, uid + len(texts)
-            if not signs:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                body = b" ".join(lower_words_of(t))
+                node = xxhash.xxh3_64_intdigest(body) - (1 << 63) if body else None
+                nodes.append(node)
+                first.append(node is not None and node not in known)
+                if first[-1]:
+                    known.add(node)
+                    rows.append(i)
+                    bodies.append(body)
+                    size += len(body)
+                if bodies and (size >= block_bytes or i + 1 == batch.num_rows):
+                    blocks.append((uid + rows[0], pack_numbers(np.array(rows, np.uint32) - np.uint32(rows[0])),
+                                   zstandard.ZstdCompressor(level=1).compress(b"\n".join(bodies))))
+                    bodies, rows, size = [], [], 0
+            n = batch.num_rows
+            if bodies:
+                blocks.append((uid + rows[0], pack_numbers(np.array(rows, np.uint32) - np.uint32(rows[0])),
+                               zstandard.ZstdCompressor(level=1).compress(b"\n".join(bodies))))
+            yield _table(arrow, n, kind=[0] * n, uid=range(uid, uid + n), doc_id=batch.column(0),
+                         text_hash=batch.column(2), node=nodes, first=first)
+            for block, places, body in blocks:
+                yield _table(arrow, 1, kind=[1], block=[block], rows=[places], body=[body])
+            uid += n
+
+    return saved(src.mapInArrow(pass_over, schema), "join-texts")
+
+
+def _table(schema: pa.Schema, n_rows: int, /, **columns) -> pa.RecordBatch:
+    """A batch of ``n_rows``; fields without a column are null."""
+    return pa.RecordBatch.from_arrays(
+        [columns[f.name].cast(f.type) if isinstance(columns.get(f.name), pa.Array)
+         else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n_rows, f.type)
+         for f in schema], schema=schema)
+
+
+class BlockSets:
+    """A block's sets and their distinct n-grams: ``keys``, sorted, ``texts``, in
+    how many of its texts each stands, ``at``, each set's places in ``keys``."""
+
+    def __init__(self, rows: bytes, body: bytes, width: int):
+        self.rows = unpack_numbers(rows, np.uint32)
+        self.bodies = zstandard.ZstdDecompressor().decompress(body).split(b"\n")
+        self.sets = shingle_sets([b.split(b" ") for b in self.bodies], width)
+        self.keys, at, self.texts = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        self.at = np.split(at, np.cumsum([len(x) for x in self.sets])[:-1])
+
+
+def _range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of ``ranges`` equal hash ranges begins in sorted keys, and the end."""
+    span = (1 << 64) // ranges + 1
+    inner = np.searchsorted(keys, np.array([x * span for x in range(1, ranges)], np.uint64))
+    return np.concatenate([[0], inner, [len(keys)]])
+
+
+def text_counts(blocks: DataFrame, width: int, ranges: int) -> DataFrame:
+    """``block, bucket, totals``: in how many texts of all blocks the block's
+    n-grams of a hash range stand."""
+    schema = StructType.fromDDL("bucket int, block long, keys binary, texts binary")
+    arrow = to_arrow_schema(schema)
+
+    def ask(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = BlockSets(r["rows"], r["body"], width)
+                cut = _range_cuts(b.keys, ranges)
+                some = [i for i in range(ranges) if cut[i] < cut[i + 1]]
+                yield _table(arrow, len(some), bucket=some, block=[r["block"]] * len(some),
+                             keys=[pack_keys(b.keys[cut[i]:cut[i + 1]]) for i in some],
+                             texts=[pack_numbers(b.texts[cut[i]:cut[i + 1]].astype(np.uint32)) for i in some])
+
+    def add(group: pa.Table) -> pa.Table:
+        keys = [unpack_keys(k) for k in group["keys"].to_pylist()]
+        sizes = np.cumsum([len(k) for k in keys])[:-1]
+        texts = np.concatenate([unpack_numbers(c, np.uint32) for c in group["texts"].to_pylist()])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, weights=texts, minlength=len(distinct)).astype(np.uint32)
+        return pa.table({"bucket": group["bucket"], "block": group["block"], "totals": pa.array(
+            [pack_numbers(t) for t in np.split(total[inverse], sizes)], pa.binary())})
+
+    asked = blocks.select("block", "rows", "body").mapInArrow(ask, schema)
+    return saved(asked.groupBy("bucket").applyInArrow(add, "bucket int, block long, totals binary"), "join-counts")
+
+
+SIGNED = "kind int, uid long, n long, body binary, bucket int, signs binary, rows binary, a long, b long"
+
+
+def signed(blocks: DataFrame, counts: DataFrame, width: int, percent: int, ranges: int) -> DataFrame:
+    """Rows of kind 0: the blocks' texts, their set size and, if they have a
+    signature, the text; of kind 1: signatures by bucket with the rows they are
+    from, counted from ``uid``; of kind 2: edges between rows of a block that
+    share a signature."""
+    arrow = to_arrow_schema(StructType.fromDDL(SIGNED))
+
+    def sign(block: pa.Table, reply: pa.Table) -> pa.Table:
+        r = block.to_pylist()[0]
+        b, base = BlockSets(r["rows"], r["body"], width), r["block"]
+        parts = sorted(zip(reply["bucket"].to_pylist(), reply["totals"].to_pylist()))
+        totals = np.concatenate([unpack_numbers(t, np.uint32) for _, t in parts])
+        signs, owners, bodies = [], [], []
+        for row, s, at, body in zip(b.rows, b.sets, b.at, b.bodies):
+            texts = totals[at]
+            p = prefix_length(len(s), percent)
+            own = int(np.count_nonzero(texts == 1))
+            if own >= p:
+                bodies.append(None)
                 continue
-            a, b, sign, row = shared(np.concatenate(signs), np.concatenate(owners))
+            order = np.lexsort((s, texts))[own:p]  # beyond those of this text only
+            signs.append(s[order])
+            owners.append(np.full(len(order), row, np.uint32))
+            bodies.append(zstandard.ZstdCompressor(level=1).compress(body))
+        out = [_table(arrow, len(bodies), kind=[0] * len(bodies), uid=base + b.rows.astype(np.int64),
+                      n=[len(s) for s in b.sets], body=bodies)]
+        if signs:
+            a, c, sign_, row = shared(np.concatenate(signs), np.concatenate(owners))
             if len(a):
-                yield table(kind=[2] * len(a), a=base + a.astype(np.int64), b=base + b.astype(np.int64))
-            span = (1 << 64) // buckets + 1
-            cut = np.concatenate([[0], np.searchsorted(sign, np.array(
-                [x * span for x in range(1, buckets)], np.uint64)), [len(sign)]])
-            some = [x for x in range(buckets) if cut[x] < cut[x + 1]]
-            yield table(kind=[1] * len(some), uid=[base] * len(some), bucket=some,
-                        signs=[pack_keys(sign[cut[x]:cut[x + 1]]) for x in some],
-                        rows=[pack_numbers(row[cut[x]:cut[x + 1]]) for x in some])
+                out.append(_table(arrow, len(a), kind=[2] * len(a), a=base + a.astype(np.int64),
+                                  b=base + c.astype(np.int64)))
+            cut = _range_cuts(sign_, ranges)
+            some = [i for i in range(ranges) if cut[i] < cut[i + 1]]
+            out.append(_table(arrow, len(some), kind=[1] * len(some), uid=[base] * len(some), bucket=some,
+                              signs=[pack_keys(sign_[cut[i]:cut[i + 1]]) for i in some],
+                              rows=[pack_numbers(row[cut[i]:cut[i + 1]]) for i in some]))
+        return pa.Table.from_batches(out)
 
-    return saved(src.mapInArrow(pass_over, schema), "join-sets")
+    joined = (blocks.select("block", "rows", "body").groupBy("block").cogroup(counts.groupBy("block"))
+              .applyInArrow(sign, SIGNED))
+    return saved(joined, "join-signed")
 
 
 def shared(sign: np.ndarray, row: np.ndarray) -> tuple:
@@ -218,20 +243,20 @@ def shared(sign: np.ndarray, row: np.ndarray) -> tuple:
     return pairs[:, 0], pairs[:, 1], sign[new], row[new]
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """``a, b``: edges that connect all nodes with a common signature."""
+def candidate_edges(signs: DataFrame, node: DataFrame) -> DataFrame:
+    """``a, b``: edges that connect all nodes with a common signature; ``node``
+    has ``uid, node`` of the signed rows."""
 
     def meet(group: pa.Table) -> pa.Table:
-        signs = [unpack_keys(x) for x in group["signs"].to_pylist()]
+        found = [unpack_keys(x) for x in group["signs"].to_pylist()]
         rows = [unpack_numbers(x, np.uint32).astype(np.int64) + base
                 for x, base in zip(group["rows"].to_pylist(), group["uid"].to_pylist())]
-        a, b, _, _ = shared(np.concatenate(signs), np.concatenate(rows))
+        a, b, _, _ = shared(np.concatenate(found), np.concatenate(rows))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    across = (sets.filter("kind = 1").select("bucket", "uid", "signs", "rows")
+    across = (signs.filter("kind = 1").select("bucket", "uid", "signs", "rows")
               .groupBy("bucket").applyInArrow(meet, "a long, b long"))
-    rows = sets.filter("kind = 2").select("a", "b").union(across).distinct()
-    node = sets.filter("kind = 0 and first").select("uid", "node")
+    rows = signs.filter("kind = 2").select("a", "b").union(across).distinct()
     return (rows.join(node.select(F.col("uid").alias("a"), F.col("node").alias("na")), "a")
             .join(node.select(F.col("uid").alias("b"), F.col("node").alias("nb")), "b")
             .select(F.col("na").alias("a"), F.col("nb").alias("b")).filter("a != b"))
@@ -364,26 +389,33 @@ def link_components(sets: list[np.ndarray], percent: int) -> list[int]:
 
 def _sets_of(bodies: list[bytes], width: int) -> list[np.ndarray]:
     grow = zstandard.ZstdDecompressor().decompress
-    return [s for b in bodies for s in shingle_sets([grow(b).decode()], width)]
+    return shingle_sets([grow(b).split(b" ") for b in bodies], width)
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-                      percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                      percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document; ``component``, the
     component's node (null: empty set), and ``text_hash``, a hash of the text."""
-    sets = prepare(docs, doc_id, text, width, percent)
-    nodes = sets.filter("kind = 0").select("uid", "doc_id", "text_hash", "n", "node", "first")
-    family = components(candidate_edges(sets), "join-candidates")
+    texts = prepare(docs, doc_id, text, block_bytes)
+    nodes = texts.filter("kind = 0").select("uid", "doc_id", "text_hash", "node", "first")
+    packed = texts.filter("kind = 1")
+    ranges = max(1, -(-packed.count() // BLOCKS_PER_RANGE))
+    signs = signed(packed, text_counts(packed, width, ranges), width, percent, ranges)
+    first = nodes.filter("first").select("uid", "node")
+    family = components(candidate_edges(signs, first), "join-candidates")
     # The least node of a family is its name; it has no row of its own there.
     member = family.select("node", F.col("root").alias("family")).union(
         family.select("root", "root").distinct())
-    chosen = nodes.filter("first").groupBy("node").agg(F.min("uid").alias("uid"), F.max("n").alias("n"))
-    member = saved(member.join(chosen, "node"), "join-members")
+    own = signs.filter("kind = 0").select("uid", "n", "body")
+    sizes = saved(first.join(own.select("uid", "n"), "uid").groupBy("node").agg(
+        F.min("uid").alias("uid"), F.max("n").alias("n")), "join-sizes")
+    member = saved(member.join(sizes, "node"), "join-members")
     blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     member = member.join(blocks, "family").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    bodies = sets.filter("kind = 0 and first").select("uid", "body")
-    member = saved(member.join(bodies, "uid").select("family", "blocks", "block", "node", "body"), "join-bodies")
+    member = saved(member.join(own.select("uid", "body").filter("body is not null"), "uid").select(
+        "family", "blocks", "block", "node", "body"), "join-bodies")
 
     # The family's first set joins every block, where there are several.
     hubs = (member.filter("blocks > 1 and node = family")
@@ -414,8 +446,9 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     named = saved(least, "join-least")
     named = named.select("node", "root").join(
         named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    named = named.join(sizes.select("node", "n"), "node")
     return nodes.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("root").alias("component"), "text_hash")
 

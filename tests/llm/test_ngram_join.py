@@ -61,11 +61,12 @@ def corpus(seed, n_base=12, copies=14, tail=40):
     return docs
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1_500_000), (2, 1_500_000), (3, 400), (4, 150)])
-def test_components_equal_brute_force(spark, seed, block):
+@pytest.mark.parametrize("seed,block,text_block", [(1, 1_500_000, 1 << 22), (2, 1_500_000, 2000), (3, 400, 4000),
+                                                   (4, 150, 1 << 22)])
+def test_components_equal_brute_force(spark, seed, block, text_block):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "n") for i, t in docs], "doc_id long, text string, node string").repartition(3)
-    got = J.linked_components(df, block_shingles=block)
+    got = J.linked_components(df, block_shingles=block, block_bytes=text_block)
     assert got.columns[:3] == ["doc_id", "n_shingles", "component_id"]
     rows = sorted([(r[0], r[1], r[2]) for r in got.collect()], key=str)
     assert rows == brute(docs)
@@ -90,20 +91,16 @@ def test_one_document_of_each_component_stays(spark):
     assert sum(not shingles(r.text) for r in rows) == sum(not n for _, n, _ in want)
 
 
-def test_signatures_meet_for_linked_sets():
-    import numpy as np
-    rng = np.random.default_rng(3)
-    classes = J.SizeClasses(90)
-    for _ in range(400):
-        n = int(rng.integers(1, 300))
-        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
-        drop, add = int(rng.integers(0, n // 10 + 1)), int(rng.integers(0, n // 10 + 1))
-        t = np.unique(np.concatenate([rng.permutation(s)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
-        if not len(t):
-            continue
-        inter = len(np.intersect1d(s, t))
-        if 100 * inter >= 90 * len(np.union1d(s, t)):
-            assert set(J.signatures(s, classes).tolist()) & set(J.signatures(t, classes).tolist())
+def test_prefixes_of_linked_sets_share_an_element():
+    rng = random.Random(3)
+    for _ in range(3000):
+        n = rng.randint(1, 60)
+        s = set(rng.sample(range(100), n))
+        t = (s - set(rng.sample(sorted(s), rng.randint(0, min(n, 8))))) | set(rng.sample(range(100), rng.randint(0, 8)))
+        for percent in (80, 90):
+            if t and 100 * len(s & t) >= percent * len(s | t):
+                heads = [set(sorted(x)[:J.prefix_length(len(x), percent)]) for x in (s, t)]
+                assert heads[0] & heads[1]
 
 
 def test_prefix_tree_finds_what_a_scan_finds():
