@@ -38,7 +38,9 @@ def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' source is their host, their language its path."""
     return site_quality.classify(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"),
-        use=~held_out(F.col("doc_id"), 5, 1)).withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
+        use=~held_out(F.col("doc_id"), 5, 1)).select(
+            "doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), "evidence", "host_posterior",
+            "path_posterior", "score", F.col("good").alias("kept"))
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
