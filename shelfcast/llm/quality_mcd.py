@@ -193,22 +193,22 @@ def judged(stats: DataFrame, group_cols: list[str], min_group: int = MIN_GROUP,
     own, everyone = params or estimates(stats, group_cols)
     x = stats.withColumns(_vector()).withColumns(dict(zip(("__k0", "__k1"), _keys(group_cols))))
     own = own.filter(F.col("n") >= min_group).select("__k0", "__k1", "centre", "inverse")
-    one = everyone.select("__k2", F.col("centre").alias("__c"), F.col("inverse").alias("__i"))  # one row
+    one = everyone.first()  # the estimate of all documents together: one row
     x = x.join(if_small(own), ["__k0", "__k1"], "left")
-    x = x.withColumn("__k2", F.lit("all")).join(F.broadcast(one), "__k2", "left")
-    x = x.withColumn("centre", F.coalesce("centre", "__c")).withColumn(
-        "inverse", F.coalesce("inverse", "__i"))
+    for name in ("centre", "inverse"):
+        other = F.array(*[F.lit(v) for v in one[name]]) if one else F.lit(None).cast("array<double>")
+        x = x.withColumn(name, F.coalesce(name, other))
     x = x.withColumn("base_failed", base_failed()).withColumn("distance", _distance())
     x = x.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
-    return x.drop("__k0", "__k1", "__k2", "__c", "__i", "centre", "inverse", *VECTOR)
+    return x.drop("__k0", "__k1", "centre", "inverse", *VECTOR)
 
 
 def estimates(stats: DataFrame, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Estimates per group and for all documents; rows that fail the base
     rules take no part, as they are rejected anyway."""
-    x = stats.filter(~base_failed()).withColumns(_vector()).select(
+    x = saved(stats.filter(~base_failed()).withColumns(_vector()).select(
         *[k.alias(n) for n, k in zip(("__k0", "__k1"), _keys(group_cols))],
-        F.lit("all").alias("__k2"), *VECTOR)
+        F.lit("all").alias("__k2"), *VECTOR), "mcd-vectors")
     return fit(x, ["__k0", "__k1"]), fit(x, ["__k2"])
 
 
