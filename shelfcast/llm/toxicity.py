@@ -39,7 +39,7 @@ DIMENSION = 1 << 20      # feature hash range
 SLICES = 16              # slices of the hash range, for counting
 BEGINNINGS = (4, 5, 6)   # word beginnings, in characters
 LEAST_DOCS = 3           # labelled texts a feature must stand in
-LEAST_Z = 3.0            # z value of its log odds ratio
+LEAST_Z = 4.0            # z value of its log odds ratio
 RIDGE = 1e-3
 SWAP_WEIGHT = 1.0        # weight of the counterfactual penalty
 STEPS = 400
