@@ -289,20 +289,51 @@ class PrefixTree:
                 path.append(node)
             self.ends[node].append(i)
             before = s
-        self.least = [1 << 60] * len(self.tokens)
-        self.most = [0] * len(self.tokens)
-        self.open = [0] * len(self.tokens)
-        self.home = {}
-        for end, ends in enumerate(self.ends):
-            for i in ends:
-                self.home[i] = node = end
-                while node >= 0:
-                    self.least[node] = min(self.least[node], len(sets[i]))
-                    self.most[node] = max(self.most[node], len(sets[i]))
-                    self.open[node] += 1
-                    node = self.parent[node]
+        self._number()
         self.mark = np.zeros(self.ranks, bool)
 
+    def _number(self) -> None:
+        """Number the nodes in preorder, sum up what lies below each, and deal
+        them to slabs by the depth at which their edges begin."""
+        order, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(reversed(self.children[node]))
+        new = np.empty(len(order), np.int64)
+        new[order] = np.arange(len(order))
+        self.children = [[int(new[c]) for c in self.children[x]] for x in order]
+        self.ends = [self.ends[x] for x in order]
+        self.parent = [int(new[self.parent[x]]) if x else -1 for x in order]
+        self.tokens = [self.tokens[x] for x in order]
+        self.last = np.array([self.last[x] for x in order])
+        self.depth = np.array([self.depth[x] for x in order])
+        n = len(order)
+        self.least, self.most = np.full(n, 1 << 60), np.zeros(n, np.int64)
+        self.open, self.end = np.zeros(n, np.int64), np.arange(1, n + 1)
+        self.home = {}
+        for node in range(n - 1, -1, -1):  # children come after their parent
+            for i in self.ends[node]:
+                self.home[i] = node
+            if self.ends[node]:
+                self.least[node] = min(self.least[node], self.depth[node])
+                self.most[node] = max(self.most[node], self.depth[node])
+                self.open[node] += len(self.ends[node])
+            up = self.parent[node]
+            if up >= 0:
+                self.least[up] = min(self.least[up], self.least[node])
+                self.most[up] = max(self.most[up], self.most[node])
+                self.open[up] += self.open[node]
+                self.end[up] = max(self.end[up], self.end[node])
+        self.slabs = [_Slab(self, x) for x in self._dealt()] if n >= SLAB_NODES else None
+
+    def _dealt(self) -> list[np.ndarray]:
+        begin = self.depth - np.array([len(t) for t in self.tokens])
+        slab = np.searchsorted(int(self.depth.max()) * np.array(SLABS), begin, side="right")
+        slab[0] = -1  # the root has no edge
+        self.slab_of = slab
+        return [x for x in (np.flatnonzero(slab == k) for k in range(len(SLABS) + 1)) if len(x)]
+
     def _new(self, parent: int, tokens: np.ndarray) -> int:
         node = len(self.tokens)
         self.tokens.append(tokens)
@@ -332,30 +363,104 @@ class PrefixTree:
             self.open[node] -= 1
             node = self.parent[node]
 
-    def find(self, s: np.ndarray, closed: list[bool] | None = None) -> list[int]:
+    def find(self, s: np.ndarray, closed: np.ndarray | None = None) -> list[int]:
         """The sets that link with ``s`` (ranks), without the closed ones."""
-        t, size, found = self.percent, len(s), []
+        if closed is not None and not self.open[0]:
+            return []
         inside = s[s < self.ranks]
         self.mark[inside] = True
+        found = self._walk(s, closed) if self.slabs is None else self._sweep(s, closed)
+        self.mark[inside] = False
+        return found
+
+    def _walk(self, s: np.ndarray, closed: np.ndarray | None) -> list[int]:
+        """Down the tree node by node."""
+        t, size, found = self.percent, len(s), []
         stack = [(c, 0) for c in self.children[0]]
         while stack:
             node, overlap = stack.pop()
             if closed is not None and not self.open[node]:
                 continue
             overlap += int(np.count_nonzero(self.mark[self.tokens[node]]))
-            depth = self.depth[node]
+            depth = int(self.depth[node])
             # Of the sets below, the likeliest is as long as the rest of s allows.
             rest = size - int(np.searchsorted(s, self.last[node], side="right"))
-            n = min(max(depth + rest, self.least[node]), self.most[node])
+            n = min(max(depth + rest, int(self.least[node])), int(self.most[node]))
             if (100 + t) * (overlap + min(rest, n - depth)) < t * (size + n):
                 continue
-            for i in self.ends[node]:
-                if (closed is None or not closed[i]) and (100 + t) * overlap >= t * (size + depth):
-                    found.append(i)
+            if (100 + t) * overlap >= t * (size + depth):
+                found += [i for i in self.ends[node] if closed is None or not closed[i]]
             stack.extend((c, overlap) for c in self.children[node])
-        self.mark[inside] = False
         return found
 
+    def _sweep(self, s: np.ndarray, closed: np.ndarray | None) -> list[int]:
+        """The same for a large tree: all living nodes of a slab at once, from
+        the root's slab down; subtrees beyond the bound die before the next."""
+        t, size, found = self.percent, len(s), []
+        alive = np.ones(len(self.parent), bool) if closed is None else self.open > 0
+        path = np.zeros(len(self.parent), np.int64)  # overlap with the path to each node
+        for slab in self.slabs:
+            living = alive[slab.nodes]
+            if not living.any():
+                continue
+            path[slab.nodes] = path[slab.base] + slab.path_hits(self.mark, living)
+            nodes = slab.nodes[living]
+            depth, overlap = self.depth[nodes], path[nodes]
+            rest = size - np.searchsorted(s, self.last[nodes], side="right")
+            n = np.minimum(np.maximum(depth + rest, self.least[nodes]), self.most[nodes])
+            dies = (100 + t) * (overlap + np.minimum(rest, n - depth)) < t * (size + n)
+            for node in nodes[~dies & slab.has_ends[living] & ((100 + t) * overlap >= t * (size + depth))]:
+                found += [i for i in self.ends[node] if closed is None or not closed[i]]
+            if dies.any():
+                step = np.zeros(len(alive) + 1, np.int64)
+                step[nodes[dies]] += 1
+                np.subtract.at(step, self.end[nodes[dies]], 1)
+                alive &= np.cumsum(step[:-1]) == 0
+        return found
+
+
+SLAB_NODES = 64              # nodes from which a tree is swept by slabs
+SLABS = (0.05, 0.15, 0.35, 0.65)  # where slabs begin, as shares of the greatest depth
+
+
+class _Slab:
+    """The nodes of a tree whose edges begin in one range of depths."""
+
+    def __init__(self, tree: PrefixTree, nodes: np.ndarray):
+        self.nodes = nodes
+        self.has_ends = np.array([bool(tree.ends[x]) for x in nodes])
+        number = tree.slab_of[nodes[0]]
+        base = {}
+        for x in nodes.tolist():  # the nearest node above that is in an earlier slab
+            up = tree.parent[x]
+            base[x] = up if tree.slab_of[up] < number else base[up]
+        self.base = np.array([base[x] for x in nodes.tolist()])
+        self.tokens = np.concatenate([tree.tokens[x] for x in nodes])
+        self.lengths = np.array([len(tree.tokens[x]) for x in nodes])
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        # A walk around the slab's part of the tree: into a node, out of it
+        # after all below it.  Running sums of what is entered and left are the
+        # sums along paths.
+        n = len(nodes)
+        walk = np.argsort(np.concatenate([2 * nodes, 2 * tree.end[nodes] - 1]), kind="stable")
+        self.who, self.sign = walk % n, np.where(walk < n, 1, -1)
+        self.enters = np.empty(n, np.int64)
+        into = np.flatnonzero(walk < n)
+        self.enters[walk[into]] = into
+
+    def path_hits(self, mark: np.ndarray, living: np.ndarray) -> np.ndarray:
+        """Per node the marked tokens on its path inside the slab, dead nodes
+        counting none."""
+        if living.mean() > 0.3:
+            hits = np.add.reduceat(mark[self.tokens].astype(np.int64), self.starts)
+        else:
+            lengths, starts = self.lengths[living], self.starts[living]
+            begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            at = np.repeat(starts - begin, lengths) + np.arange(int(lengths.sum()))
+            hits = np.zeros(len(living), np.int64)
+            hits[living] = np.add.reduceat(mark[self.tokens[at]].astype(np.int64), begin)
+        return np.cumsum(self.sign * hits[self.who])[self.enters]
+
 
 def ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
     """The sets over one global order: most frequent element first, then by hash."""
@@ -372,7 +477,7 @@ def link_components(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each of the hash sets the least index of its component."""
     order = ranked(sets)
     tree = PrefixTree(order, percent)
-    closed, root = [False] * len(sets), list(range(len(sets)))
+    closed, root = np.zeros(len(sets), bool), list(range(len(sets)))
     for i in range(len(sets)):
         if closed[i]:
             continue

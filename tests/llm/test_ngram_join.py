@@ -103,17 +103,28 @@ def test_prefixes_of_linked_sets_share_an_element():
                 assert heads[0] & heads[1]
 
 
-def test_prefix_tree_finds_what_a_scan_finds():
+@pytest.mark.parametrize("slab_nodes", [1, 10 ** 9])
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_prefix_tree_finds_what_a_scan_finds(slab_nodes, percent, monkeypatch):
     import numpy as np
+    monkeypatch.setattr(J, "SLAB_NODES", slab_nodes)
     rng = np.random.default_rng(5)
-    base = np.arange(60)
     sets = []
-    for _ in range(120):
-        keep = base[rng.random(60) > rng.choice([0.0, 0.03, 0.06])]
-        sets.append(np.unique(np.concatenate([keep, rng.integers(60, 90, rng.integers(0, 4))])).astype(np.uint64))
+    for base in (np.arange(60), np.arange(30, 130), np.arange(200, 206)):
+        for _ in range(70):
+            keep = base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.06, 0.2])]
+            more = rng.integers(300, 330, rng.integers(0, 5))
+            sets.append(np.unique(np.concatenate([keep, more])).astype(np.uint64))
+    sets = [s for s in sets if len(s)] + [np.arange(100000, dtype=np.uint64) + np.uint64(1000)]
     order = J.ranked(sets)
-    tree = J.PrefixTree(order, 90)
-    for i in range(len(sets)):
-        want = [j for j in range(len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j]))
-                >= 90 * len(np.union1d(sets[i], sets[j]))]
-        assert sorted(tree.find(order[i])) == want
+    tree = J.PrefixTree(order, percent)
+    want = [[j for j in range(len(sets)) if 100 * len(np.intersect1d(s, sets[j])) >= percent * len(np.union1d(s, sets[j]))]
+            for s in sets]
+    assert [sorted(tree.find(s)) for s in order] == want
+    closed = np.zeros(len(sets), bool)
+    for i in range(0, len(sets), 3):
+        closed[i] = True
+        tree.close(i)
+    assert [sorted(tree.find(s, closed)) for s in order] == [[j for j in w if not closed[j]] for w in want]
+    some = J.PrefixTree(order[:50], percent)  # looked up with sets that the tree does not hold
+    assert [sorted(some.find(s)) for s in order] == [[j for j in w if j < 50] for w in want]
