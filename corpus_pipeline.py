@@ -20,7 +20,7 @@ from shelfcast.llm.common import saved, table  # noqa: E402
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_mcd.filter_quality(docs)
+    return quality_mcd.filter_robust(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

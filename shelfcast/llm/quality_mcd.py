@@ -43,7 +43,9 @@ MIN_WORDS = 50            # base rule: fewer words fail
 MAX_REPEAT_PERCENT = 50   # base rule: more repeated words fail
 COVERAGE = 0.75           # share h of a group that the concentration steps keep
 STEPS = 4                 # concentration steps
-CUTOFF = 200.0            # squared robust distance above which a document is rejected
+CUTOFF = 200.0            # fixed cutoff of ``quality_verdicts``; ``robust_verdicts`` derives its own
+QUANTILE = 0.999          # share of a normal sample that ``robust_verdicts`` keeps
+SPARE_LINES = 1           # repeated lines that it counts as chance
 MIN_GROUP = 60            # rows a group needs for an estimate of its own
 FLOOR = 0.15              # least standard deviation of a coordinate (logarithmic units)
 BINS_PER_E = 32           # distance bins per factor e
@@ -84,15 +86,22 @@ def with_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     return map_rows(docs, [text], text_stats, STATS, keep)
 
 
-def _vector() -> dict:
+def _vector(spare: int = 0) -> dict:
     """Transformed statistics: logs of rates over a small base rate, so that a
-    few symbols or repeats do not set a long clean text apart."""
+    few symbols or repeats do not set a long clean text apart.  ``spare``
+    repeated lines, and twice as many lines' share of the repeated words, count
+    as chance: in a short text one repeated line is a large rate."""
     words, chars = F.col("n_words"), F.col("word_chars")
+    dup, rep = F.col("n_dup_lines"), F.col("n_repeat_words")
+    if spare:
+        chance = F.least(dup, F.lit(spare))
+        rep = F.greatest(rep - 2 * chance * words / F.greatest("n_lines", F.lit(1)), F.lit(0.0))
+        dup = dup - chance
     return {
         "v_length": F.log((chars + 5.0) / (words + 1.0)),
         "v_symbols": F.log(0.005 + F.col("n_symbols") / (chars + 100.0)),
-        "v_lines": F.log(0.1 + F.col("n_dup_lines") / (F.col("n_lines") + 5.0)),
-        "v_repeats": F.log(0.05 + F.col("n_repeat_words") / (words + 20.0)),
+        "v_lines": F.log(0.1 + dup / (F.col("n_lines") + 5.0)),
+        "v_repeats": F.log(0.05 + rep / (words + 20.0)),
         "v_upper": F.log(0.02 + F.col("n_upper") / (chars + 100.0)),
     }
 
@@ -137,8 +146,49 @@ def _distance() -> Column:
     return out
 
 
-def _chi2_median(p: int) -> float:
-    return p * (1 - 2 / (9 * p)) ** 3  # Wilson-Hilferty
+def chi2_below(p: int, x: float) -> float:
+    """Share of a chi-square sample of odd ``p`` degrees below ``x``."""
+    term, tail = 1.0, 0.0
+    for k in range((p - 1) // 2):
+        term *= x / (2 * k + 1) if k else 1.0
+        tail += term
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * tail
+
+
+def chi2_quantile(p: int, share: float) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_below(p, mid) < share else (low, mid)
+    return high
+
+
+def _bin() -> Column:
+    return F.least(F.lit(MAX_BIN), F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) * BINS_PER_E)).cast("int")
+
+
+def _median_factor(bins: np.ndarray, n: np.ndarray) -> float:
+    """Median distance over that of a normal sample, from sorted bins; at least
+    1, as ``FLOOR`` keeps the distances of even texts small on purpose."""
+    at = int(np.searchsorted(np.cumsum(n), n.sum() / 2))
+    return max(1.0, math.expm1((bins[at] + 0.5) / BINS_PER_E) / chi2_quantile(len(VECTOR), 0.5))
+
+
+def rescaled(stats: DataFrame, params: DataFrame, groups: list[str]) -> DataFrame:
+    """``params`` with each group's scatter widened so that the median distance
+    of its rows is that of a normal sample."""
+    bins = (stats.join(if_small(params.drop("n")), groups).withColumn("bin", _bin())
+            .groupBy(*groups, "bin").agg(F.count("*").alias("n")))
+
+    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin", kind="stable")
+        return pd.DataFrame([[*pdf.iloc[0][groups], _median_factor(pdf["bin"].to_numpy(), pdf["n"].to_numpy(float))]],
+                            columns=[*groups, "factor"])
+
+    schema = ", ".join(f"{g} string" for g in groups) + ", factor double"
+    factors = saved(bins.groupBy(*groups).applyInPandas(factor, schema), "mcd-factors")
+    return saved(params.join(if_small(factors), groups).select(
+        *groups, "n", "centre", F.transform("inverse", lambda v: v / F.col("factor")).alias("inverse")), "mcd-scaled")
 
 
 def _concentrate(groups: list[str]):
@@ -188,10 +238,11 @@ def fit(stats: DataFrame, groups: list[str], steps: int = STEPS) -> DataFrame:
 
 
 def judged(stats: DataFrame, group_cols: list[str], min_group: int = MIN_GROUP,
-           cutoff: float = CUTOFF, params: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+           cutoff: float = CUTOFF, params: tuple[DataFrame, DataFrame] | None = None,
+           spare: int = 0) -> DataFrame:
     """``stats`` with base_failed, distance (squared, robust) and kept."""
     own, everyone = params or estimates(stats, group_cols)
-    x = stats.withColumns(_vector()).withColumns(dict(zip(("__k0", "__k1"), _keys(group_cols))))
+    x = stats.withColumns(_vector(spare)).withColumns(dict(zip(("__k0", "__k1"), _keys(group_cols))))
     own = own.filter(F.col("n") >= min_group).select("__k0", "__k1", "centre", "inverse")
     one = everyone.first()  # the estimate of all documents together: one row
     x = x.join(if_small(own), ["__k0", "__k1"], "left")
@@ -203,15 +254,49 @@ def judged(stats: DataFrame, group_cols: list[str], min_group: int = MIN_GROUP,
     return x.drop("__k0", "__k1", "centre", "inverse", *VECTOR)
 
 
-def estimates(stats: DataFrame, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Estimates per group and for all documents; rows that fail the base
-    rules take no part, as they are rejected anyway."""
-    x = saved(stats.filter(~base_failed()).withColumns(_vector()).select(
+def _vectors(stats: DataFrame, group_cols: list[str], spare: int = 0) -> DataFrame:
+    """Rows that fail the base rules take no part, as they are rejected anyway."""
+    return saved(stats.filter(~base_failed()).withColumns(_vector(spare)).select(
         *[k.alias(n) for n, k in zip(("__k0", "__k1"), _keys(group_cols))],
         F.lit("all").alias("__k2"), *VECTOR), "mcd-vectors")
+
+
+def estimates(stats: DataFrame, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Estimates per group and for all documents."""
+    x = _vectors(stats, group_cols)
     return fit(x, ["__k0", "__k1"]), fit(x, ["__k2"])
 
 
+def robust_estimates(stats: DataFrame, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As ``estimates``, for distances that follow a chi-square law."""
+    x = _vectors(stats, group_cols, SPARE_LINES)
+    return tuple(rescaled(x, fit(x, g), g) for g in (["__k0", "__k1"], ["__k2"]))
+
+
+def robust_judged(stats: DataFrame, group_cols: list[str],
+                  params: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``judged`` with a cutoff from the chi-square law of the distances."""
+    return judged(stats, group_cols, cutoff=chi2_quantile(len(VECTOR), QUANTILE),
+                  params=params or robust_estimates(stats, group_cols), spare=SPARE_LINES)
+
+
+def robust_verdicts(docs: DataFrame, text: str = "text", group_cols: tuple[str, str] = ("lang", "source"),
+                    keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As ``quality_verdicts``, by ``robust_judged``."""
+    cols = list(dict.fromkeys([*keep, *group_cols]))
+    return robust_judged(saved(with_stats(docs, text, cols), "quality-stats"), list(group_cols))
+
+
+def filter_robust(docs: DataFrame, text: str = "text",
+                  group_cols: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """The rows of ``docs`` that ``robust_judged`` keeps, with their columns."""
+    stats = saved(with_stats(docs, text, list(group_cols)), "quality-stats")
+    params = robust_estimates(stats, list(group_cols))
+    renamed, at, back = positional(docs)
+    rows = map_rows(renamed, [at[text]], text_stats, STATS, list(at.values()))
+    return robust_judged(rows, [at[c] for c in group_cols], params).filter("kept").select(*back)
+
+
 def quality_verdicts(docs: DataFrame, text: str = "text", group_cols: tuple[str, str] = ("lang", "source"),
                      keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: ``keep``, counts, base_failed, distance, kept."""

@@ -71,7 +71,7 @@ def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_mcd.quality_verdicts(table(spark, sf_dir, "documents")).select(
+    return quality_mcd.robust_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "distance")
 
