@@ -8,7 +8,8 @@ are rejected.
 The estimate is found by concentration steps, each a grouped aggregation over
 all rows: documents are binned by their distance, every bin keeps a count,
 sums and cross products, and the bins up to the coverage ``h`` give the next
-centre and scatter.  A bin is one row however many documents it holds, so a
+centre and scatter.  ``robust_fit`` keeps half of the rows, takes several starts
+to the least determinant and reweights; ``fit`` takes four steps from the medians.  A bin is one row however many documents it holds, so a
 source with a third of the corpus costs no more than another.  Groups of fewer
 than ``min_group`` rows use the estimate of all documents together.
 
@@ -45,6 +46,11 @@ COVERAGE = 0.75           # share h of a group that the concentration steps keep
 STEPS = 4                 # concentration steps
 CUTOFF = 200.0            # fixed cutoff of ``quality_verdicts``; ``robust_verdicts`` derives its own
 QUANTILE = 0.999          # share of a normal sample that ``robust_verdicts`` keeps
+SAMPLE = 1000             # distinct vectors of a group, about, among which starts are sought
+TRIALS = 500              # random starts
+STARTS = 3                # of them, those that go on over all rows
+MOST_STEPS = 50           # concentration steps, unless the determinant stops falling before
+REWEIGHT = 0.975          # share of a normal sample that the reweighting step keeps
 SPARE_LINES = 1           # repeated lines that it counts as chance
 MIN_GROUP = 60            # rows a group needs for an estimate of its own
 FLOOR = 0.15              # least standard deviation of a coordinate (logarithmic units)
@@ -174,6 +180,165 @@ def _median_factor(bins: np.ndarray, n: np.ndarray) -> float:
     return max(1.0, math.expm1((bins[at] + 0.5) / BINS_PER_E) / chi2_quantile(len(VECTOR), 0.5))
 
 
+def _consistency(share: float) -> float:
+    """What the scatter of the innermost ``share`` of a normal sample lacks."""
+    p = len(VECTOR)
+    return share / chi2_below(p + 2, chi2_quantile(p, share)) if share < 1 else 1.0
+
+
+def _estimate(pdf: pd.DataFrame, last: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, scatter and number of the rows of sorted bins up to ``last``."""
+    p = len(VECTOR)
+    n = pdf["n"].to_numpy(float)[:last + 1]
+    mean = np.vstack(pdf["sums"].to_numpy()[:last + 1]).sum(axis=0) / n.sum()
+    cov = np.vstack(pdf["cross"].to_numpy()[:last + 1]).sum(axis=0).reshape(p, p) / n.sum() - np.outer(mean, mean)
+    return mean, cov, n.sum()
+
+
+def _starts(groups: list[str]):
+    """From a sample of a group's distinct vectors with their counts: the best
+    ends of concentration steps from many random starts and from the medians."""
+    p = len(VECTOR)
+    eye = np.eye(p) * FLOOR ** 2
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(VECTOR, kind="stable")
+        x, w = pdf[VECTOR].to_numpy(float), pdf["w"].to_numpy(float)
+        mid = np.array([v[o][np.searchsorted(np.cumsum(w[o]), w.sum() / 2)] for v, o in ((v, np.argsort(v)) for v in x.T)])
+        x = x - mid  # for exact squares below
+        dev = np.array([v[o][np.searchsorted(np.cumsum(w[o]), w.sum() / 2)]
+                        for v, o in ((v, np.argsort(v)) for v in np.abs(x).T)])
+        squares = (x[:, :, None] * x[:, None, :]).reshape(len(x), p * p)
+        least = (w.sum() + p + 1) // 2
+        factor = _consistency(0.5)
+
+        def distances(mean, inverse):
+            at = np.einsum("sij,sj->si", inverse, mean)
+            return inverse.reshape(-1, p * p) @ squares.T - 2 * at @ x.T + (at * mean).sum(axis=1)[:, None]
+
+        def step(mean, inverse):
+            d2 = distances(mean, inverse)
+            order = np.argsort(d2, axis=1, kind="stable")
+            sorted_w = w[order]
+            part = np.zeros_like(d2)
+            np.put_along_axis(part, order, np.where(np.cumsum(sorted_w, axis=1) - sorted_w < least, sorted_w, 0.0), axis=1)
+            k = part.sum(axis=1)[:, None]
+            mean = part @ x / k
+            cov = (part @ squares / k).reshape(-1, p, p) - mean[:, :, None] * mean[:, None, :]
+            cov = factor * cov + eye
+            return mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+        picked = x[np.random.default_rng(20).choice(len(x), (TRIALS, p + 1), p=w / w.sum())]
+        mean = picked.mean(axis=1)
+        off = picked - mean[:, None]
+        cov = np.einsum("ski,skj->sij", off, off) / (p + 1) + eye
+        mean = np.vstack([np.zeros(p), mean])
+        inverse = np.concatenate([np.diag(1 / np.maximum(1.4826 * dev, FLOOR) ** 2)[None], np.linalg.inv(cov)])
+        for _ in range(2):
+            mean, inverse, logdet = step(mean, inverse)
+        best = np.argsort(logdet, kind="stable")[:10]
+        mean, inverse, logdet = mean[best], inverse[best], logdet[best]
+        for _ in range(MOST_STEPS):
+            new = step(mean, inverse)
+            if np.all(new[2] >= logdet - 1e-9):
+                break
+            mean, inverse, logdet = new
+        _, first = np.unique(np.round(logdet, 6), return_index=True)
+        key = pdf.iloc[0][groups].tolist()
+        return pd.DataFrame([[*key, i, (mean[j] + mid).tolist(), inverse[j].ravel().tolist(), math.inf, True]
+                             for i, j in enumerate(first[:STARTS])],
+                            columns=[*groups, "start", "centre", "inverse", "logdet", "open"])
+
+    return find
+
+
+def _binned(stats: DataFrame, params: DataFrame, groups: list[str], by: list[str]) -> DataFrame:
+    """Per ``by`` and distance bin: count, sums, cross products, and the estimate."""
+    some = if_small(params.drop("n"))
+    return (stats.join(some, groups).withColumn("bin", _bin())
+            .groupBy(*by, "bin").agg(
+                F.count("*").alias("n"),
+                F.array(*[F.sum(v) for v in VECTOR]).alias("sums"),
+                F.array(*[F.sum(F.col(a) * F.col(b)) for a in VECTOR for b in VECTOR]).alias("cross"))
+            .join(some, by))
+
+
+def _descend(groups: list[str]):
+    """One concentration step on a start's bins; it stays open while the
+    determinant falls."""
+    p = len(VECTOR)
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin", kind="stable")
+        n = pdf["n"].to_numpy(float)
+        last = int(np.searchsorted(np.cumsum(n), min(n.sum(), (n.sum() + p + 1) // 2)))
+        mean, cov, k = _estimate(pdf, last)
+        # Bins are taken whole, so the share kept may pass a half.
+        cov = _consistency(k / n.sum()) * (cov + cov.T) / 2 + np.eye(p) * FLOOR ** 2
+        logdet, old = np.linalg.slogdet(cov)[1], pdf.iloc[0]
+        key = [*old[groups], int(old["start"])]
+        if logdet < old["logdet"] - 1e-6:
+            row = [*key, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(logdet), True]
+        else:
+            row = [*key, list(old["centre"]), list(old["inverse"]), float(old["logdet"]), False]
+        return pd.DataFrame([row], columns=[*groups, "start", "centre", "inverse", "logdet", "open"])
+
+    return step
+
+
+def _reweight(groups: list[str]):
+    """The estimate of all rows within the law's ``REWEIGHT`` quantile."""
+    p = len(VECTOR)
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin", kind="stable")
+        n, bins = pdf["n"].to_numpy(float), pdf["bin"].to_numpy()
+        limit = chi2_quantile(p, REWEIGHT) * _median_factor(bins, n)
+        last = int(np.searchsorted(bins, math.floor(math.log1p(limit) * BINS_PER_E), side="right")) - 1
+        mean, cov, _ = _estimate(pdf, last)
+        cov = _consistency(REWEIGHT) * (cov + cov.T) / 2 + np.eye(p) * FLOOR ** 2
+        return pd.DataFrame([[*pdf.iloc[0][groups], int(n.sum()), mean.tolist(), np.linalg.inv(cov).ravel().tolist()]],
+                            columns=[*groups, "n", "centre", "inverse"])
+
+    return step
+
+
+def robust_fit(stats: DataFrame, groups: list[str], min_group: int = 1) -> DataFrame:
+    """Reweighted minimum-covariance-determinant estimate of each group of
+    ``min_group`` rows or more, on half of its rows.  Random starts are sought
+    on a sample of distinct vectors; the best, and the medians of all rows, go
+    on over all rows until their determinants stop falling, and the least of
+    them counts."""
+    keys = ", ".join(f"{g} string" for g in groups)
+    schema = keys + ", start int, centre array<double>, inverse array<double>, logdet double, open boolean"
+    sizes = saved(stats.groupBy(*groups).agg(
+        F.count("*").alias("__n"), F.approx_count_distinct(F.xxhash64(*VECTOR)).alias("__d"))
+        .filter(F.col("__n") >= min_group).drop("__n"), "mcd-sizes")
+    stats = stats.join(if_small(sizes), groups)
+    share = F.pmod(F.xxhash64(*VECTOR), F.lit(1 << 30)) * F.col("__d")
+    sample = stats.filter(share < F.lit(SAMPLE << 30)).groupBy(*groups, *VECTOR).agg(F.count("*").alias("w"))
+    medians = _start(stats, groups).select(*groups, F.lit(-1).alias("start"), "centre", "inverse",
+                                           F.lit(math.inf).alias("logdet"), F.lit(True).alias("open"))
+    params = saved(sample.groupBy(*groups).applyInPandas(_starts(groups), schema).unionByName(medians), "mcd-starts")
+    by, done = [*groups, "start"], []
+    for _ in range(MOST_STEPS):
+        bins = _binned(stats, params, groups, by)
+        params = saved(bins.groupBy(*by).applyInPandas(_descend(groups), schema), "mcd-step")
+        done.append(params.filter(~F.col("open")))
+        params = params.filter("open")
+        if params.isEmpty():
+            break
+    done.append(params)
+    ends = done[0]
+    for d in done[1:]:
+        ends = ends.unionByName(d)
+    best = saved(ends.groupBy(*groups).agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("e"))
+                 .select(*groups, "e.*"), "mcd-best")
+    bins = _binned(stats, best, groups, groups)
+    return saved(bins.groupBy(*groups).applyInPandas(
+        _reweight(groups), keys + ", n long, centre array<double>, inverse array<double>"), "mcd-reweighted")
+
+
 def rescaled(stats: DataFrame, params: DataFrame, groups: list[str]) -> DataFrame:
     """``params`` with each group's scatter widened so that the median distance
     of its rows is that of a normal sample."""
@@ -270,7 +435,8 @@ def estimates(stats: DataFrame, group_cols: list[str]) -> tuple[DataFrame, DataF
 def robust_estimates(stats: DataFrame, group_cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """As ``estimates``, for distances that follow a chi-square law."""
     x = _vectors(stats, group_cols, SPARE_LINES)
-    return tuple(rescaled(x, fit(x, g), g) for g in (["__k0", "__k1"], ["__k2"]))
+    return tuple(rescaled(x, robust_fit(x, g, least), g)
+                 for g, least in ((["__k0", "__k1"], MIN_GROUP), (["__k2"], 1)))
 
 
 def robust_judged(stats: DataFrame, group_cols: list[str],

@@ -55,3 +55,28 @@ def test_filter_keeps_whole_rows(spark):
     out = Q.filter_robust(d)
     assert out.columns == d.columns and sorted(str(r.doc_id) for r in out.collect()) == want
     assert Q.robust_verdicts(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.3, 0.45])
+def test_junk_goes_where_it_is_frequent(spark, share):
+    rng = random.Random(7)
+    n = 400
+    out = kept(spark, texts(round(n * (1 - share)), rng, 0.1) + texts(round(n * share), rng, 0.1, 1000, symbols=0.3))
+    assert not any(v for i, v in out.items() if i >= 1000)
+    assert np.mean([v for i, v in out.items() if i < 1000]) >= 0.97
+
+
+def test_sampled_starts_and_reruns(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE", 60)
+    rng = random.Random(8)
+    rows = texts(300, rng, 0.2) + texts(200, rng, 0.1, 1000, symbols=0.2)
+    out = kept(spark, rows)
+    assert not any(v for i, v in out.items() if i >= 1000) and out == kept(spark, rows[::-1])
+
+
+def test_group_of_copies_has_an_estimate(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE", 40)
+    rng = random.Random(9)
+    same = texts(1, rng, 0.1)[0]
+    out = kept(spark, [(i, *same[1:]) for i in range(300)] + texts(20, rng, 0.1, 1000, symbols=0.3))
+    assert all(v == (i < 1000) for i, v in out.items())
