@@ -39,7 +39,7 @@ DIMENSION = 1 << 20      # feature hash range
 SLICES = 16              # slices of the hash range, for counting
 BEGINNINGS = (4, 5, 6)   # word beginnings, in characters
 LEAST_DOCS = 3           # labelled texts a feature must stand in
-LEAST_Z = 4.0            # z value of its log odds ratio
+LEAST_Z = 3.0            # z value of its toxic count, unless it stands in toxic texts only
 RIDGE = 1e-3
 SWAP_WEIGHT = 1.0        # weight of the counterfactual penalty
 STEPS = 400
@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, doc_id: s
 
 
 def telling_features(rows: DataFrame, n: int, positive: int) -> list[int]:
-    """The features whose log odds ratio stands out, counted over all rows of
-    ``__text, toxic``: each batch counts its texts, the owner of a slice of the
+    """The features whose toxic count stands out from their share of the texts,
+    and those of toxic texts only, counted over all rows of ``__text, toxic``: each batch counts its texts, the owner of a slice of the
     feature range adds the counts up."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +171,10 @@ def telling_features(rows: DataFrame, n: int, positive: int) -> list[int]:
             df[f] += unpack_numbers(d, np.uint32)
             pos[f] += unpack_numbers(p, np.uint32)
         neg = df - pos
-        odds = (np.log((pos + 0.5) / (positive - pos + 0.5))
-                - np.log((neg + 0.5) / (n - positive - neg + 0.5)))
-        spread = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        return pa.table({"feature": np.flatnonzero((df >= LEAST_DOCS) & (np.abs(odds) >= LEAST_Z * spread))})
+        # Without smoothing, so that few texts suffice where all of them are toxic.
+        share = positive / n
+        stands_out = np.abs(pos - df * share) >= LEAST_Z * np.sqrt(df * share * (1 - share))
+        return pa.table({"feature": np.flatnonzero((df >= LEAST_DOCS) & (stands_out | (neg == 0)))})
 
     counted = rows.select("__text", "toxic").mapInArrow(count, "slice int, features binary, df binary, pos binary")
     best = counted.groupBy("slice").applyInArrow(choose, "feature long")

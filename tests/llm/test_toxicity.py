@@ -81,3 +81,17 @@ def test_swaps_stay_in_their_kind():
     assert other[b"women"] == b"men" and other[b"men"] == b"women"
     kind = {w.encode(): i for i, k in enumerate(T.IDENTITY_TERMS) for w in k}
     assert all(kind[a] == kind[b] and a != b for a, b in other.items())
+
+
+def test_rare_words_of_toxic_texts_only_have_weight(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(vocab, k=30) + (["grumble"] if i < 82 else ["zorp"] if i < 90 else [])))
+            for i in range(900)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i < 90)) for i in range(900)], "doc_id long, toxic int")
+    model = T.fit(d, y)
+    assert all(f in model.weights for f in T.word_features(b"zorp"))
+    new = spark.createDataFrame([(1, "the zorp of the town"), (2, "the town")], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in T.score(new, model).collect()}
+    assert scores[1] >= T.THRESHOLD > scores[2]
