@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (decontaminate, licenses, lm_automaton, mixing, ngram_join, quality_mcd,
-                           sharding, site_quality, toxicity, warc)
+                           sharding, site_quality, toxicity, warc, whitening)
 from shelfcast.llm.common import held_out, table
 
 
@@ -76,11 +76,16 @@ def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "distance")
 
 
+def op11_weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_rules, op2_backoff_automaton, op3_mix_sources, op4_best_fit_shards,
         op5_site_quality, op6_warc_archive, op7_prefix_tree_join, op8_suffix_array, op9_counterfactual_toxicity,
-        op10_quality_mcd)}
+        op10_quality_mcd, op11_weighted_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
