@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import (decontaminate, licenses, lm_automaton, mixing, ngram_join, quality_mcd,
-                           sharding, site_quality, token_files, toxicity, warc, whitening)
+                           setm, sharding, site_quality, token_files, toxicity, warc, whitening)
 from shelfcast.llm.common import held_out, table
 
 
@@ -88,12 +88,17 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files)
 
 
+def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setm.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_rules, op2_backoff_automaton, op3_mix_sources, op4_best_fit_shards,
         op5_site_quality, op6_warc_archive, op7_prefix_tree_join, op8_suffix_array, op9_counterfactual_toxicity,
-        op10_quality_mcd, op11_weighted_whitening, op12_token_files)}
+        op10_quality_mcd, op11_weighted_whitening, op12_token_files, op13_setm_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_rules": licenses.oracle(), "op3_mix_sources": mixing.oracle()}
+    return {"op1_license_rules": licenses.oracle(), "op3_mix_sources": mixing.oracle(),
+            "op13_setm_collocations": setm.oracle()}
