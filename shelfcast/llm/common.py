@@ -25,6 +25,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` gave, once all that reads them is written."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BROADCAST_ROWS = 100_000
 
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import saved
+from shelfcast.llm.common import dropped, saved
 from shelfcast.llm.packing import pack_keys, pack_numbers, unpack_keys, unpack_numbers
 
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -172,10 +172,13 @@ def groups(relation: DataFrame) -> DataFrame:
 
 def frequent(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
     """The rows of groups that occur ``least`` times or more over all blocks,
-    with the group's count ``f`` and ``number``, the least of its rows' grams."""
+    written: ``gram`` and the group's ``number``, the least of its rows' grams;
+    the row of that gram also has the keys and the group's count ``f``."""
     group = Window.partitionBy(*keys)
-    return saved(rows.withColumns({"f": F.sum("n").over(group), "number": F.min("gram").over(group)})
-                 .filter(F.col("f") >= least), name)
+    marked = rows.withColumns({"f": F.sum("n").over(group), "number": F.min("gram").over(group)})
+    owner = F.col("gram") == F.col("number")
+    return saved(marked.filter(F.col("f") >= least).select(
+        "gram", "number", *[F.when(owner, F.col(c)).alias(c) for c in [*keys, "f"]]), name)
 
 
 def semi_join(relation: DataFrame, found: DataFrame, first: bool, name: str) -> DataFrame:
@@ -226,10 +229,12 @@ def phrase_tables(docs: DataFrame, text: str = "text", lang: str = "lang", least
     totals = saved(rows.groupBy("lang").agg(F.sum("n").alias("n")), "setm-totals")
     found = frequent(rows, ["lang", "word"], least, "setm-frequent-1")
     none = F.array().cast("array<bigint>")
-    tables = [_owners(found).select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                    none.alias("heads"), none.alias("tails"))]
+    tables = [saved(_owners(found).select(
+        "number", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
+        none.alias("heads"), none.alias("tails")), "setm-phrases-1")]
     for k in range(2, longest + 1):
-        relation = semi_join(relation, found, k == 2, f"setm-relation-{k - 1}")
+        used, relation = (relation, found), semi_join(relation, found, k == 2, f"setm-relation-{k - 1}")
+        dropped(*used)
         found = frequent(groups(relation), ["first", "second"], least, f"setm-frequent-{k}")
         below = tables[-1]
         head = below.select(F.col("number").alias("first"), "lang", F.col("phrase").alias("stem"),
@@ -240,6 +245,7 @@ def phrase_tables(docs: DataFrame, text: str = "text", lang: str = "lang", least
                 "number", "first", "second", "lang", F.concat_ws(" ", "stem", "last").alias("phrase"), "last", "f",
                 F.concat("h", F.array("f1")).alias("heads"), F.concat(F.array("f2"), "t").alias("tails")),
             f"setm-phrases-{k}"))
+    dropped(relation, found)
     return tables, totals
 
 
