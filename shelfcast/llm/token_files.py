@@ -37,6 +37,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,9 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.numbers, self.known, self.chars = _Numbers(), 0, 0
-        self.stems: dict[str, list[int]] = {}
+        self.stems = _Numbers()
         self.starts, self.sizes, self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self.parts = np.zeros((0, 2), np.int64)     # of each word: its stem's and its last mark's number
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,16 +98,16 @@ class WordEncoder:
 
     def _learn(self) -> None:
         """Ids of the words numbered since the last call."""
-        words = list(self.numbers)[self.known:] if self.known else list(self.numbers)
-        pairs = [self._stem(w) for w in words]
-        fresh = list({s for pair in pairs for s in pair if s not in self.stems})
-        self.stems.update(zip(fresh, self._ids(fresh)))
-        ids = [self.stems[a] + self.stems[b] if b else self.stems[a] for a, b in pairs]
+        words = list(islice(self.numbers, self.known, None))
+        seen = len(self.stems)
+        pairs = np.fromiter(map(self.stems.__getitem__, chain.from_iterable(map(self._stem, words))),
+                            np.int64, 2 * len(words)).reshape(-1, 2)
+        ids = self._ids(list(islice(self.stems, seen, None)))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat, self.parts = np.concatenate([self.flat, flat]), np.concatenate([self.parts, pairs])
         self.known = len(self.numbers)
         self.chars += sum(map(len, words))
 
@@ -114,20 +116,20 @@ class WordEncoder:
         if not self.by_word:
             ids = self._ids(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         else:
             if self.chars > MEMO_CHARS:
                 self._forget()
             split = [t.replace("\n", " ").split(" ") for t in texts]
             counts = np.fromiter(map(len, split), np.int64, len(split))
-            number = self.numbers.__getitem__
-            places = np.fromiter((number(w) for words in split for w in words), np.int64, int(counts.sum()))
+            places = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
             if len(self.numbers) > self.known:
                 self._learn()
-            size = self.sizes[places]
+            stems = self.parts[places].ravel()
+            size = self.sizes[stems]
             ends = np.cumsum(size)
-            flat = self.flat[np.repeat(self.starts[places] - ends + size, size) + np.arange(len(size) and ends[-1])]
-            sizes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+            flat = self.flat[np.repeat(self.starts[stems] - ends + size, size) + np.arange(len(size) and ends[-1])]
+            sizes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], 2 * np.cumsum(counts)])])
         out = np.empty(len(flat) + len(sizes), np.uint32)
         last = np.cumsum(sizes + 1) - 1
         plain = np.ones(len(out), bool)
@@ -160,9 +162,20 @@ def _crcs(ids: np.ndarray, lengths: np.ndarray, payloads: list[bytes] | None = N
     return out
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, every id's rank in them, and their counts."""
+    if len(ids) and int(ids.max()) < 1 << 22:   # by a table instead of a sort
+        counts = np.bincount(ids)
+        distinct = np.flatnonzero(counts)
+        rank = np.zeros(len(counts), np.int64)
+        rank[distinct] = np.arange(len(distinct))
+        return distinct, rank[ids], counts[distinct]
+    return np.unique(ids, return_inverse=True, return_counts=True)
+
+
 def file_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """The documents' ids, one after the other, as a file."""
-    distinct, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    distinct, ranks, counts = _ranked(ids)
     blocks = _block_lengths(len(ids), block_ids)
     payloads = encode_blocks(ranks, blocks, counts)
     sections = [pack_numbers(np.array([d or 0 for d in doc_ids], np.int64)),
