@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import clip0, occurrence
-from shelfcast.operators.features import feature_set
+from shelfcast.operators.boosting import Fit, boosted
+from shelfcast.operators.features import CATEGORICAL, feature_set
 from shelfcast.session import small_side
 
 # Fixed values of the reference's model grid.
+CATEGORIES = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
 LOSSES = ["squared_error", "poisson", "absolute_error"]
 SEEDS = [42, 7, 99, 123, 2023, 777, 888, 111]
 FEATURE_SETS = ["all", "no_lags"]
@@ -113,22 +115,53 @@ def gbt_quantity(train: DataFrame, val: DataFrame, cfg: ModelConfig,
     return _long(scored, cfg.model_id, clip0(pred), "pred", "sales")
 
 
-def fit_grid(train: DataFrame, val: DataFrame, grid: list[ModelConfig] | None = None) -> DataFrame:
-    """Predictions of every config of the grid, by ``(id, d, model_id)`` (MOD1).
+def grid_fits(grid: list[ModelConfig]) -> dict[tuple, list[Fit]]:
+    """The boosted fits behind each distinct objective, feature set and hurdle
+    flag of a grid: one, or a classifier and a regression of the sold rows.
 
-    Without row or feature sampling a fit does not depend on its seed, so each
-    distinct objective, feature set and hurdle flag is fitted once and its
-    predictions stand for all seeds of the grid.
+    Without row or feature sampling a fit does not depend on its seed, so one
+    stands for all seeds of the grid."""
+    out: dict[tuple, list[Fit]] = {}
+    for g in grid:
+        features = tuple(feature_set(g.feature_set))
+        target = "raw" if g.objective == "poisson" else "log1p"
+        loss = {"squared_error": "squared", "absolute_error": "absolute"}.get(g.objective, g.objective)
+        if g.is_hurdle:
+            pair = [Fit(f"sold_{g.feature_set}", "log", "occurrence", features, ROUNDS),
+                    Fit(f"amount_{g.objective}_{g.feature_set}", loss, target, features, ROUNDS, positive_only=True)]
+        else:
+            pair = [Fit(f"{g.objective}_{g.feature_set}", loss, target, features, ROUNDS)]
+        out[g.objective, g.feature_set, g.is_hurdle] = pair
+    return out
+
+
+def fit_grid(train: DataFrame, val: DataFrame, grid: list[ModelConfig] | None = None, depth: int = 5) -> DataFrame:
+    """Predictions of every config of the grid, by ``(id, d, model_id)`` (MOD1-MOD4).
+
+    All distinct fits grow together, each store with its own models (MOD9),
+    over one table of binned rows; categories part as sets of codes.  Squared
+    and absolute loss predict ``expm1`` of their log target; a hurdle is
+    P(sales > 0) times the regression on sold rows; a store that never sold
+    anything has probability 0 and so forecasts 0.  Predictions are clipped at 0.
     """
     grid = model_grid() if grid is None else grid
-    seeds: dict[tuple, list[ModelConfig]] = {}
-    for g in grid:
-        seeds.setdefault((g.objective, g.feature_set, g.is_hurdle), []).append(g)
+    fits = grid_fits(grid)
+    distinct = list({f.name: f for pair in fits.values() for f in pair}.values())
+    features = [f for f in feature_set("all") if any(f in fit.features for fit in distinct)]
+    fitted, _ = boosted(train, val, distinct, features, [c for c in CATEGORICAL if c in features], LEARNING_RATE, depth)
+    logs = [f.name for f in distinct if f.target == "log1p"]
+    value = F.when(F.col("fit").isin(logs), F.expm1("value")).otherwise(F.col("value"))
+    fitted = fitted.select("id", "d", "store_id", F.col("sales").cast("int").alias("sales"), "fit", value.alias("value"))
     out = None
-    for configs in seeds.values():
-        one = gbt_quantity(train, val, configs[0]).drop("model_id")
-        every = one.withColumn("model_id", F.explode(F.array(*[F.lit(g.model_id) for g in configs])))
-        out = every if out is None else out.unionByName(every)
+    for key, pair in fits.items():
+        names = F.array(*[F.lit(g.model_id) for g in grid if (g.objective, g.feature_set, g.is_hurdle) == key])
+        one = fitted.where(F.col("fit") == pair[-1].name).drop("fit")
+        if len(pair) == 2:
+            sold = fitted.where(F.col("fit") == pair[0].name).select("id", "d", "store_id", "sales", F.col("value").alias("sold"))
+            one = (sold.join(one.drop("sales", "store_id"), ["id", "d"], "left")
+                   .withColumn("value", F.col("sold") * F.coalesce(F.col("value"), F.lit(0.0))))
+        one = one.select("id", "d", "store_id", "sales", F.explode(names).alias("model_id"), clip0(F.col("value")).alias("pred"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
@@ -102,6 +103,21 @@ class RetailContext:
         return self._table("features", lambda: FT.build_features(self.panel, self.train_end),
                            ["store_id"])
 
+    @cached_property
+    def coded(self) -> DataFrame:
+        """The feature table with categories and the store as codes: what all fits read."""
+        from shelfcast.operators.models import CATEGORIES, with_store_code
+        return self._table("coded", lambda: with_store_code(FT.category_codes(self.features, CATEGORIES)),
+                           ["store_id"])
+
+    @cached_property
+    def fitted_grid(self) -> DataFrame:
+        """Predictions of the whole model grid, fitted once per application."""
+        from shelfcast.operators.models import fit_grid
+        return self._table("fitted_grid", lambda: fit_grid(
+            self.coded.where(F.col("d_int") <= self.train_end),
+            E.validation_rows(self.coded, self.train_end, self.horizon)), ["store_id"])
+
     # ------------------------------------------------------ forecasts
     @cached_property
     def quantity_preds(self) -> DataFrame:

@@ -21,7 +21,7 @@ from shelfcast.session import materialize
 
 REGISTRY: dict = {}
 
-CATEGORIES = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
+CATEGORIES = MD.CATEGORIES
 #: All model inputs: categories as codes, numeric ones scaled; no same-day sales.
 SEQ_FEATURES = FT.OCCURRENCE_FEATURES
 
@@ -33,30 +33,43 @@ def query(fn):
 
 def _coded(spark: SparkSession, sf: str):
     c = ctx(spark, sf)
-    f = FT.category_codes(c.features, CATEGORIES)
-    f = MD.with_store_code(f)
-    # keep the original store id for grouping next to its code
-    train = f.where(F.col("d_int") <= c.train_end)
-    val = validation_rows(f, c.train_end, c.horizon)
+    train = c.coded.where(F.col("d_int") <= c.train_end)
+    val = validation_rows(c.coded, c.train_end, c.horizon)
     return c, train, val
 
 
+def _member(spark: SparkSession, sf: str, objective: str, features: str, seed: int, hurdle: bool = False) -> DataFrame:
+    """One model of the fitted grid."""
+    model_id = MD.ModelConfig(objective, features, seed, hurdle).model_id
+    return ctx(spark, sf).fitted_grid.where(F.col("model_id") == model_id)
+
+
 def _weights(train: DataFrame) -> DataFrame:
     return M.balanced_weights(train.withColumn("label", (F.col("sales") > 0).cast("int")))
 
 
 @query
 def gbt_forecast(spark, sf):
-    """MOD2: boosted regression on log1p(sales), squared loss, all features."""
-    _, tr, va = _coded(spark, sf)
-    return MD.gbt_quantity(tr, va, MD.ModelConfig("squared_error", "all", 42))
+    """MOD2: boosted regression on log1p(sales), squared loss, all features, a model per store."""
+    return _member(spark, sf, "squared_error", "all", 42)
 
 
 @query
 def gbt_forecast_absolute(spark, sf):
     """MOD2: boosted regression on log1p(sales), absolute loss, no lag features."""
-    _, tr, va = _coded(spark, sf)
-    return MD.gbt_quantity(tr, va, MD.ModelConfig("absolute_error", "no_lags", 7))
+    return _member(spark, sf, "absolute_error", "no_lags", 7)
+
+
+@query
+def poisson_trees(spark, sf):
+    """MOD3: boosted trees with Poisson loss on raw sales, a model per store."""
+    return _member(spark, sf, "poisson", "all", 99)
+
+
+@query
+def hurdle_poisson(spark, sf):
+    """MOD4: P(sales > 0) from boosted trees x Poisson trees of the sold rows."""
+    return _member(spark, sf, "poisson", "all", 1, True)
 
 
 @query
@@ -68,9 +81,8 @@ def poisson_forecast(spark, sf):
 
 @query
 def hurdle_forecast(spark, sf):
-    """MOD4: P(sales > 0) from a boosted classifier x regression fitted on positive rows."""
-    _, tr, va = _coded(spark, sf)
-    return MD.gbt_quantity(tr, va, MD.ModelConfig("squared_error", "all", 2, is_hurdle=True))
+    """MOD4: P(sales > 0) from boosted trees x squared-loss trees of the sold rows."""
+    return _member(spark, sf, "squared_error", "all", 2, True)
 
 
 @query
@@ -103,13 +115,11 @@ def sequence_inputs(features: DataFrame, train_end: int) -> DataFrame:
 
 @query
 def fitted_ensemble_checks(spark, sf):
-    """MOD1 + MOD3 + ENS1 over fitted members: the grid's Poisson models, both
-    feature sets and all seeds, as one written prediction table; per store the
-    number of models and rows, the sum of weights, and whether every ensemble
-    value is the weighted mean of its members."""
-    c, tr, va = _coded(spark, sf)
-    grid = [g for g in MD.model_grid() if g.objective == "poisson" and not g.is_hurdle]
-    preds = materialize(MD.fit_grid(tr, va, grid), "fitted-grid", ["store_id"])
+    """MOD1-MOD4 + MOD9 + ENS1 over the whole fitted grid, 50 models of every
+    store: per store the number of models and rows, rows of wrong value, keys
+    that lack a model, the sum of weights, and whether every ensemble value is
+    the weighted mean of its members."""
+    preds = ctx(spark, sf).fitted_grid
     weights = E.ensemble_weights(M.rmse(preds, "sales", "pred", ["store_id", "model_id"]))
     ens = E.weighted_ensemble(preds, weights).select("id", "d", "simple_avg_pred")
     again = (preds.join(weights.select("store_id", "model_id", "weight"), ["store_id", "model_id"])
@@ -119,7 +129,12 @@ def fitted_ensemble_checks(spark, sf):
                                             <= 1e-9 * (1 + F.abs("mean"))).alias("is_mean"))
     sums = weights.groupBy("store_id").agg(F.round(F.sum("weight"), 6).alias("weight_sum"))
     rows = preds.groupBy("store_id").agg(F.count_distinct("model_id").alias("n_models"),
-                                         F.count(F.lit(1)).alias("n_rows"))
+                                         F.count(F.lit(1)).alias("n_rows"),
+                                         F.count_if(~(F.coalesce("pred", F.lit(-1.0)) >= 0)
+                                                    | (F.col("pred") == float("inf"))).alias("n_wrong"))
+    whole = (preds.groupBy("store_id", "id", "d").agg(F.count_distinct("model_id").alias("n"))
+             .groupBy("store_id").agg(F.count_if(F.col("n") != len(MD.model_grid())).alias("n_lacking")))
+    rows = rows.join(whole, "store_id")
     return rows.join(sums, "store_id").join(ok, "store_id")
 
 

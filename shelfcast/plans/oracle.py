@@ -573,8 +573,8 @@ SQL = {
     "lookback_split_next": f"""SELECT id, d, 'train' AS split FROM panel WHERE {_YEAR}
         UNION ALL SELECT id, d, 'validation' FROM panel
           WHERE d_int >= {_T} + 1 - 28 AND d_int <= {_T} + 28""",
-    "fitted_ensemble_checks": """SELECT store_id, CAST(16 AS BIGINT) AS n_models, 16 * count(*) AS n_rows,
-        CAST(1 AS DOUBLE) AS weight_sum, true AS is_mean FROM valf GROUP BY store_id""",
+    "fitted_ensemble_checks": """SELECT store_id, CAST(50 AS BIGINT) AS n_models, 50 * count(*) AS n_rows,
+        CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_lacking, CAST(1 AS DOUBLE) AS weight_sum, true AS is_mean FROM valf GROUP BY store_id""",
     "occurrence_chain_checks": """SELECT CAST(161 AS BIGINT) AS n_cuts, count(*) AS least, count(*) AS most,
         CAST(5 AS BIGINT) AS n_models, CAST(0 AS BIGINT) AS n_outside, count(*) AS final_rows FROM valf""",
     "forecast_sample": """SELECT id AS item, round(simple_avg_pred, 2) AS forecast FROM ens
