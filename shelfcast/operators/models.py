@@ -20,17 +20,25 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import clip0, occurrence
 from shelfcast.operators.boosting import Fit, boosted
-from shelfcast.operators.features import CATEGORICAL, feature_set
-from shelfcast.session import small_side
+from shelfcast.operators import newton
+from shelfcast.operators.features import (CATEGORICAL, OCCURRENCE_FEATURES, category_codes, feature_set,
+                                          standardize)
+from shelfcast.operators.kernels import kernel_features
+from shelfcast.operators.metrics import balanced_weights
+from shelfcast.operators.sequences import scaled_inputs
+from shelfcast.session import materialize, small_side
 
 # Fixed values of the reference's model grid.
 CATEGORIES = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
+SEQ_FEATURES = OCCURRENCE_FEATURES
 LOSSES = ["squared_error", "poisson", "absolute_error"]
 SEEDS = [42, 7, 99, 123, 2023, 777, 888, 111]
 FEATURE_SETS = ["all", "no_lags"]
 ROUNDS = 70
 LEARNING_RATE = 0.08
 OCC_ROUNDS = 100
+OCC_L2 = 0.1
+OCC_SEEDS = [42, 43, 44]
 OCC_HOLDOUT = 0.1
 RF_TREES = 30
 RF_DEPTH = 10
@@ -208,6 +216,54 @@ def occurrence_model(train: DataFrame, val: DataFrame, kind: str, weights: DataF
     return _long(scored, f"{kind}_{seed}", _p1(), "prob", "label")
 
 
+def occurrence_fits() -> list[Fit]:
+    """The three boosted classifiers; the seed draws the early-stopping rows (MOD5, MOD10)."""
+    return [Fit(f"hist_{s}", "log", "occurrence", tuple(OCCURRENCE_FEATURES), OCC_ROUNDS, l2=OCC_L2, balanced=True,
+                holdout_seed=s) for s in OCC_SEEDS]
+
+
+def boosted_occurrence(train: DataFrame, val: DataFrame) -> DataFrame:
+    """``id, d, store_id, label, model_id, prob`` of the three classifiers of every store."""
+    fitted, _ = boosted(train, val, occurrence_fits(), OCCURRENCE_FEATURES, CATEGORICAL, LEARNING_RATE)
+    return fitted.select("id", "d", "store_id", occurrence("sales").alias("label"),
+                         F.col("fit").alias("model_id"), F.col("value").alias("prob"))
+
+
+def store_logistic(train: DataFrame, val: DataFrame, weights: DataFrame, l2: float = 1.0,
+                   features: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """Rows of both frames as vectors (``is_train`` tells them apart), scaled per
+    store by its train rows, and each store's coefficients (MOD7, MOD9).
+    ``l2`` is 1 / C of the reference's penalty."""
+    feats = features or list(OCCURRENCE_FEATURES)
+    both = train.withColumn("is_train", F.lit(True)).unionByName(val.withColumn("is_train", F.lit(False)))
+    rows = _with_weights(standardize(both, feats, fit_rows=train), weights)
+    written = newton.vectors(rows, "store_id", feats, F.col("occ"), F.coalesce("weight", F.lit(0.0)),
+                             ["id", "d", "is_train"], "logistic-vectors")
+    return written, newton.fit(written.where("is_train"), l2)
+
+
+def sequence_inputs(features: DataFrame, train_end: int) -> DataFrame:
+    """The sequence model's input rows: category codes, scaled numbers."""
+    coded = category_codes(features, CATEGORIES)
+    scaled = [f for f in SEQ_FEATURES if f not in CATEGORIES and not f.startswith("snap_")]
+    return scaled_inputs(coded, train_end, scaled).fillna(0, subset=SEQ_FEATURES)
+
+
+def kernel_occurrence(features: DataFrame, train_end: int, seed: int = 42, n_kernels: int = 60, l2: float = 1.0) -> DataFrame:
+    """Probabilities of the validation rows by convolutions over their 28-day
+    windows and a class-weighted logistic regression per store (MOD8)."""
+    src = sequence_inputs(features, train_end)
+    made = materialize(kernel_features(src, SEQ_FEATURES, ["d", "store_id", "sales"], 28, n_kernels, seed), "kernels")
+    names = [f"kernel_{i}" for i in range(2 * n_kernels)]
+    wide = made.select("id", "d", "d_int", "store_id", "sales", *[F.col("kernel")[i].alias(n) for i, n in enumerate(names)])
+    train, val = wide.where(F.col("d_int") <= train_end), wide.where(F.col("d_int") > train_end)
+    weights = balanced_weights(train.withColumn("label", occurrence("sales")))
+    rows, beta = store_logistic(train, val, weights, l2, names)
+    scored = newton.predict(rows.where("not is_train"), beta, ["id", "d", "y"])
+    return scored.select("id", "d", F.col("grp").alias("store_id"), F.col("y").cast("int").alias("label"),
+                         F.lit(f"kernels_{seed}").alias("model_id"), "prob")
+
+
 def sequence_model(train_seqs: DataFrame, val_seqs: DataFrame, n_features: int,
                    seq_len: int = 28, hidden: int = 32, seed: int = 42,
                    max_iter: int = 50) -> DataFrame:

@@ -118,6 +118,15 @@ class RetailContext:
             self.coded.where(F.col("d_int") <= self.train_end),
             E.validation_rows(self.coded, self.train_end, self.horizon)), ["store_id"])
 
+    @cached_property
+    def fitted_occurrence(self) -> DataFrame:
+        """Probabilities of the three boosted classifiers and the sequence model."""
+        from shelfcast.operators.models import boosted_occurrence, kernel_occurrence
+        return self._table("fitted_occurrence", lambda: boosted_occurrence(
+            self.coded.where(F.col("d_int") <= self.train_end),
+            E.validation_rows(self.coded, self.train_end, self.horizon)).unionByName(
+                kernel_occurrence(self.features, self.train_end)), ["store_id"])
+
     # ------------------------------------------------------ forecasts
     @cached_property
     def quantity_preds(self) -> DataFrame:

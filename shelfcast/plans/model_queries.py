@@ -7,6 +7,8 @@ over the validation days.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
 from shelfcast.operators import metrics as M
 from shelfcast.operators import models as MD
+from shelfcast.operators import newton as N
 from shelfcast.operators import sequences as SQ
 from shelfcast.operators.ensemble import validation_rows
 from shelfcast.plans.context import ctx
@@ -23,7 +26,8 @@ REGISTRY: dict = {}
 
 CATEGORIES = MD.CATEGORIES
 #: All model inputs: categories as codes, numeric ones scaled; no same-day sales.
-SEQ_FEATURES = FT.OCCURRENCE_FEATURES
+SEQ_FEATURES = MD.SEQ_FEATURES
+sequence_inputs = MD.sequence_inputs
 
 
 def query(fn):
@@ -87,9 +91,8 @@ def hurdle_forecast(spark, sf):
 
 @query
 def gbt_occurrence(spark, sf):
-    """MOD5: class-weighted boosted classifier with a 10 % early-stopping holdout."""
-    _, tr, va = _coded(spark, sf)
-    return MD.occurrence_model(tr, va, "gbt", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
+    """MOD5: class-weighted boosted classifier of each store, stopped early by a 10 % holdout."""
+    return ctx(spark, sf).fitted_occurrence.where("model_id = 'hist_42'")
 
 
 @query
@@ -106,13 +109,6 @@ def lr_occurrence(spark, sf):
     return MD.occurrence_model(tr, va, "lr", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
 
 
-def sequence_inputs(features: DataFrame, train_end: int) -> DataFrame:
-    """The sequence model's input rows: category codes, scaled numbers."""
-    coded = FT.category_codes(features, CATEGORIES)
-    scaled = [f for f in SEQ_FEATURES if f not in CATEGORIES and not f.startswith("snap_")]
-    return SQ.scaled_inputs(coded, train_end, scaled).fillna(0, subset=SEQ_FEATURES)
-
-
 @query
 def fitted_ensemble_checks(spark, sf):
     """MOD1-MOD4 + MOD9 + ENS1 over the whole fitted grid, 50 models of every
@@ -140,12 +136,11 @@ def fitted_ensemble_checks(spark, sf):
 
 @query
 def occurrence_chain_checks(spark, sf):
-    """MOD7 + MOD10 + ENS2-ENS5 over a fitted classifier and the closed forms:
-    the sweep's counts add up to the validation rows at each cut, every
-    probability lies in 0..1, and the final counts do too."""
-    c, tr, va = _coded(spark, sf)
-    fitted = MD.occurrence_model(tr, va, "lr", _weights(tr), seed=42, features=FT.OCCURRENCE_FEATURES)
-    probs = materialize(c.occurrence_probs.unionByName(fitted), "fitted-occurrence", ["store_id"])
+    """MOD5 + MOD8 + MOD10 + ENS2-ENS5 over the fitted members, three boosted
+    classifiers and the sequence model: the sweep's counts add up to the
+    validation rows at each cut, every probability lies in 0..1, and the final
+    counts do too."""
+    probs = ctx(spark, sf).fitted_occurrence
     scored = E.power_mean(probs)
     sweep = E.threshold_sweep(scored)
     final = E.final_metrics(scored, E.best_threshold(sweep).select("optimal_threshold").scalar())
@@ -160,31 +155,52 @@ def occurrence_chain_checks(spark, sf):
 
 @query
 def seq_occurrence(spark, sf):
-    """MOD8 (re-aimed): classifier over flattened 28-day windows of all inputs
-    (WIN8 + FLT2), numeric ones scaled per store by the train rows (AGG19)."""
-    c = ctx(spark, sf)
-    t = c.train_end
-    src = sequence_inputs(c.features, t).select("id", "d", "d_int", "store_id", "sales", *SEQ_FEATURES)
-    tr_rows = src.where(F.col("d_int") <= t)
-    va_rows = src.where(F.col("d_int") >= t + 1 - 27)
+    """MOD8 (re-aimed): random dilated convolutions over 28-day windows of all
+    inputs (WIN8 + FLT2), scaled per store by the train rows (AGG19), and a
+    class-weighted logistic regression of each store on what they find."""
+    return ctx(spark, sf).fitted_occurrence.where("model_id = 'kernels_42'")
 
-    def seqs(rows):
-        s = SQ.flatten_sequence(SQ.sequence_windows(rows, SEQ_FEATURES), SEQ_FEATURES)
-        keys = rows.select("id", "d_int", "d", "store_id", "sales")
-        return s.select("id", "d_int", "seq_flat").join(keys, ["id", "d_int"])
 
-    return MD.sequence_model(seqs(tr_rows), seqs(va_rows), len(SEQ_FEATURES))
+@query
+def store_logistic(spark, sf):
+    """MOD7 + MOD9: class-weighted logistic regression of every store by grouped
+    Newton steps, inputs scaled per store by its train rows; per store the
+    validation rows, and the weighted share of sold days it sees in the train
+    rows, which class weights make one half at the optimum."""
+    c, tr, va = _coded(spark, sf)
+    rows, beta = MD.store_logistic(tr, va, _weights(tr))
+    seen = N.predict(rows.where("is_train"), beta, ["w"]).groupBy("grp").agg(
+        F.round(F.sum(F.col("w") * F.col("prob")) / F.sum("w"), 4).alias("weighted_share"))
+    out = N.predict(rows.where("not is_train"), beta, ["id", "d"])
+    counts = out.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.count_if(F.col("prob").between(0, 1)).alias("n_probabilities"))
+    return counts.join(seen, "grp").withColumnRenamed("grp", "store_id")
 
 
 @query
 def occurrence_ensemble(spark, sf):
-    """MOD10 + ENS2: tree and linear model probabilities power-averaged by key."""
-    _, tr, va = _coded(spark, sf)
-    from shelfcast.operators.ensemble import power_mean
-    w = _weights(tr)
-    probs = (MD.occurrence_model(tr, va, "rf", w, seed=42, features=FT.OCCURRENCE_FEATURES)
-             .unionByName(MD.occurrence_model(tr, va, "lr", w, seed=42, features=FT.OCCURRENCE_FEATURES)))
-    return power_mean(probs)
+    """MOD10 + ENS2: the three boosted classifiers and the sequence model, power-averaged by key."""
+    return E.power_mean(ctx(spark, sf).fitted_occurrence)
+
+
+@query
+def fitted_metrics(spark, sf):
+    """MOD10 + ENS2-ENS5 + SNK4 over the fitted occurrence members: the sweep's
+    chosen cut, the final metrics and the success flag, as the JSON record is
+    read back; with the counts they must agree with."""
+    from shelfcast.session import checkpoint_dir
+    from shelfcast.sources import files as SF
+    c = ctx(spark, sf)
+    scored = materialize(E.power_mean(c.fitted_occurrence), "fitted-scores")
+    best = materialize(E.best_threshold(E.threshold_sweep(scored)), "fitted-best")
+    final = E.final_metrics(scored, best.select("optimal_threshold").scalar())
+    path = f"{checkpoint_dir(spark)}/fitted-metrics-{uuid.uuid4().hex[:8]}"
+    SF.write_json(SF.metrics_record(final, best), path)
+    record = spark.read.json(path)
+    named = [F.col(f"`{n}`").between(0, 1) for n in ("Accuracy", "Precision", "Recall", "F1-Score")]
+    whole = final.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_rows"), F.lit(1).alias("one"))
+    return record.select(F.lit(1).alias("one"), (named[0] & named[1] & named[2] & named[3]).alias("in_range"),
+                         F.col("Optimal_Threshold").between(0.1, 0.9).alias("cut_in_range")).join(whole, "one").drop("one")
 
 
 def queries() -> dict:
