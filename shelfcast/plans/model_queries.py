@@ -134,6 +134,30 @@ def fitted_ensemble_checks(spark, sf):
     return rows.join(sums, "store_id").join(ok, "store_id")
 
 
+@query
+def committed_results(spark, sf):
+    """SNK3: the candidate forecasts written store by store with a manifest; the
+    run stops after two stores, the next one makes the others.  Per store and
+    model the committed rows, their sum, and whether the manifest agrees."""
+    from shelfcast.session import checkpoint_dir
+    from shelfcast.sources.committed import StoreResults, resume
+    preds = ctx(spark, sf).quantity_preds.select("id", "d", "sales", "pred", "store_id", "model_id")
+    results = StoreResults(spark, f"{checkpoint_dir(spark)}/committed-{uuid.uuid4().hex[:8]}")
+    stores = [r[0] for r in preds.select("store_id").distinct().sort("store_id").collect()]
+    members = [r[0] for r in preds.select("model_id").distinct().sort("model_id").collect()]
+
+    def make(some, models):
+        return preds.where(F.col("store_id").isin(some) & F.col("model_id").isin(models))
+
+    resume(results, stores[:2], members, make)
+    resume(results, stores, members, make)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in preds.schema.fields)
+    found = results.read(schema).groupBy("store_id", "model_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("pred"), 3).alias("pred_sum"))
+    said = results.manifest().select("store_id", "model_id", F.col("n_rows").alias("said"))
+    return found.join(said, ["store_id", "model_id"]).withColumn("agrees", F.col("said") == F.col("n_rows")).drop("said")
+
+
 @query
 def occurrence_chain_checks(spark, sf):
     """MOD5 + MOD8 + MOD10 + ENS2-ENS5 over the fitted members, three boosted

