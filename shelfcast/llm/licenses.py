@@ -8,13 +8,16 @@ match the shorter rules after it.
 
 Two readings of a text are tried, and their licences united: lines joined
 (wrapped notices) and line by line (notices under prose without a full stop).
+Comment marks at the starts of lines are taken off first.  Known sentences are
+stored as the splitter cuts them, so a notice with semicolons is several.
 
 Every whole text is scanned, row by row: no join, no shuffle, no state.  The
 knowledge base is the fixed table below.
 
 Defined results: a null or empty text has no sentence and no licence; a
 licensing sentence that is not known is "?" and keeps rules from matching
-across it; repeated rows are reported each; other input columns are not read.
+across it; repeated rows are reported each; an empty table gives an empty one;
+other input columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def _terms(family: str) -> str:
+    return f"under the terms of the gnu {family} license as published by the free software foundation"
+
+
+def _free(family: str, version: str) -> list[str]:
+    """The grant of a GNU licence in one sentence, after "is free software" or with it."""
+    grant = f"you can redistribute it and or modify it {_terms(family)} either version {version} of the license or at your option any later version"
+    return [grant, f"this program is free software {grant}", f"this library is free software {grant}"]
+
+
 #: Known licence sentences, normalised, by identifier.
 SENTENCES = {
     "apache2-short": ["licensed under the apache license version 2.0",
@@ -30,7 +43,10 @@ SENTENCES = {
                       "released under the apache license version 2.0",
                       "licensed under the apache license version 2.0 the license"],
     "apache2-comply": ["you may not use this file except in compliance with the license"],
-    "apache2-copy": ["you may obtain a copy of the license at http www.apache.org licenses license 2.0"],
+    "apache2-at": ["you may obtain a copy of the license at"],
+    "apache2-url": ["http www.apache.org licenses license 2.0", "https www.apache.org licenses license 2.0"],
+    "apache2-copy": ["you may obtain a copy of the license at https www.apache.org licenses license 2.0",
+                     "you may obtain a copy of the license at http www.apache.org licenses license 2.0"],
     "apache2-asis": ["unless required by applicable law or agreed to in writing software distributed under the "
                      "license is distributed on an as is basis without warranties or conditions of any kind "
                      "either express or implied"],
@@ -65,20 +81,41 @@ SENTENCES = {
     "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee "
                   "is hereby granted provided that the above copyright notice and this permission notice appear in "
                   "all copies"],
-    "gpl2-later": ["this program is free software you can redistribute it and or modify it under the terms of the "
-                   "gnu general public license as published by the free software foundation either version 2 of "
-                   "the license or at your option any later version"],
-    "gpl3-later": ["this program is free software you can redistribute it and or modify it under the terms of the "
-                   "gnu general public license as published by the free software foundation either version 3 of "
-                   "the license or at your option any later version"],
+    "gnu-program": ["this program is free software", "this file is free software", "this software is free software"],
+    "gnu-library": ["this library is free software"],
+    "gpl-terms": [f"you can redistribute it and or modify it {_terms('general public')}"],
+    "lgpl-terms": [f"you can redistribute it and or modify it {_terms('lesser general public')}",
+                   f"you can redistribute it and or modify it {_terms('library general public')}"],
+    "agpl-terms": [f"you can redistribute it and or modify it {_terms('affero general public')}"],
+    "gpl2-terms-only": ["you can redistribute it and or modify it under the terms of the gnu general public license "
+                        "version 2 as published by the free software foundation",
+                        "you can redistribute it and or modify it under the terms of version 2 of the gnu general "
+                        "public license as published by the free software foundation"],
+    "later-2": ["either version 2 of the license or at your option any later version"],
+    "later-2.1": ["either version 2.1 of the license or at your option any later version"],
+    "later-3": ["either version 3 of the license or at your option any later version"],
+    "gpl2-later": _free("general public", "2"),
+    "gpl3-later": _free("general public", "3"),
+    "lgpl2.1-later": _free("lesser general public", "2.1"),
+    "lgpl3-later": _free("lesser general public", "3"),
+    "agpl3-later": _free("affero general public", "3"),
     "gpl2-short": ["licensed under the gnu general public license version 2",
                    "this work is licensed under the gnu general public license version 2"],
     "gpl3-short": ["this work is licensed under the gnu general public license version 3",
                    "licensed under the gnu general public license version 3"],
     "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty without "
                  "even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gnu-hope": ["this program is distributed in the hope that it will be useful but without any warranty",
+                 "this library is distributed in the hope that it will be useful but without any warranty"],
+    "gnu-even": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl-see": ["see the gnu general public license for more details"],
+    "lgpl-see": ["see the gnu lesser general public license for more details"],
+    "agpl-see": ["see the gnu affero general public license for more details"],
     "gpl-copy": ["you should have received a copy of the gnu general public license along with this program"],
+    "lgpl-copy": ["you should have received a copy of the gnu lesser general public license along with this program",
+                  "you should have received a copy of the gnu lesser general public license along with this library"],
+    "agpl-copy": ["you should have received a copy of the gnu affero general public license along with this program"],
+    "gnu-not": ["if not see http www.gnu.org licenses", "if not see https www.gnu.org licenses"],
     "agpl3-short": ["licensed under the gnu affero general public license version 3"],
     "lgpl3-short": ["licensed under the gnu lesser general public license version 3"],
     "mpl2-subject": ["this source code form is subject to the terms of the mozilla public license version 2.0"],
@@ -93,24 +130,56 @@ SENTENCES = {
     "reserved": ["all rights reserved"],
 }
 
+_APACHE = ["apache2-short", "apache2-comply"]
+_ASIS = ["apache2-asis", "apache2-see"]
+_HOPE = ["gnu-hope", "gnu-even"]
+#: What may follow the grant of a GNU licence, longest first.
+_GNU_ENDS = {f: [[*_HOPE, f"{f}-see", f"{f}-copy", "gnu-not"], [*_HOPE, f"{f}-see", f"{f}-copy"], [*_HOPE, f"{f}-see"], _HOPE, []]
+             for f in ("gpl", "lgpl", "agpl")}
+#: Licences with the sentences of their grants, as the splitter cuts them.
+_GNU_GRANTS = [
+    ("LGPL-2.1-or-later", "lgpl", ["gnu-library", "lgpl-terms", "later-2.1"]),
+    ("LGPL-2.1-or-later", "lgpl", ["gnu-program", "lgpl-terms", "later-2.1"]),
+    ("LGPL-2.1-or-later", "lgpl", ["gnu-program", "lgpl2.1-later"]),
+    ("LGPL-2.1-or-later", "lgpl", ["gnu-library", "lgpl2.1-later"]),
+    ("LGPL-2.1-or-later", "lgpl", ["lgpl2.1-later"]),
+    ("LGPL-3.0-or-later", "lgpl", ["gnu-library", "lgpl-terms", "later-3"]),
+    ("LGPL-3.0-or-later", "lgpl", ["gnu-program", "lgpl-terms", "later-3"]),
+    ("LGPL-3.0-or-later", "lgpl", ["gnu-program", "lgpl3-later"]),
+    ("LGPL-3.0-or-later", "lgpl", ["gnu-library", "lgpl3-later"]),
+    ("LGPL-3.0-or-later", "lgpl", ["lgpl3-later"]),
+    ("AGPL-3.0-or-later", "agpl", ["gnu-program", "agpl-terms", "later-3"]),
+    ("AGPL-3.0-or-later", "agpl", ["gnu-program", "agpl3-later"]),
+    ("AGPL-3.0-or-later", "agpl", ["agpl3-later"]),
+    ("GPL-3.0-or-later", "gpl", ["gnu-program", "gpl-terms", "later-3"]),
+    ("GPL-3.0-or-later", "gpl", ["gnu-program", "gpl3-later"]),
+    ("GPL-3.0-or-later", "gpl", ["gpl3-later"]),
+    ("GPL-2.0-or-later", "gpl", ["gnu-program", "gpl-terms", "later-2"]),
+    ("GPL-2.0-or-later", "gpl", ["gnu-program", "gpl2-later"]),
+    ("GPL-2.0-or-later", "gpl", ["gpl2-later"]),
+    ("GPL-2.0-only", "gpl", ["gnu-program", "gpl2-terms-only"]),
+]
+
 #: Licences with the sentences that state them, longest notices first.
 RULES = [
-    ("Apache-2.0", ["apache2-short", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-see"]),
+    ("Apache-2.0", [*_APACHE, "apache2-at", "apache2-url", *_ASIS]),
+    ("Apache-2.0", [*_APACHE, "apache2-copy", *_ASIS]),
     ("MIT", ["mit-grant", "mit-notice", "mit-asis", "mit-liability"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    *[(name, grant + end) for name, family, grant in _GNU_GRANTS for end in _GNU_ENDS[family] if end],
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-hope", "gpl-see", "gpl-copy"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-see", "gpl-copy"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-hope"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope"]),
+    ("Apache-2.0", _APACHE),
+    *[(name, grant) for name, _, grant in _GNU_GRANTS],
     ("Apache-2.0", ["apache2-short"]),
     ("MIT", ["mit-short"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("ISC", ["isc-grant"]),
     ("BSD-3-Clause", ["bsd3-short"]),
     ("BSD-2-Clause", ["bsd2-short"]),
-    ("GPL-3.0-or-later", ["gpl3-later"]),
-    ("GPL-2.0-or-later", ["gpl2-later"]),
     ("GPL-3.0-only", ["gpl3-short"]),
     ("GPL-2.0-only", ["gpl2-short"]),
     ("AGPL-3.0-only", ["agpl3-short"]),
@@ -129,11 +198,15 @@ CUES = ("licen[cs]", "copyright", "warrant", "redistribut", "permission", "publi
         "rights reserved", "free software", "cc0")
 CUE = "(?i)" + "|".join(CUES)
 _BREAK = "\x01"
+#: Marks of comments at the start of a line, and "v. 2" that is no sentence's end.
+COMMENT = r"(^|\n)[ \t]*(?:#+|//+|/[*]+|[*]+/?|--+|;+|%+|<!--)"
+VERSION = r"\b([vV])[.][ \t\r\n\f]+([0-9])"
 
 
 def sentences(text: Column) -> tuple[Column, Column]:
     """The licensing sentences of the two readings, as they stand."""
-    body = F.translate(text, _BREAK, " ")
+    body = F.regexp_replace(F.translate(text, _BREAK, " "), COMMENT, "$1")
+    body = F.regexp_replace(body, VERSION, "$1$2")
     joined = F.translate(F.regexp_replace(body, r"\n[ \t\r\f]*\n", _BREAK), "\n", " ")
     lines = F.translate(body, "\n", _BREAK)
     return tuple(F.filter(F.split(F.regexp_replace(x, r"([.!?;:])[ \t\r\n\f]+", "$1" + _BREAK), _BREAK),
@@ -208,7 +281,8 @@ def oracle(doc_table: str = "documents") -> str:
         return (f"list_transform(list_filter({cut}, lambda s: regexp_matches(s, '{CUE}')), "
                 f"lambda s: CASE {norm} {forms} ELSE '?' END)")
 
-    body = "replace(coalesce(text, ''), chr(1), ' ')"
+    body = f"regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '{COMMENT}', '\\1', 'g')"
+    body = f"regexp_replace({body}, '{VERSION}', '\\1\\2', 'g')"
     joined = f"replace(regexp_replace({body}, '\n[ \t\r\f]*\n', chr(1), 'g'), chr(10), ' ')"
     steps, last = [], "a0"
     for i, (name, seq) in enumerate(RULES):
