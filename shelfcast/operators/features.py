@@ -66,16 +66,41 @@ def sales_lags(df: DataFrame, lags=SALES_LAGS, key: str = "id") -> DataFrame:
     return df.withColumns({f"sales_lag_{k}": F.lag("sales", k).over(w) for k in lags})
 
 
+def _running(df: DataFrame, values: dict[str, Column], w) -> DataFrame:
+    """Running sums over the rows so far, under the given names."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({name: F.coalesce(F.sum(v).over(so_far), F.lit(0)) for name, v in values.items()})
+
+
+def _between(name: str, w, base_lag: int, n: int) -> Column:
+    """The sum over the ``n`` rows that end ``base_lag`` rows back: the
+    difference of two running sums (none before the first row)."""
+    return F.lag(name, base_lag, 0).over(w) - F.lag(name, base_lag + n, 0).over(w)
+
+
 def rolling_stats(df: DataFrame, windows=ROLL_WINDOWS, base_lag: int = BASE_LAG,
                   key: str = "id", value: str = "sales") -> DataFrame:
     """Rolling mean / sample std over ``n`` rows ending ``base_lag`` rows back (WIN5).
 
-    Frame ``rowsBetween(-(base_lag-1+n), -base_lag)``; a value only when the
-    frame holds all ``n`` rows (pandas' default ``min_periods``).
+    A value only when the frame holds all ``n`` rows (pandas' default
+    ``min_periods``).  Whole numbers go by running sums of count, x and x
+    squared in one pass, exact in 64 bits, whose differences at two places give
+    every window; other types, where differences would lose digits, by the
+    frame ``rowsBetween(-(base_lag-1+n), -base_lag)``.
     """
     df = with_day_index(df)
     w = series_window(key)
     cols = {}
+    if df.schema[value].dataType.simpleString() in ("tinyint", "smallint", "int"):
+        x = F.col(value).cast("long")
+        out = _running(df, {"__n": F.when(x.isNotNull(), F.lit(1)).otherwise(0).cast("long"), "__s": x, "__q": x * x}, w)
+        for n in windows:
+            total, squares = (_between(c, w, base_lag, n) for c in ("__s", "__q"))
+            full = _between("__n", w, base_lag, n) == n
+            spread = (squares * n - total * total).cast("double") / F.lit(float(n * (n - 1)) if n > 1 else None)
+            cols[f"rolling_mean_{n}"] = F.when(full, total / F.lit(float(n)))
+            cols[f"rolling_std_{n}"] = F.when(full, F.sqrt(spread))
+        return out.withColumns(cols).drop("__n", "__s", "__q")
     for n in windows:
         fr = w.rowsBetween(-(base_lag - 1 + n), -base_lag)
         full = F.count(value).over(fr) == n
@@ -87,10 +112,11 @@ def rolling_stats(df: DataFrame, windows=ROLL_WINDOWS, base_lag: int = BASE_LAG,
 def recent_occurrence(df: DataFrame, rows: int = 28, base_lag: int = BASE_LAG, key: str = "id") -> DataFrame:
     """``occ_rate_n``: share of sold rows among ``n`` rows ending ``base_lag``
     rows back; NULL unless all are there.  Same window spec as the lags."""
-    df = with_day_index(df)
-    fr = series_window(key).rowsBetween(-(base_lag - 1 + rows), -base_lag)
-    return df.withColumn(f"occ_rate_{rows}", F.when(
-        F.count("sales").over(fr) == rows, F.avg(occurrence("sales").cast("double")).over(fr)))
+    df, w = with_day_index(df), series_window(key)
+    known = F.col("sales").isNotNull()
+    out = _running(df, {"__n": known.cast("long"), "__o": F.when(known, occurrence("sales")).cast("long")}, w)
+    return out.withColumn(f"occ_rate_{rows}", F.when(
+        _between("__n", w, base_lag, rows) == rows, _between("__o", w, base_lag, rows) / F.lit(float(rows)))).drop("__n", "__o")
 
 
 def price_momentum(df: DataFrame, key: str = "id", causal: bool = False) -> DataFrame:

@@ -133,3 +133,28 @@ def test_scalar_columns(spark):
     r = df.select(C.day_index("d").alias("i"), C.weekday0("date").alias("w"),
                   C.safety_stock("f").alias("ss"), C.occurrence("s").alias("o")).first()
     assert (r["i"], r["w"], r["ss"], r["o"]) == (1914, 0, 6, 0)  # 2016-04-25 is a Monday
+
+
+def test_rolling_by_running_sums_equals_frames(spark):
+    """Whole numbers, with gaps and short series, against the frame itself; no bounded frame in the plan."""
+    from pyspark.sql import Window
+    rows = [(f"s{s}", t, None if (s * t) % 29 == 7 else (t * t * 7 + s) % 11 * (10 ** 6 if s == 2 else 1))
+            for s in range(4) for t in range(1, 150 - 40 * s)]
+    df = spark.createDataFrame(rows, "id string, d_int int, sales int").withColumn("d", F.concat(F.lit("d_"), "d_int"))
+    out = FT.recent_occurrence(FT.rolling_stats(df, [1, 7, 30]))
+    plan = out._jdf.queryExecution().toString()
+    assert "boundedpreceding" in plan.replace("-", "").lower() and "RowFrame, -34" not in plan and "RowFrame, -57" not in plan
+    w = Window.partitionBy("id").orderBy("d_int")
+    for n in (1, 7, 30):
+        fr = w.rowsBetween(-(27 + n), -28)
+        full = F.count("sales").over(fr) == n
+        out = out.withColumns({f"m{n}": F.when(full, F.avg("sales").over(fr)), f"v{n}": F.when(full, F.stddev_samp("sales").over(fr))})
+    fr = w.rowsBetween(-55, -28)
+    out = out.withColumn("o", F.when(F.count("sales").over(fr) == 28, F.avg((F.col("sales") > 0).cast("double")).over(fr)))
+    n_values = 0
+    for r in out.collect():
+        for a, b in [(r[f"rolling_mean_{n}"], r[f"m{n}"]) for n in (1, 7, 30)] + [
+                (r[f"rolling_std_{n}"], r[f"v{n}"]) for n in (1, 7, 30)] + [(r["occ_rate_28"], r["o"])]:
+            assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * (1 + abs(b))), r
+            n_values += a is not None
+    assert n_values > 500
