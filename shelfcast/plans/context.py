@@ -26,13 +26,22 @@ from pyspark.sql import functions as F
 from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
 from shelfcast.operators import panel as P
-from shelfcast.session import materialize
+from shelfcast.session import materialize, new_path, on_release
 from shelfcast.sources import standin as S
+from shelfcast.sources.files import write_wide_lines
 from shelfcast.sources.tables import table_stamp
 
 _TABLES: dict = {}
 
 
+def _forget(application: str) -> None:
+    for key in [k for k in _TABLES if k[0] == application]:
+        del _TABLES[key]
+
+
+on_release(_forget)
+
+
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
     """The inputs' files, so a rewritten table is not reused."""
     return tuple(table_stamp(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
@@ -82,6 +91,16 @@ class RetailContext:
         """The wide sales input (a file in the reference), pivoted from the panel."""
         return self._table("sales_wide", lambda: S.sales_wide(self.spark, self.sf_dir, self.sales_long))
 
+    @cached_property
+    def wide_file(self) -> str:
+        """The wide sales CSV: what the reference starts from.  Its path."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, _stamp(self.spark, self.sf_dir), "wide_file")
+        if key not in _TABLES:
+            path = new_path(self.spark, "wide-file")
+            write_wide_lines(self.sales_long, path, S.ID_COLS, self.n_days)
+            _TABLES[key] = path
+        return _TABLES[key]
+
     # ----------------------------------------------------------- panel
     @cached_property
     def joined(self) -> DataFrame:

@@ -7,8 +7,6 @@ over the validation days.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from shelfcast.operators import newton as N
 from shelfcast.operators import sequences as SQ
 from shelfcast.operators.ensemble import validation_rows
 from shelfcast.plans.context import ctx
-from shelfcast.session import materialize
+from shelfcast.session import materialize, new_path
 
 REGISTRY: dict = {}
 
@@ -139,10 +137,9 @@ def committed_results(spark, sf):
     """SNK3: the candidate forecasts written store by store with a manifest; the
     run stops after two stores, the next one makes the others.  Per store and
     model the committed rows, their sum, and whether the manifest agrees."""
-    from shelfcast.session import checkpoint_dir
     from shelfcast.sources.committed import StoreResults, resume
     preds = ctx(spark, sf).quantity_preds.select("id", "d", "sales", "pred", "store_id", "model_id")
-    results = StoreResults(spark, f"{checkpoint_dir(spark)}/committed-{uuid.uuid4().hex[:8]}")
+    results = StoreResults(spark, new_path(spark, "committed"))
     stores = [r[0] for r in preds.select("store_id").distinct().sort("store_id").collect()]
     members = [r[0] for r in preds.select("model_id").distinct().sort("model_id").collect()]
 
@@ -212,13 +209,12 @@ def fitted_metrics(spark, sf):
     """MOD10 + ENS2-ENS5 + SNK4 over the fitted occurrence members: the sweep's
     chosen cut, the final metrics and the success flag, as the JSON record is
     read back; with the counts they must agree with."""
-    from shelfcast.session import checkpoint_dir
     from shelfcast.sources import files as SF
     c = ctx(spark, sf)
     scored = materialize(E.power_mean(c.fitted_occurrence), "fitted-scores")
     best = materialize(E.best_threshold(E.threshold_sweep(scored)), "fitted-best")
     final = E.final_metrics(scored, best.select("optimal_threshold").scalar())
-    path = f"{checkpoint_dir(spark)}/fitted-metrics-{uuid.uuid4().hex[:8]}"
+    path = new_path(spark, "fitted-metrics")
     SF.write_json(SF.metrics_record(final, best), path)
     record = spark.read.json(path)
     named = [F.col(f"`{n}`").between(0, 1) for n in ("Accuracy", "Precision", "Recall", "F1-Score")]

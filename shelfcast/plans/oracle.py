@@ -9,6 +9,8 @@ per cut), so agreement checks the Spark operators.
 
 from __future__ import annotations
 
+import re
+
 from shelfcast.operators.ensemble import threshold_grid
 
 _EVENT_CASES = [
@@ -316,6 +318,16 @@ def _scaled_windows(first: int, frame: str) -> str:
             f"WINDOW w AS (PARTITION BY id ORDER BY d_int ROWS BETWEEN {frame})) WHERE n = 28")
 
 
+def _scaled_sums(fit_rows: str) -> str:
+    """Sums over a series of every scaled feature, population form."""
+    scales = ", ".join(f"avg(COALESCE({c}, 0)) AS m_{c}, stddev_pop(COALESCE({c}, 0)) AS p_{c}" for c in _SCALED)
+    z = {c: f"(COALESCE(f.{c}, 0) - m_{c}) / CASE WHEN p_{c} = 0 THEN 1 ELSE p_{c} END" for c in _SCALED}
+    sums = ", ".join([f"round(sum({e}), 3) + 0.0 AS {c}_z" for c, e in z.items()]
+                     + [f"round(sum({e} * (f.d_int % 97)), 3) + 0.0 AS {c}_zd" for c, e in z.items()])
+    return (f"SELECT f.id, {sums} FROM features f JOIN (SELECT store_id, {scales} FROM features WHERE {fit_rows} "
+            "GROUP BY store_id) k ON k.store_id = f.store_id GROUP BY f.id")
+
+
 def _narrowed() -> str:
     """One row per feature column: its narrow type and its count of values."""
     ints = [*_INTS, "wday", "month", "year", "sales_lag_28", "sales_lag_35", "sales_lag_42", "sales_lag_364"]
@@ -551,6 +563,8 @@ SQL = {
           SELECT store_id, avg(sell_price) AS mp, stddev_pop(sell_price) AS sp,
                  avg(COALESCE(sales_lag_28, 0)) AS ml, stddev_pop(COALESCE(sales_lag_28, 0)) AS sl
           FROM feat WHERE d_int <= {_T} GROUP BY store_id) s ON s.store_id = f.store_id""",
+    "standardize_all_population": _scaled_sums("true"),
+    "standardize_all_train_fit": _scaled_sums(f"d_int <= {_T}"),
     "narrowed_features": _narrowed(),
     "files_round_trip": """SELECT date, CAST(sum(sales) AS BIGINT) AS sales,
         count(sell_price) AS n_prices, round(sum(sell_price), 3) + 0.0 AS prices,
@@ -597,10 +611,34 @@ _PIV_CTE = f""", piv AS (
 """
 
 
+def _steps(prefix: str) -> dict[str, str]:
+    """The named steps of a WITH clause, in order."""
+    out, depth, start, text = {}, 0, 0, prefix.strip()[4:]
+    for i, ch in enumerate(text):
+        depth += (ch == "(") - (ch == ")")
+        if depth == 0 and ch in "),":
+            piece = text[start:i + (ch == ")")].strip().lstrip(",").strip()
+            if ch == ")" and re.match(r"\w+\s+AS\s+(MATERIALIZED\s+)?\(", piece):
+                out[piece.split()[0]] = piece
+                start = i + 1
+    return out
+
+
+def _needed(prefix: str, body: str) -> str:
+    """The steps that ``body`` reads, directly or through others."""
+    steps, wanted, text = _steps(prefix), set(), body
+    while True:
+        more = {n for n in steps if n not in wanted and re.search(rf"\b{n}\b", text)}
+        if not more:
+            return "WITH " + ",\n".join(steps[n] for n in steps if n in wanted) + "\n" if wanted else ""
+        wanted |= more
+        text = body + " ".join(steps[n].split("(", 1)[1] for n in wanted)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in SQL.items():
-        prefix = PREFIX + (_PIV_CTE if name == "submission_table" else "")
+        prefix = _needed(PREFIX + (_PIV_CTE if name == "submission_table" else ""), body)
         # A query with steps of its own adds them to the shared ones.
         out[name] = prefix.rstrip() + "," + body[4:] if body.startswith("WITH") else prefix + body
     return out

@@ -6,7 +6,6 @@ are rounded to 6 places on both sides where summation order could differ.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from shelfcast.operators import publish as PB
 from shelfcast.operators import reshape as R
 from shelfcast.operators import sequences as SQ
 from shelfcast.plans.context import ctx
-from shelfcast.session import checkpoint_dir
+from shelfcast.session import new_path
 from shelfcast.sources import files as FS
 from shelfcast.sources import standin as S
 
@@ -68,8 +67,8 @@ def _joined_from_daily(spark, sf):
 
 @query
 def unpivot_sales(spark, sf):
-    """RSH1/PRJ2: melt the wide sales table (d_* columns) into the long panel."""
-    return R.unpivot_wide(ctx(spark, sf).sales_wide, S.ID_COLS)
+    """SRC1 + RSH1/PRJ2: melt the wide sales CSV (d_* columns) into the long panel."""
+    return FS.melt_wide_lines(spark, ctx(spark, sf).wide_file)
 
 
 @query
@@ -412,12 +411,33 @@ def standardize_train_fit(spark, sf):
     return z.select("id", "d", r6("sell_price", "sell_price_z"), r6("sales_lag_28", "sales_lag_28_z"))
 
 
+def _scaled_sums(z: DataFrame) -> DataFrame:
+    """Per series the sum of every scaled feature, and one that weighs the days
+    apart, so that a value on the wrong day shows."""
+    day = F.col("d_int") % 97
+    return z.groupBy("id").agg(*[r3(F.sum(x), f"{x}_z") for x in SCALED], *[r3(F.sum(F.col(x) * day), f"{x}_zd") for x in SCALED])
+
+
+@query
+def standardize_all_population(spark, sf):
+    """AGG19, population form, on every scaled feature: per store over all rows."""
+    c = ctx(spark, sf)
+    return _scaled_sums(FT.standardize(c.features, SCALED, by="store_id"))
+
+
+@query
+def standardize_all_train_fit(spark, sf):
+    """AGG19, population form, on every scaled feature with the train rows' scales (B6)."""
+    c = ctx(spark, sf)
+    return _scaled_sums(FT.standardize(c.features, SCALED, by="store_id", fit_rows=FT.train_rows(c.features, c.train_end)))
+
+
 @query
 def narrowed_features(spark, sf):
     """DWN1/SNK1: the feature table cast to its narrowest types, written as
     Parquet, read again; per column its type and how many values it has."""
     c = ctx(spark, sf)
-    path = checkpoint_dir(spark) + f"/narrowed-{uuid.uuid4().hex[:8]}"
+    path = new_path(spark, "narrowed")
     FS.write_parquet(narrow_cast(c.features.drop("occ_rate_28")).hint("rebalance", "store_id"), path)
     back = FS.read_parquet(spark, path)
     counts = back.agg(*[F.count(x).alias(x) for x in back.columns])
@@ -433,7 +453,7 @@ def files_round_trip(spark, sf):
     read by their schemas and joined to the panel: daily sales and sum of prices,
     and the template's row count."""
     c = ctx(spark, sf)
-    root = checkpoint_dir(spark) + f"/files-{uuid.uuid4().hex[:8]}"
+    root = new_path(spark, "files")
     cal = c.calendar.select(*[F.col(f.name) if f.name in c.calendar.columns else F.lit(None).cast(f.dataType)
                               .alias(f.name) for f in FS.CALENDAR_SCHEMA.fields])
     FS.write_csv(cal, f"{root}/calendar")
@@ -454,7 +474,7 @@ def metrics_json(spark, sf):
     """SNK4: the metrics record written as JSON and read again."""
     c = ctx(spark, sf)
     m = E.final_metrics(c.scored, c.best.select("optimal_threshold").scalar())
-    path = checkpoint_dir(spark) + f"/metrics-{uuid.uuid4().hex[:8]}"
+    path = new_path(spark, "metrics")
     FS.write_json(FS.metrics_record(m, c.best), path)
     back = spark.read.schema("Accuracy double, Precision double, Recall double, `F1-Score` double, "
                              "Optimal_Threshold double, All_Kill_Success boolean").json(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder, tracked for ``release_tables``."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -89,7 +97,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     from the raw scan) and keeps column statistics for later pruning.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+    path = new_path(spark, name)
     if partition_by:
         # Rows of a partition come together, a large one in several tasks:
         # a few files per partition instead of one per partition and task.
@@ -98,7 +106,6 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append((spark.sparkContext.applicationId, path))
     return spark.read.parquet(path)
 
 
@@ -112,9 +119,19 @@ def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(written) if written.count() <= rows else written
 
 
+_ON_RELEASE: list[Callable[[str], None]] = []  # called with the application when its tables go
+
+
+def on_release(forget: Callable[[str], None]) -> None:
+    """Have ``forget(application)`` called by ``release_tables``, for what keeps plans over the tables."""
+    _ON_RELEASE.append(forget)
+
+
 def release_tables(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote in this application; plans
-    over them are unusable afterwards.  Returns their number."""
+    """Delete the folders that this application wrote; plans over them are
+    unusable afterwards, and shared tables are built anew.  Returns their number."""
+    for forget in _ON_RELEASE:
+        forget(spark.sparkContext.applicationId)
     app, n = spark.sparkContext.applicationId, 0
     for owner, path in [w for w in _WRITTEN if w[0] == app]:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ file has a data-dependent column list (``d_1..d_N``), read from its header.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,59 @@ def read_wide_sales(spark: SparkSession, path: str, prefix: str = "d_") -> DataF
     return raw.selectExpr(*exprs)
 
 
+def write_wide_lines(long: DataFrame, path: str, id_cols: list[str], n_days: int, day: str = "d_int",
+                     value: str = "sales", prefix: str = "d_") -> None:
+    """Wide sales CSV of a dense long panel, header first in every part (SRC1).
+
+    A row's days are one array, joined into text: no plan has a column per day.
+    A series without exactly days ``1..n_days`` raises.
+    """
+    cell = F.sort_array(F.collect_list(F.struct(F.col(day).alias("i"), F.col(value).alias("v"))))
+    rows = long.groupBy(*id_cols).agg(cell.alias("cells"))
+    dense = ((F.size("cells") == n_days) & (F.col("cells")[0]["i"] == 1) & (F.col("cells")[n_days - 1]["i"] == n_days))
+    days = F.array_join(F.transform("cells", lambda c: F.coalesce(c["v"].cast("string"), F.lit(""))), ",")
+    line = F.concat(F.to_csv(F.struct(*id_cols)), F.lit(","), days)
+    line = F.when(dense, line).otherwise(F.raise_error(F.lit("the wide file needs one row per day 1..n")))
+    header = ",".join([*id_cols, *[f"{prefix}{i}" for i in range(1, n_days + 1)]])
+    # The header is a row of its own before each part's lines.
+    place = F.row_number().over(Window.partitionBy("part").orderBy("line"))
+    parts = rows.select(line.alias("line")).withColumn("part", F.spark_partition_id()).withColumn("place", place)
+    lines = parts.select(F.explode(F.when(F.col("place") == 1, F.array(F.lit(header), F.col("line"))).otherwise(F.array("line"))).alias("value"))
+    lines.write.mode("overwrite").text(path)
+
+
+def melt_wide_lines(spark: SparkSession, path: str, id_schema: str | None = None, prefix: str = "d_", var_name: str = "d",
+                    value_name: str = "sales") -> DataFrame:
+    """A wide CSV as ``(id columns, d, sales)`` rows by its lines (SRC1 + RSH1).
+
+    Files are read as text; a line's last fields are its days, exploded with
+    their positions, which the header names: no column per day, and a task
+    holds one line at a time.  Id columns may be quoted; a day that is empty or
+    no whole number is NULL.  The header may come again at the head of parts;
+    its days must come last, in any order.
+    """
+    text = spark.read.text(path)
+    header = text.first()
+    if header is None:
+        raise ValueError(f"{path} has no header")
+    names = [n.strip().strip('"') for n in header[0].rstrip("\r").split(",")]
+    n_ids = next((i for i, n in enumerate(names) if n.startswith(prefix)), len(names))
+    ids, days = names[:n_ids], names[n_ids:]
+    if not ids or not days or not all(d.startswith(prefix) for d in days):
+        raise ValueError(f"{path} has no id columns followed by {prefix} columns")
+    schema = id_schema or ", ".join(f"`{c}` string" for c in ids)
+    fields = F.split(F.regexp_replace("value", "\r$", ""), ",", -1)
+    rows = text.where((F.col("value") != header[0]) & (F.length("value") > 0)).select(fields.alias("f"))
+    n = F.size("f") - len(days)   # commas inside quoted ids make more fields
+    rows = rows.select(F.from_csv(F.array_join(F.slice("f", F.lit(1), n), ","), schema).alias("ids"),
+                       F.slice("f", n + 1, F.lit(len(days))).alias("f"))
+    cells = rows.select("ids", F.posexplode("f").alias("at", "v"))
+    label = F.element_at(F.split(F.lit(",".join(days)), ","), F.col("at") + 1)
+    if days == [f"{prefix}{i}" for i in range(1, len(days) + 1)]:
+        label = F.concat(F.lit(prefix), F.col("at") + 1)
+    return cells.select("ids.*", label.alias(var_name), F.trim("v").try_cast("int").alias(value_name))
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan (SRC3); naming columns prunes the read."""
     df = spark.read.parquet(path)

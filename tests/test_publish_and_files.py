@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.operators import publish as PB
+from shelfcast.operators import reshape as R
 from shelfcast.sources import files as FS
 
 
@@ -71,3 +72,34 @@ def test_csv_wide_read_and_sinks(spark):
     assert FS.read_csv(spark, os.path.join(d, "preds_csv"), FS.PREDICTIONS_SCHEMA).count() == 10
     FS.write_json(PB.forecast_sample(_preds(spark), 3), os.path.join(d, "sample_json"))
     assert spark.read.json(os.path.join(d, "sample_json")).count() == 3
+
+
+def test_melt_of_a_wide_file_by_its_lines(spark, tmp_path):
+    from shelfcast.sources.files import melt_wide_lines, write_wide_lines
+    rows = [(f'it,em "{s}"', "S1", d, s * 10 + d if d != 3 else None) for s in range(5) for d in range(1, 8)]
+    long = spark.createDataFrame(rows, "id string, store_id string, d_int int, sales int")
+    path = str(tmp_path / "wide")
+    write_wide_lines(long.repartition(3), path, ["id", "store_id"], 7)
+    got = sorted((r["id"], r["store_id"], r["d"], r["sales"]) for r in melt_wide_lines(spark, path).collect())
+    assert got == sorted((i, s, f"d_{d}", v) for i, s, d, v in rows)
+    plain = FS.read_wide_sales(spark, path)
+    assert plain.columns == ["id", "store_id", *[f"d_{i}" for i in range(1, 8)]] and plain.count() == 5
+    by_columns = R.unpivot_wide(plain, ["id", "store_id"])
+    assert sorted((r["id"], r["store_id"], r["d"], r["sales"]) for r in by_columns.collect()) == got
+
+
+def test_melt_of_odd_wide_files(spark, tmp_path):
+    from shelfcast.sources.files import melt_wide_lines, write_wide_lines
+    one = tmp_path / "odd.csv"
+    one.write_bytes(b'id,"store_id",d_9,d_2\r\nx,S,1,\r\n"y,z",S, 7,a\r\n\r\n')
+    got = sorted(tuple(r) for r in melt_wide_lines(spark, str(one)).collect())
+    assert got == [("x", "S", "d_2", None), ("x", "S", "d_9", 1), ("y,z", "S", "d_2", None), ("y,z", "S", "d_9", 7)]
+    (tmp_path / "header.csv").write_text("id,d_1\n")
+    assert melt_wide_lines(spark, str(tmp_path / "header.csv")).count() == 0
+    for text in ("", "id,store_id\n", "d_1,d_2\n1,2\n"):
+        (tmp_path / "bad.csv").write_text(text)
+        with pytest.raises(ValueError):
+            melt_wide_lines(spark, str(tmp_path / "bad.csv"))
+    gap = spark.createDataFrame([("x", 1, 5), ("x", 3, 6)], "id string, d_int int, sales int")
+    with pytest.raises(Exception, match="one row per day"):
+        write_wide_lines(gap, str(tmp_path / "gap"), ["id"], 2)
