@@ -309,9 +309,13 @@ _SCALES = ", ".join(f"avg(COALESCE({c}, 0)) AS m_{c}, stddev_pop(COALESCE({c}, 0
 _SCALE_CTE = f"(SELECT store_id, {_SCALES} FROM features WHERE {_YEAR} GROUP BY store_id)"
 
 
-def _scaled_windows(first: int, frame: str) -> str:
+def _scaled_windows(first: int, frame: str, last: int | None = None) -> str:
+    """Window sums; with ``last``, the days between a window's end and the
+    label, sums of each step times its place."""
     z = ", ".join(f"(COALESCE(f.{c}, 0) - m_{c}) / CASE WHEN p_{c} = 0 THEN 1 ELSE p_{c} END AS {c}" for c in _SCALED)
-    sums = ", ".join(f"round(sum({c}) OVER w, 3) + 0.0 AS {c}_sum" for c in _SCALED)
+    sums = ", ".join(
+        f"round(sum({c}) OVER w, 3) + 0.0 AS {c}_sum" if last is None else
+        f"round(sum({c} * d_int) OVER w - (d_int - {28 + last}) * sum({c}) OVER w, 3) + 0.0 AS {c}_steps" for c in _SCALED)
     return (f"SELECT * EXCLUDE (n) FROM (SELECT id, d_int, CAST(sales > 0 AS INTEGER) AS label, {sums}, count(*) OVER w AS n "
             f"FROM (SELECT f.id, f.d_int, f.sales, {z} FROM features f JOIN {_SCALE_CTE} k ON k.store_id = f.store_id "
             f"WHERE f.d_int >= {_T} + 1 - {first} AND f.d_int <= {_T} + 28) "
@@ -522,6 +526,8 @@ SQL = {
         FROM features f JOIN {_SCALE_CTE} k ON k.store_id = f.store_id WHERE {_YEAR} GROUP BY f.id""",
     "sequence_features": _scaled_windows(27, "27 PRECEDING AND CURRENT ROW"),
     "sequence_features_next": _scaled_windows(28, "28 PRECEDING AND 1 PRECEDING"),
+    "sequence_steps": _scaled_windows(27, "27 PRECEDING AND CURRENT ROW", 0),
+    "sequence_steps_next": _scaled_windows(28, "28 PRECEDING AND 1 PRECEDING", 1),
     "rmse_global": "SELECT round(sqrt(avg(power(sales - simple_avg_pred, 2))), 6) AS rmse FROM ens",
     "validation_counts": """SELECT count(*) AS n_rows, count(DISTINCT store_id) AS n_stores,
         CAST(sum(CAST(sales > 0 AS INTEGER)) AS BIGINT) AS n_sold FROM valf""",

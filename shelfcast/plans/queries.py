@@ -314,6 +314,31 @@ def sequence_features(spark, sf):
     return seqs.select("id", "d_int", "label", *[r3(_window_sum(x), f"{x}_sum") for x in SCALED])
 
 
+def _window_order(name: str):
+    """Sum of one input over a window's rows, each times its place from 1."""
+    weighed = F.transform("seq", lambda step, i: step[name] * (i + 1))
+    return F.aggregate(weighed, F.lit(0.0), lambda total, x: total + x)
+
+
+@query
+def sequence_steps(spark, sf):
+    """WIN8 step by step: as ``sequence_features``, every step times its place
+    in the window, so that a step out of order shows."""
+    c = ctx(spark, sf)
+    rows = SQ.scaled_inputs(c.features, c.train_end, SCALED)
+    seqs = SQ.sequence_windows(rows.where(F.col("d_int") >= c.train_end + 1 - 27), SCALED)
+    return seqs.select("id", "d_int", "label", *[r3(_window_order(x), f"{x}_steps") for x in SCALED])
+
+
+@query
+def sequence_steps_next(spark, sf):
+    """WIN9 step by step."""
+    c = ctx(spark, sf)
+    rows = SQ.scaled_inputs(c.features, c.train_end, SCALED)
+    seqs = SQ.sequence_windows_next(rows.where(F.col("d_int") >= c.train_end + 1 - 28), SCALED)
+    return seqs.select("id", "d_int", "label", *[r3(_window_order(x), f"{x}_steps") for x in SCALED])
+
+
 @query
 def sequence_features_next(spark, sf):
     """WIN9 over the model's inputs: the 28 rows before the labelled one, with

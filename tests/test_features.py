@@ -158,3 +158,19 @@ def test_rolling_by_running_sums_equals_frames(spark):
             assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * (1 + abs(b))), r
             n_values += a is not None
     assert n_values > 500
+
+
+def test_windows_of_chunked_series(spark, monkeypatch):
+    """Slices over chunks equal the rows themselves, in order, across chunk ends."""
+    monkeypatch.setattr(SQ, "CHUNK", 10)
+    rows = [(f"s{s}", 2 * t, (t * 7 + s) % 5, float(t)) for s in range(3) for t in range(33 - 14 * s)]
+    df = spark.createDataFrame(rows, "id string, d_int int, sales int, x double").repartition(3)
+    for make, gap in ((SQ.sequence_windows, 0), (SQ.sequence_windows_next, 1)):
+        got = {(r["id"], r["d_int"]): (r["label"], [s["x"] for s in r["seq"]]) for r in make(df, ["x"], 6).collect()}
+        want = {}
+        for sid in {r[0] for r in rows}:
+            mine = sorted(r for r in rows if r[0] == sid)
+            for i in range(5 + gap, len(mine)):
+                want[sid, mine[i][1]] = (int(mine[i][2] > 0), [m[3] for m in mine[i - 5 - gap:i + 1 - gap]])
+        assert got == want
+    assert SQ.sequence_windows(df.limit(0), ["x"], 6).count() == 0
