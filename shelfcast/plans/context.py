@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators import ensemble as E
 from shelfcast.operators import features as FT
 from shelfcast.operators import panel as P
-from shelfcast.session import materialize, new_path, on_release
+from shelfcast.session import materialize, materialize_by_key, new_path, on_release
 from shelfcast.sources import standin as S
 from shelfcast.sources.files import write_wide_lines
 from shelfcast.sources.tables import table_stamp
@@ -108,6 +108,21 @@ class RetailContext:
         return self._table("joined", lambda: FT.with_day_index(P.star_join(
             S.sales_long(self.spark, self.sf_dir, self.daily), self.calendar, self.prices)), ["store_id"])
 
+    @cached_property
+    def series(self) -> DataFrame:
+        """The joined panel in buckets of ``id``, sorted by day: series windows
+        over it need no exchange."""
+        if not self.persist:
+            return self.joined
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, _stamp(self.spark, self.sf_dir), "series")
+        if key not in _TABLES:
+            _TABLES[key] = materialize_by_key(self.joined, "series", "id", "d_int")
+        return _TABLES[key]
+
+    @cached_property
+    def series_panel(self) -> DataFrame:
+        return P.drop_prerelease(self.series)
+
     @cached_property
     def sales_long(self) -> DataFrame:
         return self.joined.select(*S.ID_COLS, "d", "sales", "d_int")
@@ -119,7 +134,7 @@ class RetailContext:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._table("features", lambda: FT.build_features(self.panel, self.train_end),
+        return self._table("features", lambda: FT.build_features(self.series_panel, self.train_end),
                            ["store_id"])
 
     @cached_property

@@ -25,6 +25,7 @@ from shelfcast.plans.context import ctx
 from shelfcast.session import new_path
 from shelfcast.sources import files as FS
 from shelfcast.sources import standin as S
+from shelfcast.sources.tables import folder_of, footer_scan
 
 OVERLAY_SERIES = "BRAND_1_AF_1_evaluation"
 CATEGORIES = ["item_id", "dept_id", "cat_id", "event_name_1", "event_type_1"]
@@ -160,13 +161,13 @@ def occurrence_label(spark, sf):
 @query
 def column_ranges_q(spark, sf):
     """AGG17: min / max of every integer column of the joined panel."""
-    return column_ranges(ctx(spark, sf).joined)
+    return column_ranges(footer_scan(spark, folder_of(ctx(spark, sf).joined)))
 
 
 @query
 def narrow_types(spark, sf):
     """DWN1: narrowest strict integer type per column, from one range pass."""
-    rng = column_ranges(ctx(spark, sf).joined)
+    rng = column_ranges(footer_scan(spark, folder_of(ctx(spark, sf).joined)))
     return rng.withColumn("narrow_type", F.expr(narrow_expr_sql("x")))
 
 
@@ -176,21 +177,21 @@ def narrow_types(spark, sf):
 @query
 def price_momentum(spark, sf):
     """WIN1: price / price 7 and 28 rows back, 1.0 when missing."""
-    f = FT.price_momentum(ctx(spark, sf).panel)
+    f = FT.price_momentum(ctx(spark, sf).series_panel)
     return f.select("id", "d", r6("price_change_w1"), r6("price_change_m1"))
 
 
 @query
 def price_max_ratio(spark, sf):
     """WIN2: price / the series' maximum price."""
-    f = FT.price_momentum(ctx(spark, sf).panel)
+    f = FT.price_momentum(ctx(spark, sf).series_panel)
     return f.select("id", "d", r6("price_max_ratio"))
 
 
 @query
 def sales_lags(spark, sf):
     """WIN3/WIN4: sales 28, 35, 42 and 364 rows back."""
-    f = FT.sales_lags(ctx(spark, sf).panel)
+    f = FT.sales_lags(ctx(spark, sf).series_panel)
     return f.select("id", "d", *[F.col(f"sales_lag_{k}").cast("double").alias(f"sales_lag_{k}")
                                  for k in FT.SALES_LAGS])
 
@@ -198,7 +199,7 @@ def sales_lags(spark, sf):
 @query
 def rolling_stats(spark, sf):
     """WIN5: rolling mean / sample std over 7/14/30/60 rows ending 28 rows back."""
-    f = FT.rolling_stats(ctx(spark, sf).panel)
+    f = FT.rolling_stats(ctx(spark, sf).series_panel)
     cols = [f"rolling_{s}_{n}" for n in FT.ROLL_WINDOWS for s in ("mean", "std")]
     return f.select("id", "d", *[r6(c) for c in cols])
 
@@ -423,7 +424,7 @@ def threshold_choice_past(spark, sf):
 @query
 def price_max_ratio_causal(spark, sf):
     """WIN2 with the running maximum instead of the whole series' (B7)."""
-    f = FT.price_momentum(ctx(spark, sf).panel, causal=True)
+    f = FT.price_momentum(ctx(spark, sf).series_panel, causal=True)
     return f.select("id", "d", r6("price_max_ratio"))
 
 
@@ -553,14 +554,14 @@ def rmse_by_store_first_match(spark, sf):
 def rmsse_denominator(spark, sf):
     """AGG10/WIN7: mean squared first difference after leading zeros, train days."""
     c = ctx(spark, sf)
-    return M.rmsse_denominator(c.sales_long, c.train_end).select("id", r6("denominator"))
+    return M.rmsse_denominator(c.series, c.train_end).select("id", r6("denominator"))
 
 
 @query
 def rmsse_denominator_all_days(spark, sf):
     """AGG10 over every day, validation included (the reference's B2)."""
     c = ctx(spark, sf)
-    return M.rmsse_denominator(c.sales_long, None).select("id", r6("denominator"))
+    return M.rmsse_denominator(c.series, None).select("id", r6("denominator"))
 
 
 @query

@@ -27,6 +27,7 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 _WRITTEN: list[tuple[str, str]] = []  # (application, path) of materialized tables
+_CATALOG: list[tuple[str, str]] = []  # (application, name) of those in the session's catalog
 LOCAL_DRIVER_MEMORY = "16g"  # local mode: the driver JVM is the only executor
 
 
@@ -109,14 +110,36 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.parquet(path)
 
 
+def materialize_by_key(df: DataFrame, name: str, key: str, order: str) -> DataFrame:
+    """As ``materialize``, in buckets of ``key`` that are sorted by ``order``: a
+    window or aggregate over ``key`` then needs no exchange.
+
+    The rows go to their buckets before the write, so a bucket is one file.
+    The table stands in the session's catalog until ``release_tables``.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    table = "shelfcast_" + os.path.basename(path).replace("-", "_")
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, order).format("parquet")
+     .option("path", path).saveAsTable(table))
+    _CATALOG.append((spark.sparkContext.applicationId, table))
+    return spark.table(table)
+
+
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A lookup table for a join with fact rows: written, counted, and marked
-    for broadcast if it has at most ``rows`` rows; else the join shuffles."""
+    for broadcast if it has at most ``rows`` rows and, by its columns' widths
+    and the length of its texts, ``most_bytes`` bytes; else the join shuffles."""
     written = materialize(df, name)
-    return F.broadcast(written) if written.count() <= rows else written
+    texts = [f.name for f in written.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    length = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0)) + 8 * len(written.columns) + 16
+    n, size = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    return F.broadcast(written) if n <= rows and size <= most_bytes else written
 
 
 _ON_RELEASE: list[Callable[[str], None]] = []  # called with the application when its tables go
@@ -132,6 +155,9 @@ def release_tables(spark: SparkSession) -> int:
     unusable afterwards, and shared tables are built anew.  Returns their number."""
     for forget in _ON_RELEASE:
         forget(spark.sparkContext.applicationId)
+    for owner, table in [t for t in _CATALOG if t[0] == spark.sparkContext.applicationId]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        _CATALOG.remove((owner, table))
     app, n = spark.sparkContext.applicationId, 0
     for owner, path in [w for w in _WRITTEN if w[0] == app]:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

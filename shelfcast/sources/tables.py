@@ -37,3 +37,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     """Scan one table.  Naming the columns keeps ``ReadSchema`` minimal."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def folder_of(df: DataFrame) -> str:
+    """The folder of a DataFrame that reads one Parquet table, partition folders left out."""
+    parts = df.inputFiles()[0].split("/")[:-1]
+    while "=" in parts[-1]:
+        parts.pop()
+    return "/".join(parts)
+
+
+def footer_scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet scan whose plain counts, minima and maxima come from the files'
+    footers: the DataSource V2 reader takes aggregates down to the files
+    (``spark.sql.parquet.aggregatePushdown``), which the default reader does not.
+    Timestamps and strings have no such bounds and are scanned."""
+    key = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ",".join(s for s in before.split(",") if s.strip() != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
