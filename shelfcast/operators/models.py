@@ -75,6 +75,24 @@ def prepare(df: DataFrame, features: list[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(cast)
 
 
+def with_categories(df: DataFrame, names: list[str], sizes: dict[str, int]) -> DataFrame:
+    """Code columns as nominal attributes, so that trees part them as sets; a
+    missing category (code -1) is category 0."""
+    out = {}
+    for c in names:
+        meta = {"ml_attr": {"type": "nominal", "name": c, "vals": [str(i) for i in range(sizes[c])]}}
+        code = F.coalesce(F.col(c).cast("int"), F.lit(-1)) + 1
+        out[c] = F.least(F.greatest(code, F.lit(0)), F.lit(sizes[c] - 1)).cast("double").alias(c, metadata=meta)
+    return df.select(*[out.get(c, F.col(c)) for c in df.columns])
+
+
+def category_sizes(train: DataFrame, val: DataFrame, names: list[str]) -> dict[str, int]:
+    """Categories of each code column, the missing one included, by one aggregate."""
+    both = train.select(*names).union(val.select(*names))
+    r = both.agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(-1))).alias(c) for c in names]).first()
+    return {c: max(2, (-1 if r[c] is None else r[c]) + 2) for c in names}
+
+
 def _p1(col: str = "probability") -> Column:
     return vector_to_array(F.col(col)).getItem(1)
 
@@ -185,12 +203,18 @@ def occurrence_model(train: DataFrame, val: DataFrame, kind: str, weights: DataF
                      rounds: int = OCC_ROUNDS, reg_param: float = 1e-4) -> DataFrame:
     """Demand-occurrence probability (MOD5-MOD7), class-balanced weights.
 
+    Trees part the categorical codes as sets, a missing one included.
     ``gbt``: boosted trees with a seeded 10 % early-stopping holdout;
     ``rf``: 30 trees of depth 10; ``lr``: L2 logistic regression on features
     standardised per store (train statistics); ``reg_param`` plays the role
     of ``1 / (C * n)`` in the reference's ``C``-parametrised penalty.
     """
     feats = model_features(train, features or feature_set("all", None))
+    nominal = [c for c in CATEGORICAL if c in feats] if kind in ("gbt", "rf") else []
+    sizes = category_sizes(train, val, nominal) if nominal else {}
+    bins = max([32, *sizes.values()])
+    if nominal:
+        train, val = (with_categories(df, nominal, sizes) for df in (train, val))
     tr = prepare(_with_weights(train, weights).withColumn("occ", F.col("occ").cast("double")), feats)
     va = prepare(val, feats)
     if kind == "gbt":
@@ -198,10 +222,10 @@ def occurrence_model(train: DataFrame, val: DataFrame, kind: str, weights: DataF
         place = F.pmod(F.xxhash64("id", "d", F.lit(seed)), F.lit(1000))
         tr = tr.withColumn("is_holdout", place < int(1000 * OCC_HOLDOUT))
         est = GBTClassifier(maxIter=rounds, stepSize=LEARNING_RATE, seed=seed, labelCol="occ",
-                            weightCol="weight", validationIndicatorCol="is_holdout")
+                            weightCol="weight", validationIndicatorCol="is_holdout", maxBins=bins)
     elif kind == "rf":
         est = RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=seed,
-                                     labelCol="occ", weightCol="weight")
+                                     labelCol="occ", weightCol="weight", maxBins=bins)
     elif kind == "lr":
         from shelfcast.operators.features import standardize
         tr_s = standardize(train, feats, fit_rows=train)

@@ -68,3 +68,28 @@ def test_occurrence_model_tells_days_apart(frames):
     out = MD.occurrence_model(train, val, "lr", w, features=FT.OCCURRENCE_FEATURES)
     means = {r.label: r.p for r in out.groupBy("label").agg(F.avg("prob").alias("p")).collect()}
     assert means[1] > 0.9 and means[0] < 0.1
+
+
+@pytest.mark.parametrize("kind", ["rf", "gbt"])
+def test_trees_part_codes_as_sets(spark, kind):
+    """Sold in departments 1, 3 and the missing one, among 40: no order of the codes tells."""
+    dept = (F.col("id") % 41 - 1).cast("int")
+    df = spark.range(4100).select(
+        F.concat(F.lit("x"), F.col("id")).alias("id"), F.concat(F.lit("d_"), F.col("id")).alias("d"), F.lit("A").alias("store_id"),
+        dept.alias("dept_id"), F.when(dept.isin(-1, 1, 3, 17, 30), 2).otherwise(0).alias("sales"))
+    df = df.withColumns({f: F.lit(0.0) for f in FT.OCCURRENCE_FEATURES if f != "dept_id"})
+    nulls = df.withColumn("dept_id", F.when(F.col("dept_id") >= 0, F.col("dept_id")))
+    weights = spark.createDataFrame([("A", 0, 1.0), ("A", 1, 1.0)], "store_id string, label int, weight double")
+    shallow = MD.RF_DEPTH
+    try:
+        MD.RF_DEPTH = 3
+        out = MD.occurrence_model(df, nulls, kind, weights, features=["dept_id", "sell_price"], rounds=3)
+    finally:
+        MD.RF_DEPTH = shallow
+    wrong = out.where((F.col("prob") > 0.5).cast("int") != F.col("label")).count()
+    assert out.count() == 4100 and wrong <= (100 if kind == "rf" else 0)   # of 500 sold; sampled trees may miss a code
+    sizes = MD.category_sizes(df, nulls, ["dept_id"])
+    assert sizes == {"dept_id": 41}
+    again = MD.with_categories(nulls, ["dept_id"], sizes)
+    assert again.schema["dept_id"].metadata["ml_attr"]["type"] == "nominal"
+    assert again.agg(F.min("dept_id"), F.max("dept_id")).first()[:] == (0.0, 40.0)
