@@ -11,9 +11,12 @@ read by following failure arcs until an arc for it exists; the next state is
 the longest suffix of what was read that is a state.
 
 The automaton grows with the corpus and is never in one place.  Texts are
-packed into blocks of bounded size, written once.  Each block asks for the
+packed into blocks of bounded size, written once in buckets.  Each block asks for the
 totals of its distinct n-grams, in hash ranges; the owner of a range adds up
-the blocks' own counts and answers every block.  With the answers a block
+the blocks' own counts and answers every block.  Orders above 2 are asked for
+one after the other, and only those n-grams whose two parts of one word less
+both stand in another block too: the block's own count is the total of any
+other, so nothing is lost by not asking.  With the answers a block
 holds exactly the states and arcs that its texts can reach, and one
 left-to-right traversal per text carries the state and sums the weights.
 A block counts before it asks, so a frequent n-gram is one number per block.
@@ -41,10 +44,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from shelfcast.llm.common import lower_words_of, saved
+from shelfcast.session import materialize_by_key
 from shelfcast.llm.packing import (ODD_A, ODD_C, mixed_hash, pack_keys, pack_numbers, unpack_keys,
                                    unpack_numbers)
 
-ORDER = 2
+ORDER = 3
 STRENGTHS = {2: 200.0, 3: 20.0, 4: 10.0, 5: 10.0}
 BLOCK_BYTES = 4 << 20       # text per block (one text at least)
 BLOCKS_PER_RANGE = 4        # blocks' worth of n-grams that one hash range holds
@@ -93,7 +97,8 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str, held: Column, block_bytes
                     yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row))], schema=arrow)
                     number, first, size = number + 1, i + 1, 0
 
-    return saved(src.mapInArrow(pack, schema), "lm-blocks")
+    # In buckets, so that the rounds below read them where they stand.
+    return materialize_by_key(src.mapInArrow(pack, schema), "llm-lm-blocks", "block", "n_docs")
 
 
 class BlockGrams:
@@ -118,7 +123,7 @@ class BlockGrams:
         hashes[self.first], hashes[first[1:] - 1] = np.uint64(_START), np.uint64(_END)
         depth = np.arange(total) - np.repeat(self.first, self.lengths + 1)
         held = np.repeat(np.array(held, bool), self.lengths + 1) if n_docs else np.zeros(0, bool)
-        self.keys, self.at, self.counts = {}, {}, {}
+        self.keys, self.at, self.counts, self.parts = {}, {}, {}, {}
         key = mixed_hash(hashes + ODD_A)
         for n in range(1, order + 1):
             if n > 1:  # the context's key, moved on by one, and this word
@@ -130,6 +135,28 @@ class BlockGrams:
             place[whole] = inverse
             seen = np.bincount(inverse[~held[whole]], minlength=len(distinct))
             self.keys[n], self.at[n], self.counts[n] = distinct, place, seen.astype(np.uint32)
+            if n > 2:  # an occurrence of each n-gram gives its two parts
+                ends = np.empty(len(distinct), np.int64)
+                ends[inverse] = whole
+                self.parts[n] = self.at[n - 1][ends - 1], self.at[n - 1][ends]
+
+    def asked(self, n: int, shared: np.ndarray | None) -> np.ndarray:
+        """Which n-grams other blocks may hold: those whose parts both are
+        ``shared``, held by another block."""
+        if n <= 2:
+            return np.ones(len(self.keys[n]), bool)
+        return shared[self.parts[n][0]] & shared[self.parts[n][1]]
+
+    def totals(self, replies: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> tuple[dict, np.ndarray | None]:
+        """Totals of all orders from the answers to what was asked, and which
+        n-grams of the last one are shared."""
+        out, shared = {}, None
+        for n in range(1, order + 1):
+            ask = self.asked(n, shared)
+            total, held_too = replies.get(n, (np.zeros(0, np.uint64), np.zeros(0, bool)))
+            out[n], shared = self.counts[n].astype(np.uint64), np.zeros(len(ask), bool)
+            out[n][ask], shared[ask] = total, held_too
+        return out, shared
 
 
 def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -139,33 +166,68 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
 
 
+REQUESTS = "gram int, bucket int, block long, keys binary, counts binary"
+
+
+def _asking(grams: BlockGrams, block: int, n: int, ask: np.ndarray, ranges: int) -> list[tuple]:
+    """A request per hash range with asked n-grams: keys and own counts."""
+    keys, counts = grams.keys[n][ask], grams.counts[n][ask]
+    cut = _bounds(keys, ranges)
+    return [(n, i, block, pack_keys(keys[cut[i]:cut[i + 1]]), pack_numbers(counts[cut[i]:cut[i + 1]]))
+            for i in np.flatnonzero(np.diff(cut)).tolist()]
+
+
 def requests(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
-    """Per block, order and hash range with n-grams: keys and own counts."""
-    schema = StructType.fromDDL("gram int, bucket int, block long, keys binary, counts binary")
-    arrow = to_arrow_schema(schema)
+    """What every block asks for orders 1 and 2."""
+    arrow = to_arrow_schema(StructType.fromDDL(REQUESTS))
 
     def ask(batches):
         for b in batches:
             for r in b.to_pylist():
-                grams = BlockGrams(r["lengths"], r["words"], r["tokens"], r["held"], order)
-                rows = []
-                for n in range(1, order + 1):
-                    cut = _bounds(grams.keys[n], ranges)
-                    for i in range(ranges):
-                        part = slice(cut[i], cut[i + 1])
-                        if cut[i] < cut[i + 1]:
-                            rows.append((n, i, r["block"], pack_keys(grams.keys[n][part]),
-                                         pack_numbers(grams.counts[n][part])))
+                grams = BlockGrams(r["lengths"], r["words"], r["tokens"], r["held"], min(order, 2))
+                rows = [row for n in range(1, min(order, 2) + 1)
+                        for row in _asking(grams, r["block"], n, grams.asked(n, None), ranges)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    return blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(ask, schema)
+    return blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(ask, REQUESTS)
+
+
+def _replies(reply: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Answers to a block by order, in the order of its keys."""
+    rows = sorted(zip(*(reply[c].to_pylist() for c in ("gram", "bucket", "totals", "shared"))), key=lambda r: r[:2])
+    out = {}
+    for n in {r[0] for r in rows}:
+        totals = [unpack_numbers(t, np.uint64) for g, _, t, _ in rows if g == n]
+        bits = [unpack_numbers(s, np.uint8) for g, _, _, s in rows if g == n]
+        out[n] = (np.concatenate(totals), np.concatenate([np.unpackbits(s, count=len(t)).astype(bool)
+                                                          for t, s in zip(totals, bits)]))
+    return out
+
+
+def further_requests(blocks: DataFrame, replies: DataFrame, n: int, ranges: int) -> DataFrame:
+    """What every block asks for order ``n``, given the answers to the orders below."""
+    arrow = to_arrow_schema(StructType.fromDDL(REQUESTS))
+
+    def ask(block: pa.Table, reply: pa.Table) -> pa.Table:
+        r = block.to_pylist()[0]
+        grams = BlockGrams(r["lengths"], r["words"], r["tokens"], r["held"], n)
+        known = _replies(reply)
+        # Of order 2 every n-gram was asked for, so its answers stand alone.
+        shared = known[2][1] if n == 3 else grams.totals(known, n - 1)[1]
+        rows = _asking(grams, r["block"], n, grams.asked(n, shared), ranges)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, arrow.types)], schema=arrow)
+
+    needed = replies.filter("gram = 2") if n == 3 else replies
+    return (blocks.select("block", "held", "lengths", "words", "tokens").groupBy("block")
+            .cogroup(needed.groupBy("block")).applyInArrow(ask, REQUESTS))
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """Per request the totals over all blocks, and the range's distinct
-    unigrams seen in training (0 for other orders)."""
-    schema = "gram int, bucket int, block long, totals binary, distinct_words long"
+    """Per request the totals over all blocks, a bit per key for those that
+    another block holds too, and the range's distinct unigrams seen in training
+    (0 for other orders)."""
+    schema = "gram int, bucket int, block long, totals binary, shared binary, distinct_words long"
 
     def add(group: pa.Table) -> pa.Table:
         keys = [unpack_keys(k) for k in group["keys"].to_pylist()]
@@ -178,8 +240,10 @@ def answers(asked: DataFrame) -> DataFrame:
         gram = group["gram"][0].as_py()
         words = int(np.count_nonzero(total[distinct != mixed_hash(np.array([_START], np.uint64) + ODD_A)[0]])) if gram == 1 else 0
         mine = np.split(total[inverse], sizes)
+        shared = np.split((np.bincount(inverse) > 1)[inverse], sizes)   # a block asks for a key once
         return pa.table({"gram": group["gram"], "bucket": group["bucket"], "block": group["block"],
                          "totals": pa.array([pack_numbers(m) for m in mine], pa.binary()),
+                         "shared": pa.array([pack_numbers(np.packbits(s)) for s in shared], pa.binary()),
                          "distinct_words": pa.array([words] * len(mine), pa.int64())})
 
     return asked.groupBy("gram", "bucket").applyInArrow(add, schema)
@@ -267,6 +331,9 @@ def train_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text:
     seen = blocks.agg(F.count("*").alias("n"), F.sum("train_tokens").alias("tokens")).first()
     ranges = max(1, -(-seen["n"] // BLOCKS_PER_RANGE))
     replies = saved(answers(requests(blocks, order, ranges)), "lm-answers")
+    for n in range(3, order + 1):
+        more = saved(answers(further_requests(blocks, replies.drop("distinct_words"), n, ranges)), f"lm-answers-{n}")
+        replies = replies.unionByName(more)
     per_range = replies.filter("gram = 1").groupBy("bucket").agg(F.max("distinct_words").alias("v"))
     vocabulary, train_tokens = per_range.agg(F.sum("v")).first()[0] or 0, seen["tokens"] or 0
     id_type = blocks.schema["doc_ids"].dataType.elementType
@@ -278,11 +345,7 @@ def train_and_score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text:
     def score(block: pa.Table, reply: pa.Table) -> pa.Table:
         r = block.to_pylist()[0]
         grams = BlockGrams(r["lengths"], r["words"], r["tokens"], r["held"], order)
-        totals = {}
-        for n in range(1, order + 1):
-            mine = sorted((b, t) for g, b, t in zip(*(reply[c].to_pylist() for c in ("gram", "bucket", "totals")))
-                          if g == n)
-            totals[n] = np.concatenate([unpack_numbers(t, np.uint64) for _, t in mine] or [np.zeros(0, np.uint64)])
+        totals = grams.totals(_replies(reply), order)[0]
         rows = score_block(grams, totals, r["held"], order, strengths, train_tokens, vocabulary)
         made = [r["doc_ids"], *zip(*rows)]
         return pa.table([pa.array(c, t) for c, t in zip(made, arrow.types)], schema=arrow)

@@ -72,17 +72,17 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("order,block", [(2, 1 << 20), (2, 60), (3, 200)])
+@pytest.mark.parametrize("order,block", [(2, 1 << 20), (2, 60), (3, 200), (3, 30), (4, 90)])
 def test_equals_explicit_automaton(spark, order, block):
     docs = corpus()
     held = {i for i, _ in docs if i is not None and i % 5 == 2}
     d = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double").repartition(3)
     got = L.train_and_score(d, F.coalesce(F.pmod("doc_id", F.lit(5)) == 2, F.lit(False)), order=order,
-                            strengths={2: 3.0, 3: 1.5}, block_bytes=block)
+                            strengths={2: 3.0, 3: 1.5, 4: 2.0}, block_bytes=block)
     words = [(i, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split(" "))
              for i, t in docs]
     words = [(i, [w for w in ws if w]) for i, ws in words]
-    model = Automaton([w for i, w in words if i not in held], order, {2: 3.0, 3: 1.5})
+    model = Automaton([w for i, w in words if i not in held], order, {2: 3.0, 3: 1.5, 4: 2.0})
     want = sorted((str(i), i in held, len(w) + 1, sum(model.words[(x,)] > 0 for x in [*w, END]), model.total,
                    round(sum(math.log10(model.base(x)) for x in [*w, END]), 6), round(model.score(w), 6))
                   for i, w in words)
@@ -104,3 +104,18 @@ def test_no_training_rows_and_empty_table(spark):
     rows = L.train_and_score(d, F.lit(True)).collect()
     assert {(r.n_known, r.train_tokens, r.score, r.base_score) for r in rows} == {(0, 0, 0.0, 0.0)}
     assert L.train_and_score(d.limit(0), F.lit(False)).count() == 0
+
+
+def test_only_what_may_occur_elsewhere_is_asked(spark):
+    """A block asks for a trigram only if both its bigrams stand in another block too."""
+    texts = ["a b c d", "a b x c d", "q r s t u", "b c a b", "q r s t u"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks = L.blocks_of(d, "doc_id", "text", F.lit(False), 1)
+    replies = L.answers(L.requests(blocks, 3, 1)).drop("distinct_words")
+    asked = {r["block"]: len(L.unpack_keys(r["keys"])) for r in L.further_requests(blocks, replies, 3, 1).collect()}
+    grams = [list(zip(*[["<s>", *t.split(), "</s>"][i:] for i in range(3)])) for t in texts]
+    pairs = [{p for g in gs for p in (g[:2], g[1:])} for gs in grams]
+    want = {i: len({g for g in gs if all(any(p in o for j, o in enumerate(pairs) if j != i) for p in (g[:2], g[1:]))})
+            for i, gs in enumerate(grams)}
+    assert sum(want.values()) < sum(len(set(gs)) for gs in grams)
+    assert asked == {i: n for i, n in want.items() if n}
