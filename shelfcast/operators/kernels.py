@@ -2,8 +2,9 @@
 
 Each kernel looks at a few inputs over five steps, one, two or four days apart,
 along a window of ``length`` rows of a series; the window keeps its greatest
-response and the share of responses above zero.  A linear model on these tells
-shapes in the history apart that the values of single days do not.
+response, the share of responses above zero, and the inputs of its last row.  A
+linear model on these tells shapes in the history apart that the values of
+single days do not.
 
 Series are cut into chunks of ``CHUNK`` rows that overlap by a window, one row
 in the shuffle and one group each, so no group grows with a series.  Rows count
@@ -42,14 +43,14 @@ def random_kernels(n_inputs: int, n_kernels: int, seed: int) -> list[tuple[int,
 
 def window_features(x: np.ndarray, kernels: list[tuple[int, np.ndarray, np.ndarray]], length: int) -> np.ndarray:
     """Per window of ``length`` rows of ``x`` (oldest first) each kernel's
-    greatest response and its share of positive ones."""
+    greatest response and its share of positive ones, then the last row."""
     n, out = len(x) - length + 1, []
     for dilation, weights, bias in kernels:
         span = (TAPS - 1) * dilation
         response = sum(x[j * dilation:len(x) - span + j * dilation] @ weights[j] for j in range(TAPS)) + bias
         seen = np.lib.stride_tricks.sliding_window_view(response, length - span, axis=0)[:n]
         out += [seen.max(-1), (seen > 0).mean(-1)]
-    return np.concatenate(out, axis=1)
+    return np.concatenate([*out, x[length - 1:]], axis=1)
 
 
 def kernel_features(df: DataFrame, inputs: list[str], keep: list[str], length: int = 28, n_kernels: int = 60,
@@ -65,15 +66,16 @@ def kernel_features(df: DataFrame, inputs: list[str], keep: list[str], length: i
     rows = rows.withColumn("__chunk", F.explode(F.array_distinct(F.array(own, ahead))))
     kept = [key, order, *keep]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", kernel array<double>"
+    width = 2 * n_kernels + len(inputs)
 
     def make(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t["__at"].to_numpy(), kind="stable")))
         flat = t["__x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.reshape(t.num_rows, len(inputs))
         n = max(0, t.num_rows - length + 1)
-        made = window_features(x, kernels, length) if n else np.zeros((0, 2 * n_kernels))
+        made = window_features(x, kernels, length) if n else np.zeros((0, width))
         ends = t.slice(t.num_rows - n, n).select(kept)
-        column = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2 * n_kernels, pa.int32()), pa.array(made.ravel()))
+        column = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(made.ravel()))
         return ends.append_column("kernel", column)
 
     return rows.groupBy(key, "__chunk").applyInArrow(make, schema)

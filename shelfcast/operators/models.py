@@ -278,7 +278,7 @@ def kernel_occurrence(features: DataFrame, train_end: int, seed: int = 42, n_ker
     windows and a class-weighted logistic regression per store (MOD8)."""
     src = sequence_inputs(features, train_end)
     made = materialize(kernel_features(src, SEQ_FEATURES, ["d", "store_id", "sales"], 28, n_kernels, seed), "kernels")
-    names = [f"kernel_{i}" for i in range(2 * n_kernels)]
+    names = [f"kernel_{i}" for i in range(2 * n_kernels + len(SEQ_FEATURES))]
     wide = made.select("id", "d", "d_int", "store_id", "sales", *[F.col("kernel")[i].alias(n) for i, n in enumerate(names)])
     train, val = wide.where(F.col("d_int") <= train_end), wide.where(F.col("d_int") > train_end)
     weights = balanced_weights(train.withColumn("label", occurrence("sales")))
