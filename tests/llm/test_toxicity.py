@@ -61,6 +61,24 @@ def test_swaps_pull_identity_terms_apart_from_the_label(spark, tables):
     assert gap[0] > 0.02 and abs(gap[1]) < gap[0] / 4
 
 
+def test_the_default_penalty_acts_and_costs_no_accuracy(spark, tables):
+    """At the query's own weight: the term's effect falls to a tenth, and both
+    terms of a pair score alike, while held-out texts are told apart as before."""
+    d, y = tables
+    use = F.pmod("doc_id", F.lit(5)) != 2
+    extra = d.sparkSession.createDataFrame([(6000, "the men of the town", "s", 0.5)], d.schema)
+    truth = {i: t for i, t in corpus()[1] if i is not None and t is not None and i < 900 and i % 5 == 2}
+    gaps, pairs, right = [], [], []
+    for model in (T.fit(d, y, use, swap_weight=0.0), T.fit(d, y, use)):
+        rows = {r.doc_id: r.score for r in T.score(d.union(extra), model).collect()}
+        gaps.append(rows[5002] - rows[5003])
+        pairs.append(abs(rows[5002] - rows[6000]))
+        right.append(sum((rows[i] >= T.THRESHOLD) == bool(t) for i, t in truth.items()))
+    assert gaps[0] > 0.02 and abs(gaps[1]) < gaps[0] / 10
+    assert pairs[1] < pairs[0] / 10
+    assert right[1] >= right[0] - 0.02 * len(truth)
+
+
 def test_rerun_and_labels_of_other_kind(spark, tables):
     d, y = tables
     assert T.fit(d, y) == T.fit(d.repartition(2), y.repartition(5))
