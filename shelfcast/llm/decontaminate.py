@@ -18,7 +18,8 @@ large benchmark works without a shuffle of the documents.
 Defined results: a null or empty text has no words, matches nothing and is
 clean; null or empty items have no window; an item's id counts once however
 often it is repeated; a null item id is the string "null".  Repeated documents
-are each reported.  Other input columns are not read, or passed through.
+are each reported.  Without items no document matches; without documents the
+result is empty.  Other input columns are not read, or passed through.
 """
 
 from __future__ import annotations

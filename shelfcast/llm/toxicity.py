@@ -15,8 +15,8 @@ bounds, are broadcast.
 Defined results: a null or empty text scores the model's bias; label rows
 without a label are left out, an id with several labels counts as toxic if any
 says so; without usable labels of both kinds every score is the share of toxic
-ones (0 if there are none); repeated rows score alike; columns other than id
-and text are not read.
+ones (0 if there are none); repeated rows score alike; an empty table of
+documents gives an empty one; columns other than id and text are not read.
 """
 
 from __future__ import annotations
