@@ -5,11 +5,14 @@ it.  All models grow together: one Spark job per tree level adds up, per (fit,
 store, node), the gradients, curvatures and counts of every feature's bins, and
 chooses the split that lowers the loss most.  Tasks add up their own rows
 first, so what is shuffled grows with models and nodes, not with rows; splits
-and leaf values, a few numbers per node, are what comes to the driver.  No
-store is in one task: its rows stand in blocks that any task may read.
+and leaf values, a few numbers per node, are what comes to the driver, and sums
+of tasks that are at most ``DRIVER_BYTES`` together, which it adds up itself.
+No store is in one task: its rows stand in blocks that any task may read.
 
 Rows are binned once (quantiles per store; categories by code, null as one of
-them) and written as blocks of packed arrays, which all fits share.  Every
+them) and written as blocks of packed arrays, which all fits share.  The level
+jobs are hundreds and short, so they run over an RDD of the blocks: that plans
+nothing and turns no rows into columns.  Every
 ``WRITE_EVERY`` rounds the rows' scores are written with them; in between they
 follow from the last rounds' trees, so a lost task repeats little.
 
@@ -24,12 +27,13 @@ rows has no model and no predictions.
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,7 @@ BINS = 64
 BLOCK_ROWS = 32_768
 TASK_BLOCKS = 64          # blocks that one task reads at most, about
 WRITE_EVERY = 10
+DRIVER_BYTES = 32 << 20   # sums of tasks that the driver adds up at most
 MIN_LEAF = 20             # rows in a leaf at least
 MIN_CURVATURE = 1e-3
 CATEGORY_SMOOTHING = 10.0
@@ -109,10 +114,14 @@ def row_losses(loss: str, t: np.ndarray, score: np.ndarray) -> np.ndarray:
 
 def leaves(tree: Tree, x: np.ndarray, depth: int) -> np.ndarray:
     """The rows' nodes at ``depth``, numbered from 0; ``x`` has a row per feature."""
-    rows, node = np.arange(x.shape[1]), np.zeros(x.shape[1], np.int64)
-    for level in range(depth):
-        at = node + (1 << level) - 1
-        node = 2 * node + ~tree.left[at, x[tree.feature[at], rows]] + 0
+    n, bins = x.shape[1], tree.left.shape[1]
+    flat, rows, right = np.ravel(x), np.arange(n), (~tree.left).astype(np.int64).ravel()
+    if not depth:
+        return np.zeros(n, np.int64)
+    node = right[:bins].take(x[tree.feature[0]])
+    for level in range(1, depth):
+        at = node + ((1 << level) - 1)
+        node = 2 * node + right.take(at * bins + flat.take(tree.feature.take(at) * n + rows))
     return node
 
 
@@ -214,6 +223,51 @@ def _arrays(row: dict, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             np.frombuffer(row["h"], "<i8"))
 
 
+BLOCK = ("grp", "block", "n", "x", "y", "h", "f")
+
+
+def held_blocks(blocks: DataFrame, tasks: int) -> RDD:
+    """The blocks as persisted dicts, as many to each of ``tasks`` tasks, those
+    of a store side by side."""
+    named = [c for c in BLOCK if c in blocks.columns]
+    rows = blocks.select(*named).rdd.map(lambda r: {c: bytes(v) if isinstance(v, bytearray) else v for c, v in zip(named, r)})
+    keys = sorted(tuple(r) for r in blocks.select("grp", "block").collect())  # a row per block of rows
+    place = {k: i * tasks // len(keys) for i, k in enumerate(keys)}
+    return (rows.map(lambda r: (place[r["grp"], r["block"]], r)).partitionBy(tasks, int).values()
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def added(state: RDD, count: Callable, add: Callable, most_bytes: int, tasks: int) -> list:
+    """``add(number, data)`` of all that ``count(blocks)`` gives by number, data
+    in the order of the tasks, so that sums are the same whatever came first."""
+    def numbered(part: int, blocks: Iterable[dict]):
+        for at, data in count(blocks):
+            yield (at, part), data
+
+    def whole(parts: Iterable[tuple]):
+        for at, some in groupby(parts, lambda p: p[0][0]):
+            yield add(at, [data for _, data in some])
+
+    parts = state.mapPartitionsWithIndex(numbered)
+    if most_bytes <= DRIVER_BYTES:
+        return list(whole(sorted(parts.collect(), key=lambda p: p[0])))
+    return parts.repartitionAndSortWithinPartitions(tasks, lambda k: k[0] % tasks).mapPartitions(whole).collect()
+
+
+def packed(sums: np.ndarray) -> tuple[bytes, bytes]:
+    """The rows of a table of sums that have a count (its last column) and their places."""
+    at = np.flatnonzero(sums[:, -1])
+    return at.astype("<u4").tobytes(), sums[at].astype("<f8").tobytes()
+
+
+def unpacked(parts: list[tuple[bytes, bytes]], rows: int, columns: int) -> np.ndarray:
+    """The sum of packed tables."""
+    out = np.zeros((rows, columns))
+    for at, values in parts:
+        out[np.frombuffer(at, "<u4")] += np.frombuffer(values, "<f8").reshape(-1, columns)
+    return out
+
+
 def held(h: np.ndarray, seed: int) -> np.ndarray:
     """A tenth of the rows, by a hash of their keys and the seed."""
     with np.errstate(over="ignore"):
@@ -240,6 +294,7 @@ class Booster:
         """What tasks need: of the models, only the trees that the written
         scores lack."""
         light = copy.copy(self)
+        light.binner = Binner(self.binner.features, self.binner.categorical, {}, self.binner.bins)
         light.models = {k: Model(m.start, m.trees[written:]) for k, m in self.models.items()}
         return light
 
@@ -266,28 +321,32 @@ class Booster:
                     out[m] += self.rate * tree.value[leaves(tree, x, self.depth)]
         return out
 
-    def _rows(self, batches: Iterable[pa.RecordBatch]):
+    def _rows(self, blocks: Iterable[dict]):
         n_features = len(self.binner.features)
-        for b in batches:
-            for row in b.to_pylist():
-                if row["n"]:
-                    x, y, h = _arrays(row, n_features)
-                    yield row, x, y, h, self._scores(row, x)
-
-    def _histograms(self, state: DataFrame, written: int, level: int, partial: dict, active: list[tuple[int, str]]) -> list:
-        """One level of all active models' trees: what ``best_split`` found per
-        node, and with level 0 the held-out losses."""
+        for row in blocks:
+            if row["n"]:
+                x, y, h = _arrays(row, n_features)
+                yield row, x, y, h, self._scores(row, x)
+
+    def _batches(self, batches: Iterable[pa.RecordBatch]):
+        return self._rows(row for b in batches for row in b.to_pylist())
+
+    def _histograms(self, state: RDD, written: int, level: int, partial: dict, active: list[tuple[int, str]]) -> list:
+        """One level of all active models' trees: model, node (-1: held-out
+        losses, with level 0), and what ``best_split`` found."""
         n_features, bins, nodes = len(self.binner.features), self.binner.bins, 1 << level
-        wanted = set(active)
+        place = {k: i * (nodes + 1) for i, k in enumerate(active)}
+        most = sum(self.parts[g] for _, g in active) * nodes * n_features * bins * 28
+        tasks = self._tasks(len(active) * nodes)
         self = self._travelling(written)
 
-        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(blocks: Iterable[dict]) -> Iterator[tuple]:
             sums: dict[tuple[int, str], np.ndarray] = {}
             losses: dict[tuple[int, str], np.ndarray] = {}
-            for row, x, y, h, scores in self._rows(batches):
+            for row, x, y, h, scores in self._rows(blocks):
                 for m, fit in enumerate(self.fits):
                     key = (m, row["grp"])
-                    if key not in wanted:
+                    if key not in place:
                         continue
                     w, apart = self._weights(m, row["grp"], y, h)
                     t = target_of(fit, y)
@@ -296,7 +355,7 @@ class Booster:
                         losses[key] = losses.get(key, 0) + one
                     use = w > 0 if apart is None else (w > 0) & ~apart
                     r, c = gradients(fit.loss, t, scores[m])
-                    node = leaves(partial[key], x, level) * bins if level else np.zeros(len(y), np.int64)
+                    node = leaves(partial[key], x, level) * bins
                     if not use.all():
                         node, r, c, w, part_x = node[use], r[use], c[use], w[use], x[:, use]
                     else:
@@ -305,62 +364,53 @@ class Booster:
                     r, c = r * w, c * w
                     one = np.empty((n_features, nodes * bins, 3))
                     for f in range(n_features):
-                        place = node + part_x[f]
-                        one[f, :, 0] = np.bincount(place, r, nodes * bins)
-                        one[f, :, 2] = np.bincount(place, minlength=nodes * bins)
-                        one[f, :, 1] = one[f, :, 2] if plain else np.bincount(place, c, nodes * bins)
+                        at = node + part_x[f]
+                        one[f, :, 0] = np.bincount(at, r, nodes * bins)
+                        one[f, :, 2] = np.bincount(at, minlength=nodes * bins)
+                        one[f, :, 1] = one[f, :, 2] if plain else np.bincount(at, c, nodes * bins)
                     one = one.reshape(n_features, nodes, bins, 3)
                     sums[key] = sums[key] + one if key in sums else one
-            part = TaskContext.get().partitionId()
-            out = [(m, g, -1, part, v.astype("<f8").tobytes()) for (m, g), v in losses.items()]
-            for (m, g), one in sums.items():
-                out += [(m, g, node, part, np.ascontiguousarray(one[:, node]).astype("<f8").tobytes())
-                        for node in range(nodes) if one[0, node, :, 2].any()]
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out[i:i + 64]), (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()))],
-                    ["fit", "grp", "node", "part", "data"])
-
-        def choose(t: pa.Table) -> pa.Table:
-            order = np.argsort(t["part"].to_numpy())  # the same sum whatever came first
-            data = t["data"].to_pylist()
-            total = sum(np.frombuffer(data[i], "<f8") for i in order)
-            m, node = t["fit"][0].as_py(), t["node"][0].as_py()
-            if node < 0:
-                feature, goes, sums = -1, np.zeros(0, bool), [float(total[0]), float(total[1]), 0.0, 0.0]
-            else:
-                feature, goes, sums = best_split(total.reshape(n_features, bins, 3), self.allowed[m], self.categorical,
-                                                 self.fits[m].l2, self.min_leaf)
-            return pa.table({"fit": t["fit"][:1], "grp": t["grp"][:1], "node": t["node"][:1],
-                             "feature": pa.array([feature], pa.int32()), "goes": pa.array([goes.tobytes()], pa.binary()),
-                             "sums": pa.array([sums], pa.list_(pa.float64()))})
-
-        parts = state.mapInArrow(count, "fit int, grp string, node int, part int, data binary")
-        return (parts.repartition(self._tasks(state, len(active) * nodes), "fit", "grp", "node").groupBy("fit", "grp", "node")
-                .applyInArrow(choose, "fit int, grp string, node int, feature int, goes binary, sums array<double>").collect())
-
-    @staticmethod
-    def _tasks(state: DataFrame, groups: int) -> int:
+            for key, one in losses.items():
+                yield place[key] + nodes, one.tolist()
+            for key, one in sums.items():
+                for node in range(nodes):
+                    if one[0, node, :, 2].any():
+                        yield place[key] + node, packed(one[:, node].reshape(-1, 3))
+
+        def choose(at: int, data: list) -> tuple:
+            i, node = divmod(at, nodes + 1)
+            m, group = active[i]
+            if node == nodes:
+                return m, group, -1, -1, None, [sum(v) for v in zip(*data)]
+            hist = unpacked(data, n_features * bins, 3).reshape(n_features, bins, 3)
+            feature, goes, sums = best_split(hist, self.allowed[m], self.categorical, self.fits[m].l2, self.min_leaf)
+            return m, group, node, feature, goes, sums
+
+        return added(state, count, choose, most, tasks)
+
+    def _tasks(self, groups: int) -> int:
         """Tasks that add up ``groups`` groups."""
-        most = max(state.sparkSession.sparkContext.defaultParallelism,
-                   int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return max(1, min(most, groups // 8))
+        return max(1, min(self.parallel, groups // 8))
 
-    def _medians(self, state: DataFrame, written: int, partial: dict, active: list[tuple[int, str]]) -> dict:
+    def _medians(self, state: RDD, written: int, partial: dict, active: list[tuple[int, str]]) -> dict:
         """Per active model the median residual of each leaf: the bin that holds
         it, then the bin within that, and the least residual there (the median
         itself if no other lies within a millionth of the target's spread)."""
-        chosen = {k: np.full(1 << self.depth, -1) for k in active}
-        before, values = ({k: np.zeros(1 << self.depth) for k in active} for _ in range(2))
+        ends = 1 << self.depth
+        chosen = {k: np.full(ends, -1) for k in active}
+        before, values = ({k: np.zeros(ends) for k in active} for _ in range(2))
         total: dict = {}
+        place = {k: i * ends for i, k in enumerate(active)}
+        most = sum(self.parts[g] for _, g in active) * ends * MEDIAN_BINS * 20
+        tasks = self._tasks(len(active) * ends)
         self = self._travelling(written)
         for again in (False, True):
-            def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def count(blocks: Iterable[dict]) -> Iterator[tuple]:
                 sums: dict = {}
-                for row, x, y, h, scores in self._rows(batches):
+                for row, x, y, h, scores in self._rows(blocks):
                     for m, fit in enumerate(self.fits):
                         key = (m, row["grp"])
-                        if key not in chosen:
+                        if key not in place:
                             continue
                         w, apart = self._weights(m, row["grp"], y, h)
                         use = w > 0 if apart is None else (w > 0) & ~apart
@@ -374,44 +424,34 @@ class Booster:
                             leaf, residual, w = leaf[inside], residual[inside], w[inside]
                             finer = ((exact - at)[inside] * MEDIAN_BINS).astype(np.int64)
                             at = np.clip(finer, 0, MEDIAN_BINS - 1)
-                        place = leaf * MEDIAN_BINS + at
-                        one = np.full((2, MEDIAN_BINS << self.depth), np.inf)
-                        one[0] = np.bincount(place, w, MEDIAN_BINS << self.depth)
-                        order = np.lexsort((residual, place))
-                        first = np.flatnonzero(np.diff(place[order], prepend=-1))
-                        one[1, place[order][first]] = residual[order][first]
+                        at = leaf * MEDIAN_BINS + at
+                        one = np.full((MEDIAN_BINS * ends, 2), np.inf)
+                        one[:, 1] = np.bincount(at, w, MEDIAN_BINS * ends)
+                        np.minimum.at(one[:, 0], at, residual)
                         if key in sums:
-                            one = np.stack([sums[key][0] + one[0], np.minimum(sums[key][1], one[1])])
+                            one = np.stack([np.minimum(sums[key][:, 0], one[:, 0]), sums[key][:, 1] + one[:, 1]], axis=1)
                         sums[key] = one
-                out = []
-                for (m, g), one in sums.items():
-                    one = one.reshape(2, -1, MEDIAN_BINS)
-                    out += [(m, g, i, one[:, i].astype("<f8").tobytes()) for i in np.flatnonzero(one[0].any(1)).tolist()]
-                for i in range(0, len(out), 256):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out[i:i + 256]), (pa.int32(), pa.string(), pa.int32(), pa.binary()))],
-                        ["fit", "grp", "leaf", "data"])
-
-            def add(t: pa.Table) -> pa.Table:
-                parts = np.stack([np.frombuffer(d, "<f8").reshape(2, -1) for d in t["data"].to_pylist()])
-                one, least = parts[:, 0].sum(0), parts[:, 1].min(0)
-                key, leaf = (t["fit"][0].as_py(), t["grp"][0].as_py()), t["leaf"][0].as_py()
+                for key, one in sums.items():
+                    one = one.reshape(ends, -1, 2)
+                    for leaf in np.flatnonzero(one[:, :, 1].any(1)).tolist():
+                        yield place[key] + leaf, packed(one[leaf])
+
+            def add(at: int, data: list) -> tuple:
+                i, leaf = divmod(at, ends)
+                key = active[i]
+                one, least = np.zeros(MEDIAN_BINS), np.full(MEDIAN_BINS, np.inf)
+                for bins, some in data:
+                    bins, some = np.frombuffer(bins, "<u4"), np.frombuffer(some, "<f8").reshape(-1, 2)
+                    one[bins] += some[:, 1]
+                    least[bins] = np.minimum(least[bins], some[:, 0])
                 whole = float(one.sum()) if key + (leaf,) not in total else total[key + (leaf,)]
                 running = before[key][leaf] + np.cumsum(one)
-                at = min(int(np.searchsorted(running, whole / 2)), MEDIAN_BINS - 1)
-                return pa.table({"fit": t["fit"][:1], "grp": t["grp"][:1], "leaf": t["leaf"][:1],
-                                 "at": pa.array([at], pa.int32()), "value": pa.array([float(least[at])], pa.float64()),
-                                 "whole": pa.array([whole], pa.float64()),
-                                 "before": pa.array([float(running[at] - one[at])], pa.float64())})
-
-            found = (state.mapInArrow(count, "fit int, grp string, leaf int, data binary")
-                     .repartition(self._tasks(state, len(active) << self.depth), "fit", "grp", "leaf").groupBy("fit", "grp", "leaf")
-                     .applyInArrow(add, "fit int, grp string, leaf int, at int, value double, whole double, before double").collect())
-            for r in found:
-                key, leaf = (r["fit"], r["grp"]), r["leaf"]
-                chosen[key][leaf] = r["at"]
-                before[key][leaf], total[key + (leaf,)] = r["before"], r["whole"]
-                values[key][leaf] = r["value"]
+                found = min(int(np.searchsorted(running, whole / 2)), MEDIAN_BINS - 1)
+                return key, leaf, found, float(least[found]), whole, float(running[found] - one[found])
+
+            for key, leaf, found, value, whole, below in added(state, count, add, most, tasks):
+                chosen[key][leaf], values[key][leaf] = found, value
+                before[key][leaf], total[key + (leaf,)] = below, whole
         return values
 
     def _starts(self, train: DataFrame, group: str, label: str) -> None:
@@ -439,43 +479,40 @@ class Booster:
                 self.models[m, r["g"]] = Model(float(start))
 
     def fit(self, train: DataFrame, blocks: DataFrame, group: str, label: str) -> "Booster":
-        """Grow all models.  The jobs are many and short, with known sizes:
-        planning them anew at run time would cost more than they do."""
+        """Grow all models."""
         self._starts(train, group, label)
-        conf = train.sparkSession.conf
-        adaptive = conf.get("spark.sql.adaptive.enabled")
-        conf.set("spark.sql.adaptive.enabled", "false")
-        try:
-            return self._grow(blocks)
-        finally:
-            conf.set("spark.sql.adaptive.enabled", adaptive)
+        return self._grow(blocks)
 
     def _grow(self, blocks: DataFrame) -> "Booster":
         bins, inner = self.binner.bins, (1 << self.depth) - 1
-        tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // TASK_BLOCKS))
-        state, written = blocks.select("grp", "block", "n", "x", "y", "h").repartition(tasks).persist(), 0
+        spark = blocks.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        self.parallel = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.parts = {r[0]: r[1] for r in blocks.groupBy("grp").count().collect()}  # blocks per store
+        tasks = max(cores, -(-sum(self.parts.values()) // TASK_BLOCKS))
+        state, written = held_blocks(blocks, tasks), 0
         for rounds in range(max((f.rounds for f in self.fits), default=0)):
             if rounds and rounds % WRITE_EVERY == 0:
-                after = self._written(state, written).repartition(tasks).persist()
-                state.unpersist()
-                state, written = after, rounds
+                blocks, before = self._written(blocks, written), state
+                state, written = held_blocks(blocks, tasks), rounds
+                before.unpersist()
             active = [k for k, m in self.models.items() if not m.stopped and rounds < self.fits[k[0]].rounds]
             if not active:
                 break
             partial = {k: Tree(np.zeros(inner, np.int64), np.ones((inner, bins), bool), np.zeros(1 << self.depth))
                        for k in active}
             for level in range(self.depth):
-                for r in self._histograms(state, written, level, partial, active):
-                    key, node = (r["fit"], r["grp"]), r["node"]
+                for m, group, node, feature, goes, sums in self._histograms(state, written, level, partial, active):
+                    key = (m, group)
                     if node < 0:
-                        self.models[key].losses.append(r["sums"][0] / max(r["sums"][1], 1e-12))
+                        self.models[key].losses.append(sums[0] / max(sums[1], 1e-12))
                         continue
                     at = node + (1 << level) - 1
                     tree = partial[key]
-                    if r["feature"] >= 0:
-                        tree.feature[at], tree.left[at] = r["feature"], np.frombuffer(r["goes"], bool)
+                    if feature >= 0:
+                        tree.feature[at], tree.left[at] = feature, goes
                     if level == self.depth - 1:
-                        g0, c0, g1, c1 = r["sums"]
+                        g0, c0, g1, c1 = sums
                         l2 = self.fits[key[0]].l2
                         tree.value[2 * node] = g0 / (c0 + l2) if c0 + l2 > 0 else 0.0
                         tree.value[2 * node + 1] = g1 / (c1 + l2) if c1 + l2 > 0 else 0.0
@@ -494,18 +531,18 @@ class Booster:
         state.unpersist()
         return self
 
-    def _written(self, state: DataFrame, written: int) -> DataFrame:
+    def _written(self, blocks: DataFrame, written: int) -> DataFrame:
         """The blocks with all fits' scores so far."""
         self = self._travelling(written)
 
         def run(batches):
-            for row, _, _, _, scores in self._rows(batches):
+            for row, _, _, _, scores in self._batches(batches):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["grp"]], pa.string()), pa.array([row["block"]], pa.int32()), pa.array([row["n"]], pa.int32()),
                      *[pa.array([row[c]], pa.binary()) for c in "xyh"], pa.array([scores.astype("<f8").tobytes()], pa.binary())],
                     ["grp", "block", "n", "x", "y", "h", "f"])
 
-        return materialize(state.mapInArrow(run, "grp string, block int, n int, x binary, y binary, h binary, f binary"),
+        return materialize(blocks.mapInArrow(run, "grp string, block int, n int, x binary, y binary, h binary, f binary"),
                            "boosting-scores")
 
     def predict(self, blocks: DataFrame, keys: list[str], group: str, label: str) -> DataFrame:
@@ -520,7 +557,7 @@ class Booster:
 
         def run(batches):
             booster = shared.value
-            for row, _, y, _, scores in booster._rows(batches):
+            for row, _, y, _, scores in booster._batches(batches):
                 n = row["n"]
                 for m, fit in enumerate(booster.fits):
                     if (m, row["grp"]) in booster.models:

@@ -189,3 +189,26 @@ def test_grid_members_share_their_fits(spark):
     assert out.groupBy("id", "d").count().where("count != 3").count() == 0
     two = out.where("model_id like 'poisson%'").groupBy("id", "d").agg((F.max("pred") - F.min("pred")).alias("gap"))
     assert two.agg(F.max("gap")).first()[0] == 0 and out.where("pred < 0 or pred is null").count() == 0
+
+
+def test_sums_in_reduce_tasks_and_on_the_driver_agree(spark, monkeypatch):
+    df = frame(spark, 6).cache()
+    fits = [B.Fit("absolute", "absolute", "log1p", tuple(FEATURES), 3),
+            B.Fit("held", "log", "occurrence", tuple(FEATURES), 3, balanced=True, holdout_seed=7)]
+    fitted = lambda: {(r["fit"], r["id"], r["d"]): r["value"] for r in B.boosted(
+        df, df, fits, FEATURES, CODES, 0.2, 3, block_rows=40)[0].collect()}
+    on_driver = fitted()
+    monkeypatch.setattr(B, "DRIVER_BYTES", 0)
+    in_tasks = fitted()
+    assert len(on_driver) == 1000 and in_tasks.keys() == on_driver.keys()
+    assert all(abs(in_tasks[k] - v) < 1e-9 for k, v in on_driver.items())
+
+
+def test_levels_are_not_planned(spark, monkeypatch):
+    """Hundreds of level jobs: rows become columns for the predictions only."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    calls, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **k: calls.append(1) or plain(self, *a, **k))
+    df = frame(spark, 7, 60)
+    B.boosted(df, df, [B.Fit("squared", "squared", "log1p", tuple(FEATURES), 3)], FEATURES, CODES, 0.2, 2, min_leaf=5)
+    assert len(calls) == 1
