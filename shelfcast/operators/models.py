@@ -161,25 +161,37 @@ def grid_fits(grid: list[ModelConfig]) -> dict[tuple, list[Fit]]:
     return out
 
 
+def distinct_fits(grid: list[ModelConfig]) -> list[Fit]:
+    """The boosted fits that a grid takes, each once."""
+    return list({f.name: f for pair in grid_fits(grid).values() for f in pair}.values())
+
+
+def grow_fits(train: DataFrame, val: DataFrame, fits: list[Fit], depth: int = 5) -> DataFrame:
+    """``id, d, store_id, sales, fit, value`` of all ``fits``, which grow
+    together, each store with its own models (MOD9), over one table of binned
+    rows; categories part as sets of codes.  Squared and absolute loss predict
+    ``expm1`` of their log target.  What a fit predicts does not depend on the
+    others."""
+    features = [f for f in feature_set("all") if any(f in fit.features for fit in fits)]
+    fitted, _ = boosted(train, val, fits, features, [c for c in CATEGORICAL if c in features], LEARNING_RATE, depth)
+    logs = [f.name for f in fits if f.target == "log1p"]
+    value = F.when(F.col("fit").isin(logs), F.expm1("value")).otherwise(F.col("value"))
+    return fitted.select("id", "d", "store_id", F.col("sales").cast("int").alias("sales"), "fit", value.alias("value"))
+
+
 def fit_grid(train: DataFrame, val: DataFrame, grid: list[ModelConfig] | None = None, depth: int = 5) -> DataFrame:
-    """Predictions of every config of the grid, by ``(id, d, model_id)`` (MOD1-MOD4).
+    """Predictions of every config of the grid, by ``(id, d, model_id)`` (MOD1-MOD4)."""
+    grid = model_grid() if grid is None else grid
+    return grid_members(grow_fits(train, val, distinct_fits(grid), depth), grid)
 
-    All distinct fits grow together, each store with its own models (MOD9),
-    over one table of binned rows; categories part as sets of codes.  Squared
-    and absolute loss predict ``expm1`` of their log target; a hurdle is
+
+def grid_members(fitted: DataFrame, grid: list[ModelConfig]) -> DataFrame:
+    """The configs' predictions from those of their fits.  A hurdle is
     P(sales > 0) times the regression on sold rows; a store that never sold
     anything has probability 0 and so forecasts 0.  Predictions are clipped at 0.
     """
-    grid = model_grid() if grid is None else grid
-    fits = grid_fits(grid)
-    distinct = list({f.name: f for pair in fits.values() for f in pair}.values())
-    features = [f for f in feature_set("all") if any(f in fit.features for fit in distinct)]
-    fitted, _ = boosted(train, val, distinct, features, [c for c in CATEGORICAL if c in features], LEARNING_RATE, depth)
-    logs = [f.name for f in distinct if f.target == "log1p"]
-    value = F.when(F.col("fit").isin(logs), F.expm1("value")).otherwise(F.col("value"))
-    fitted = fitted.select("id", "d", "store_id", F.col("sales").cast("int").alias("sales"), "fit", value.alias("value"))
     out = None
-    for key, pair in fits.items():
+    for key, pair in grid_fits(grid).items():
         names = F.array(*[F.lit(g.model_id) for g in grid if (g.objective, g.feature_set, g.is_hurdle) == key])
         one = fitted.where(F.col("fit") == pair[-1].name).drop("fit")
         if len(pair) == 2:

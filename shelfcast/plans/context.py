@@ -18,7 +18,7 @@ these tables; queries about the panel build itself run from the raw tables.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,13 +144,28 @@ class RetailContext:
         return self._table("coded", lambda: with_store_code(FT.category_codes(self.features, CATEGORIES)),
                            ["store_id"])
 
+    def fitted_members(self, grid: list) -> DataFrame:
+        """Predictions of some configs of the model grid.  A fit is grown once
+        per application, for the first query that takes it; those which a grid
+        lacks grow together."""
+        from shelfcast.operators.models import distinct_fits, grid_members, grow_fits
+        fits = distinct_fits(grid)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, _stamp(self.spark, self.sf_dir))
+        tables = {f.name: _TABLES.get((*key, f"fit-{f.name}")) for f in fits} if self.persist else {}
+        lacking = [f for f in fits if tables.get(f.name) is None]
+        if lacking:
+            grown = grow_fits(self.coded.where(F.col("d_int") <= self.train_end),
+                              E.validation_rows(self.coded, self.train_end, self.horizon), lacking)
+            tables |= {f.name: grown.where(F.col("fit") == f.name) for f in lacking}
+        if self.persist:
+            _TABLES.update({(*key, f"fit-{name}"): table for name, table in tables.items()})
+        return grid_members(reduce(DataFrame.unionByName, tables.values()), grid)
+
     @cached_property
     def fitted_grid(self) -> DataFrame:
         """Predictions of the whole model grid, fitted once per application."""
-        from shelfcast.operators.models import fit_grid
-        return self._table("fitted_grid", lambda: fit_grid(
-            self.coded.where(F.col("d_int") <= self.train_end),
-            E.validation_rows(self.coded, self.train_end, self.horizon)), ["store_id"])
+        from shelfcast.operators.models import model_grid
+        return self._table("fitted_grid", lambda: self.fitted_members(model_grid()), ["store_id"])
 
     @cached_property
     def fitted_occurrence(self) -> DataFrame:

@@ -41,9 +41,9 @@ def _coded(spark: SparkSession, sf: str):
 
 
 def _member(spark: SparkSession, sf: str, objective: str, features: str, seed: int, hurdle: bool = False) -> DataFrame:
-    """One model of the fitted grid."""
-    model_id = MD.ModelConfig(objective, features, seed, hurdle).model_id
-    return ctx(spark, sf).fitted_grid.where(F.col("model_id") == model_id)
+    """One model of the grid, from its own fits."""
+    return (ctx(spark, sf).fitted_members([MD.ModelConfig(objective, features, seed, hurdle)])
+            .select("id", "d", "sales", "model_id", "pred", "store_id"))
 
 
 def _weights(train: DataFrame) -> DataFrame:

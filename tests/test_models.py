@@ -93,3 +93,30 @@ def test_trees_part_codes_as_sets(spark, kind):
     again = MD.with_categories(nulls, ["dept_id"], sizes)
     assert again.schema["dept_id"].metadata["ml_attr"]["type"] == "nominal"
     assert again.agg(F.min("dept_id"), F.max("dept_id")).first()[:] == (0.0, 40.0)
+
+
+def test_members_take_their_own_fits_once(spark, frames, monkeypatch):
+    from shelfcast.plans import context as C
+    from shelfcast.plans import model_queries as Q
+    train, val = frames
+    c = C.RetailContext(spark, "members")
+    c.__dict__.update(coded=train.unionByName(val), train_end=160, horizon=40)
+    grown, grow = [], MD.grow_fits
+    monkeypatch.setattr(C, "_stamp", lambda *a: ())
+    monkeypatch.setattr(C, "_TABLES", {})
+    monkeypatch.setattr(MD, "ROUNDS", 2)
+    monkeypatch.setattr(MD, "grow_fits", lambda t, v, fits, depth=2: grown.append([f.name for f in fits]) or grow(t, v, fits, depth))
+    monkeypatch.setattr(Q, "ctx", lambda *a: c)
+    alone = {r["id"] + r["d"]: r["pred"] for r in Q.hurdle_poisson(spark, "members").collect()}
+    assert grown == [["sold_all", "amount_poisson_all"]] and len(alone) == val.count()
+    Q.hurdle_forecast(spark, "members").count()
+    Q.poisson_trees(spark, "members").count()
+    assert grown[1:] == [["amount_squared_error_all"], ["poisson_all"]]
+    grid = c.fitted_grid
+    assert len(grown) == 4 and len(grown[3]) == 5 and not {n for some in grown[:3] for n in some} & set(grown[3])
+    assert grid.groupBy("id", "d").count().where("count != 50").count() == 0
+    model = MD.ModelConfig("poisson", "all", 1, True).model_id
+    whole = MD.fit_grid(train, val, [g for g in MD.model_grid() if g.objective == "poisson"], depth=2)
+    for table in (grid, whole):
+        some = {r["id"] + r["d"]: r["pred"] for r in table.where(F.col("model_id") == model).collect()}
+        assert some.keys() == alone.keys() and all(abs(some[k] - v) < 1e-9 for k, v in alone.items())
