@@ -15,13 +15,15 @@ A file, all numbers little-endian:
       32-bit, ascending), their counts (packed 64-bit), bytes per block
       (packed 32-bit), crc32 of each block's bytes and ids (32-bit), ids per block
     blocks: each BLOCK_IDS ids (the last fewer) by the context-mixing range
-      coder, started afresh, against ranks in the distinct ids
+      coder, started afresh, against ranks of the distinct ids by falling count
 
 Reading checks the sections' crc32 and, after decoding, that of every block's
 bytes followed by its ids as 32-bit numbers.
 
-Words between spaces and line ends are encoded once per task and looked up
-after that.  This gives the ids of the whole text: the tokenizer's patterns
+Words between spaces and line ends are encoded once and looked up after that, in
+Arrow arrays; a Python worker remembers them from task to task.  Distinct words that hold no added token pass the
+tokenizer's normaliser and patterns together, and its model piece by piece;
+words of a-z go to the model at once.  This gives the ids of the whole text: the tokenizer's patterns
 match no white space, and its normaliser works on characters.  A tokenizer
 whose pre-tokenizer does match white space needs ``by_word=False``.
 
@@ -34,13 +36,16 @@ gives no file and an empty result.  Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,9 +56,10 @@ from shelfcast.llm.token_codec import decode_blocks, encode_blocks
 
 FILE_IDS = 8 << 20       # ids after which a file ends (at a document's end)
 BLOCK_IDS = 2048
-CHUNK_CHARS = 1 << 20    # characters that are encoded at a time
-MEMO_CHARS = 32 << 20    # characters of remembered words per task
-_MAGIC, _VERSION = b"TIDS", 1
+CHUNK_CHARS = 8 << 20    # bytes of text that are encoded at a time
+MEMO_CHARS = 8 << 20     # characters of remembered words per Python worker
+_MAGIC, _VERSION = b"TIDS", 2
+_LETTERS = re.compile("[a-z]+")
 _FILE_BITS = 24          # files per task, in the file's number
 
 FILES = "file long, n_docs long, n_ids long, data binary"
@@ -68,68 +74,117 @@ class _Numbers(dict):
         return n
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(len(sizes) and ends[-1])
+
+
 class WordEncoder:
     """The ids of texts, each distinct word encoded once."""
 
     def __init__(self, tokenizer, by_word: bool = True):
         self.tokenizer, self.by_word = tokenizer, by_word
+        self.direct = by_word and self._leaves_letters_alone()
+        added = [re.escape(a.content) for a in tokenizer.get_added_tokens_decoder().values()]
+        self.held = re.compile("|".join([r"\s", r"\A\Z", *added]), re.IGNORECASE)
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.known, self.chars = _Numbers(), 0, 0
-        self.stems = _Numbers()
+        self.stems, self.chars = _Numbers(), 0
         self.starts, self.sizes, self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
-        self.parts = np.zeros((0, 2), np.int64)     # of each word: its stem's and its last mark's number
+
+    def _leaves_letters_alone(self) -> bool:
+        """Whether the normaliser and the patterns keep a word of a-z as it is, and
+        no added token stands in one."""
+        word, t = string.ascii_lowercase, self.tokenizer
+        return ((t.normalizer is None or t.normalizer.normalize_str(word) == word)
+                and t.pre_tokenizer is not None and t.pre_tokenizer.pre_tokenize_str(word) == [(word, (0, len(word)))]
+                and t.truncation is None and t.padding is None
+                and not any(_LETTERS.fullmatch(a.content.lower()) for a in t.get_added_tokens_decoder().values()))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        """As ``_ids``; many words pass the normaliser and the patterns in one
+        string, and the model is asked for each distinct piece."""
+        if not self.direct:
+            return self._ids(words)
+        model, plain, held = self.tokenizer.model.tokenize, _LETTERS.fullmatch, self.held.search
+        out = [[t.id for t in model(w)] if plain(w) else [] for w in words]
+        rest = [i for i, ids in enumerate(out) if not ids]
+        apart = [i for i in rest if held(words[i])]            # with an added token or white space, or empty
+        if apart:
+            rest = [i for i in rest if not held(words[i])]
+        line = " ".join([words[i] for i in rest])
+        if self.tokenizer.normalizer is not None:
+            line = self.tokenizer.normalizer.normalize_str(line)
+        lengths = [len(w) for w in line.split(" ")]
+        if len(lengths) != len(rest):                          # the normaliser made or took spaces
+            apart, rest = apart + rest, []
+        ends = list(accumulate(lengths, lambda at, n: at + 1 + n))
+        memo: dict[str, list[int]] = {}
+        at = 0
+        for piece, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(line) if rest else ():
+            while start >= ends[at]:
+                at += 1
+            if piece not in memo:
+                memo[piece] = [t.id for t in model(piece)]
+            out[rest[at]] += memo[piece]
+        for i, ids in zip(apart, self._ids([words[i] for i in apart])):
+            out[i] = ids
+        return out
+
     @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
+    def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """ASCII words in lower case, a last punctuation mark apart: both are
         what the normaliser and the patterns make of them (a word with ``<|``
         may hold an added token, which is matched before)."""
-        if not word.isascii() or "<|" in word:
-            return word, ""
-        word = word.lower()
-        if word[-1:] in (".", ",", ";", ":", "!", "?") and word[-2:-1].isalpha():
-            return word[:-1], word[-1]
-        return word, ""
-
-    def _learn(self) -> None:
-        """Ids of the words numbered since the last call."""
-        words = list(islice(self.numbers, self.known, None))
-        seen = len(self.stems)
-        pairs = np.fromiter(map(self.stems.__getitem__, chain.from_iterable(map(self._stem, words))),
-                            np.int64, 2 * len(words)).reshape(-1, 2)
-        ids = self._ids(list(islice(self.stems, seen, None)))
+        simple = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(simple, pc.ascii_lower(words), words)
+        marked = pc.and_(simple, pc.match_substring_regex(words, r"[a-z][.,;:!?]\z"))
+        return (pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words),
+                pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), ""))
+
+    def _numbered(self, words: pa.Array) -> np.ndarray:
+        """The words' numbers among the stems; ids of new ones are made."""
+        coded = words.dictionary_encode()
+        known = len(self.stems)
+        numbers = np.fromiter(map(self.stems.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)),
+                              np.int64, len(coded.dictionary))
+        new = list(islice(self.stems, known, None))
+        ids = self._word_ids(new)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        self.flat, self.parts = np.concatenate([self.flat, flat]), np.concatenate([self.parts, pairs])
-        self.known = len(self.numbers)
-        self.chars += sum(map(len, words))
+        self.flat = np.concatenate([self.flat, flat])
+        self.chars += sum(map(len, new))
+        return numbers[coded.indices.to_numpy()]
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with ``end_id`` after it, and how many each has."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not self.by_word:
-            ids = self._ids(texts)
+            ids = self._ids(texts.to_pylist())
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         else:
             if self.chars > MEMO_CHARS:
                 self._forget()
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            counts = np.fromiter(map(len, split), np.int64, len(split))
-            places = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-            if len(self.numbers) > self.known:
-                self._learn()
-            stems = self.parts[places].ravel()
-            size = self.sizes[stems]
-            ends = np.cumsum(size)
-            flat = self.flat[np.repeat(self.starts[stems] - ends + size, size) + np.arange(len(size) and ends[-1])]
-            sizes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], 2 * np.cumsum(counts)])])
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            words = split.flatten().dictionary_encode()
+            pairs = np.stack([self._numbered(part) for part in self._stems(words.dictionary)], 1).ravel()
+            size = self.sizes[pairs]
+            ids = self.flat[_spans(self.starts[pairs], size)]
+            size = size[::2] + size[1::2]                      # of each distinct word
+            start = np.cumsum(size) - size
+            places = words.indices.to_numpy()
+            size = size[places]
+            flat = ids[_spans(start[places], size)]
+            last = np.cumsum(pc.list_value_length(split).to_numpy())
+            sizes = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], last])])
         out = np.empty(len(flat) + len(sizes), np.uint32)
         last = np.cumsum(sizes + 1) - 1
         plain = np.ones(len(out), bool)
@@ -138,12 +193,24 @@ class WordEncoder:
         return out, sizes + 1
 
 
-def _runs(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters, one text at least."""
+_latest: list[tuple[tuple[str, bool], WordEncoder]] = []
+
+
+def _encoder(model: str, by_word: bool) -> WordEncoder:
+    """The encoder of a tokenizer's file; a Python worker keeps the latest one,
+    with the words it remembers, for its next task."""
+    if not _latest or _latest[0][0] != (model, by_word):
+        from tokenizers import Tokenizer
+        _latest[:] = [((model, by_word), WordEncoder(Tokenizer.from_str(model), by_word))]
+    return _latest[0][1]
+
+
+def _runs(lengths: list[int], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``chars`` bytes, one text at least."""
     first, size = 0, 0
-    for i, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= chars or i == len(texts):
+    for i, n in enumerate(lengths, 1):
+        size += n
+        if size >= chars or i == len(lengths):
             yield first, i
             first, size = i, 0
 
@@ -163,21 +230,29 @@ def _crcs(ids: np.ndarray, lengths: np.ndarray, payloads: list[bytes] | None = N
 
 
 def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, every id's rank in them, and their counts."""
+    """Distinct ids, their counts, and every id's rank by falling count."""
     if len(ids) and int(ids.max()) < 1 << 22:   # by a table instead of a sort
         counts = np.bincount(ids)
         distinct = np.flatnonzero(counts)
-        rank = np.zeros(len(counts), np.int64)
-        rank[distinct] = np.arange(len(distinct))
-        return distinct, rank[ids], counts[distinct]
-    return np.unique(ids, return_inverse=True, return_counts=True)
+        place = np.zeros(len(counts), np.int64)
+        place[distinct[_by_count(counts[distinct])]] = np.arange(len(distinct))
+        return distinct, counts[distinct], place[ids]
+    distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    rank = np.empty(len(distinct), np.int64)
+    rank[_by_count(counts)] = np.arange(len(distinct))
+    return distinct, counts, rank[place]
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """Places in falling order, so that the coder finds frequent ids close together."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
 
 
 def file_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """The documents' ids, one after the other, as a file."""
-    distinct, ranks, counts = _ranked(ids)
+    distinct, counts, ranks = _ranked(ids)
     blocks = _block_lengths(len(ids), block_ids)
-    payloads = encode_blocks(ranks, blocks, counts)
+    payloads = encode_blocks(ranks, blocks, counts[_by_count(counts)])
     sections = [pack_numbers(np.array([d or 0 for d in doc_ids], np.int64)),
                 bytes(d is None for d in doc_ids),
                 pack_numbers(lengths.astype(np.uint64)), pack_numbers(distinct.astype(np.uint32)),
@@ -207,8 +282,9 @@ def read_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     for n in unpack_numbers(sizes, np.uint32).tolist():
         payloads.append(data[at:at + n])
         at += n
-    ranks = decode_blocks(payloads, blocks, unpack_numbers(counts, np.uint64).astype(np.int64))
-    ids = unpack_numbers(distinct, np.uint32)[ranks]
+    counts = unpack_numbers(counts, np.uint64).astype(np.int64)
+    order = _by_count(counts)
+    ids = unpack_numbers(distinct, np.uint32)[order][decode_blocks(payloads, blocks, counts[order])]
     if _crcs(ids, blocks, payloads) != np.frombuffer(crcs, "<u4").tolist():
         raise ValueError("a block of a token-id file does not match its checksum")
     return docs, lengths, ids
@@ -228,7 +304,6 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str =
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = None
         number = TaskContext.get().partitionId() << _FILE_BITS
         names: list[int | None] = []
         lengths: list[np.ndarray] = []
@@ -242,12 +317,9 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str =
                  pa.array([data], pa.binary())], ["file", "n_docs", "n_ids", "data"])
 
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in _runs(texts, min(CHUNK_CHARS, 2 * file_ids)):
-                if encoder is None:
-                    from tokenizers import Tokenizer
-                    encoder = WordEncoder(Tokenizer.from_str(model.value), by_word)
-                one, sizes = encoder.encode(texts[i:j], end_id)
+            docs, texts = b.column(0).to_pylist(), b.column(1).fill_null("")
+            for i, j in _runs(pc.binary_length(texts).to_pylist(), min(CHUNK_CHARS, 2 * file_ids)):
+                one, sizes = _encoder(model.value, by_word).encode(texts.slice(i, j - i), end_id)
                 names += docs[i:j]
                 ids.append(one)
                 lengths.append(sizes)
