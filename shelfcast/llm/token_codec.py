@@ -73,7 +73,8 @@ class Mixer:
         counts = counts.astype(np.int64)
         self.prior = (counts * PRIOR // max(1, int(counts.sum()))).astype(float)
         self.seen = np.zeros((lanes, alphabet), np.uint16 if longest < 1 << 16 else np.int32)
-        self.edges = np.zeros((lanes, alphabet + 1), np.int32)
+        # Every share is 1 wide at least; an edge is held less its number.
+        self.edges = np.zeros((lanes, alphabet + 1), np.uint16 if self.bits == 16 else np.int32)
         number = np.arange(lanes, dtype=np.int64)
         small = np.uint16 if alphabet <= 1 << 16 else np.int32
         self.starts = np.zeros((lanes, (1 << LOOKUP_BITS) + 1), small) if decodes else None
@@ -109,10 +110,9 @@ class Mixer:
             share += self.prior
             share *= (room / np.maximum(share.sum(1), 1.0))[:, None]
             edges = self.edges[i:i + len(share)]
-            widths = share.astype(np.int32)                    # rounds down
-            widths += 1
-            np.cumsum(widths, axis=1, out=edges[:, 1:])
-            edges[:, 0], edges[:, -1] = 0, 1 << self.bits
+            widths = share.astype(edges.dtype)                 # rounds down
+            np.cumsum(widths, axis=1, dtype=edges.dtype, out=edges[:, 1:])
+            edges[:, 0], edges[:, -1] = 0, (1 << self.bits) - self.size
             if self.decodes:
                 self._index(i, edges)
 
@@ -121,7 +121,7 @@ class Mixer:
         shift = self.bits - LOOKUP_BITS
         starts = self.starts[first:first + len(edges)]
         starts[:] = 0
-        entry = edges[:, :-1] + np.int32((1 << shift) - 1)
+        entry = edges[:, :-1] + np.arange((1 << shift) - 1, (1 << shift) - 1 + self.size, dtype=np.int32)
         entry >>= shift                                        # the first entry that a share's start is not after
         entry = entry + (np.arange(len(edges)) * starts.shape[1])[:, None]
         starts.ravel()[entry.ravel()] = np.tile(self.numbers, len(edges))  # of several shares the last one stays
@@ -155,7 +155,9 @@ class Mixer:
         """Start and width of the ids' shares."""
         np.add(self.base[1], ids, out=self.places[0])
         np.add(self.places[0], 1, out=self.places[1])
-        ends = self.flat.take(self.places) * self.rest
+        ends = self.flat.take(self.places) + ids
+        ends[1] += 1
+        ends *= self.rest
         ends >>= self.bits
         ends += self.guessed
         self.hits = ids == self.guesses
@@ -179,14 +181,16 @@ class Mixer:
         entry = wanted >> (self.bits - LOOKUP_BITS)
         entry += self.base[5]
         place = self.flat_starts.take(entry) + self.base[1]
-        behind = np.flatnonzero(self.flat.take(place + 1) <= wanted)
+        wanted += self.base[1]
+        after = place + 1
+        behind = np.flatnonzero(self.flat.take(after) <= wanted - after)
         if len(behind):                                        # at most as many shares on as may start in an entry
-            here, goal, final = place.take(behind) + 1, wanted.take(behind), self.final.take(behind)
+            here, goal, final = after.take(behind), wanted.take(behind), self.final.take(behind)
             stride = 1 << (self.bits - LOOKUP_BITS)
             while stride > 1:
                 stride >>= 1
                 after = np.minimum(here + stride, final)
-                here = np.where(self.flat.take(after) <= goal, after, here)
+                here = np.where(self.flat.take(after) <= goal - after, after, here)
             place[behind] = here
         ids = np.where(target < self.guessed, self.guesses[1], place - self.base[1])
         return np.where(target < self.top2, self.guesses[0], ids)

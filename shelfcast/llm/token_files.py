@@ -21,9 +21,8 @@ Reading checks the sections' crc32 and, after decoding, that of every block's
 bytes followed by its ids as 32-bit numbers.
 
 Words between spaces and line ends are encoded once and looked up after that, in
-Arrow arrays; a Python worker remembers them from task to task.  Distinct words that hold no added token pass the
-tokenizer's normaliser and patterns together, and its model piece by piece;
-words of a-z go to the model at once.  This gives the ids of the whole text: the tokenizer's patterns
+Arrow arrays; a Python worker remembers them from task to task.  Distinct words that hold no added token go to the
+tokenizer together or pass its normaliser, patterns and model in turn.  This gives the ids of the whole text: the tokenizer's patterns
 match no white space, and its normaliser works on characters.  A tokenizer
 whose pre-tokenizer does match white space needs ``by_word=False``.
 
@@ -57,9 +56,12 @@ from shelfcast.llm.token_codec import decode_blocks, encode_blocks
 FILE_IDS = 8 << 20       # ids after which a file ends (at a document's end)
 BLOCK_IDS = 2048
 CHUNK_CHARS = 8 << 20    # bytes of text that are encoded at a time
-MEMO_CHARS = 8 << 20     # characters of remembered words per Python worker
+MEMO_CHARS = 12 << 20    # characters of remembered words per Python worker
 _MAGIC, _VERSION = b"TIDS", 2
+WORDS_TOGETHER = 200     # words that are encoded in one text
 _LETTERS = re.compile("[a-z]+")
+#: A run of ASCII signs, no apostrophe, after a letter that stays one letter in lower case.
+_MARKED = "[a-zß-öø-ÿ]([!-&(-/:-@\\[-`{-~]+)"
 _FILE_BITS = 24          # files per task, in the file's number
 
 FILES = "file long, n_docs long, n_ids long, data binary"
@@ -87,6 +89,12 @@ class WordEncoder:
         self.tokenizer, self.by_word = tokenizer, by_word
         self.direct = by_word and self._leaves_letters_alone()
         added = [re.escape(a.content) for a in tokenizer.get_added_tokens_decoder().values()]
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.is_end = None                                     # of each id, whether it ends a piece
+        if suffix:
+            vocabulary = tokenizer.get_vocab()
+            self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.held = re.compile("|".join([r"\s", r"\A\Z", *added]), re.IGNORECASE)
         self._forget()
 
@@ -106,14 +114,36 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letter_ids(self, words: list[str], out: list[list[int]], places: list[int]) -> list[int]:
+        """Fills the ids of words of letters, many encoded in one text, and returns
+        the places that are left.  Such a word has one piece at least, and a piece
+        one id that ends it; as many ends as words tell that each word has one."""
+        left: list[int] = []
+        for i in range(0, len(places), WORDS_TOGETHER):
+            part = places[i:i + WORDS_TOGETHER]
+            ids = self._ids([" ".join([words[p] for p in part])])[0]
+            ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                left += part
+                continue
+            at = 0
+            for p, end in zip(part, ends):
+                out[p] = ids[at:end]
+                at = end
+        return left
+
     def _word_ids(self, words: list[str]) -> list[list[int]]:
-        """As ``_ids``; many words pass the normaliser and the patterns in one
-        string, and the model is asked for each distinct piece."""
+        """As ``_ids``; words of a-z go to the model, others of letters into texts
+        of many, the rest pass the normaliser and the patterns in one string, and
+        the model is asked for each distinct piece."""
         if not self.direct:
             return self._ids(words)
         model, plain, held = self.tokenizer.model.tokenize, _LETTERS.fullmatch, self.held.search
         out = [[t.id for t in model(w)] if plain(w) else [] for w in words]
         rest = [i for i, ids in enumerate(out) if not ids]
+        if self.is_end is not None:
+            lettered = [i for i in rest if words[i].isalpha()]
+            rest = [i for i in rest if not words[i].isalpha()] + self._letter_ids(words, out, lettered)
         apart = [i for i in rest if held(words[i])]            # with an added token or white space, or empty
         if apart:
             rest = [i for i in rest if not held(words[i])]
@@ -138,14 +168,16 @@ class WordEncoder:
 
     @staticmethod
     def _stems(words: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """ASCII words in lower case, a last punctuation mark apart: both are
-        what the normaliser and the patterns make of them (a word with ``<|``
-        may hold an added token, which is matched before)."""
-        simple = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
-        words = pc.if_else(simple, pc.ascii_lower(words), words)
-        marked = pc.and_(simple, pc.match_substring_regex(words, r"[a-z][.,;:!?]\z"))
-        return (pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words),
-                pc.if_else(marked, pc.utf8_slice_codeunits(words, -1), ""))
+        """ASCII words in lower case; a last run of punctuation and signs after a
+        letter apart: both are what the normaliser and the patterns make of them
+        (a word with ``<|`` may hold an added token, which is matched before)."""
+        free = pc.invert(pc.match_substring(words, "<|"))
+        words = pc.if_else(pc.and_(free, pc.string_is_ascii(words)), pc.ascii_lower(words), words)
+        marked = pc.and_(free, pc.match_substring_regex(words, _MARKED + "$"))
+        parts = pc.extract_regex(words.filter(marked), "(?s)^(?P<stem>.*" + _MARKED.replace("](", "])(?P<mark>") + "$")
+        stem, mark = parts.field("stem"), parts.field("mark")
+        return (pc.replace_with_mask(words, marked, stem),
+                pc.replace_with_mask(pa.array(np.full(len(words), ""), pa.string()), marked, mark))
 
     def _numbered(self, words: pa.Array) -> np.ndarray:
         """The words' numbers among the stems; ids of new ones are made."""

@@ -135,3 +135,43 @@ def test_query_over_the_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = sorted(tuple(r) for r in op12_token_files(spark, sf_dir).collect())
     assert found == expected(sorted(rows))
+
+
+def test_few_words_are_encoded_one_by_one():
+    """Words go to the tokenizer together or to its parts; only those that may hold
+    an added token, white space or nothing have a call of their own."""
+    encoder, alone = T.WordEncoder(TOKENIZER), []
+    one_by_one = encoder._ids
+    encoder._ids = lambda words: alone.extend(words) or one_by_one(words)
+    letters = np.array(list("abehorstéüß"))
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) + str(rng.choice(["", ".", "***", "'s", "7"]))
+             for _ in range(3000)]
+    texts = [" ".join(words[i:i + 100]) for i in range(0, 3000, 100)]
+    texts += ["H̱ J̌ ̈a İ. Σς a̸≠ <|endoftext|>x A<|ENDOFTEXT|> don't. it's, a\x1cb \x85"]
+    ids, sizes = encoder.encode(texts, 2)
+    assert ids.tolist() == [i for t in texts for i in whole(t)]
+    assert sizes.tolist() == [len(whole(t)) for t in texts]
+    assert len(alone) < len(set(words)) / 50
+
+
+def test_a_worker_remembers_words_between_tasks(monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        model = f.read()
+    first = T._encoder(model, True).encode(["Some words, some MORE words."], 2)[0].tolist()
+    asked = []
+    encoder = T._encoder(model, True)
+    monkeypatch.setattr(encoder, "_word_ids", lambda words: asked.extend(words) or [[]] * len(words))
+    assert encoder.encode(["some more words. Some words,"], 2)[0].tolist() == whole("some more words. Some words,")
+    assert first == whole("Some words, some MORE words.") and asked == []
+    monkeypatch.undo()
+    monkeypatch.setattr(T, "MEMO_CHARS", 0)      # what is forgotten is asked for again
+    assert encoder.encode(["more words"], 2)[0].tolist() == whole("more words")
+
+
+def test_ranks_by_falling_count():
+    for big in (0, 1 << 30):
+        ids = np.array([7, 5, 5, 9, 9, 9, 5, 9, 3], np.int64) + big
+        distinct, counts, ranks = T._ranked(ids)
+        assert (distinct - big).tolist() == [3, 5, 7, 9] and counts.tolist() == [1, 3, 1, 4]
+        assert ranks.tolist() == [3, 1, 1, 0, 0, 0, 1, 0, 2]
