@@ -215,24 +215,25 @@ class Mixer:
 
 
 def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes whose first word is settled, or whose interval is too narrow to go on."""
+    """Lanes whose first word is settled, or whose interval is too narrow to go
+    on; one that is narrow across a word's end is cut there, in ``span``."""
     differ = low + span
     differ ^= low
-    return np.flatnonzero((differ < _SETTLED) | (span < _LEAST))
+    settled, narrow = differ < _SETTLED, span < _LEAST
+    across = np.flatnonzero(narrow > settled)
+    if len(across):
+        span[across] = (~low.take(across) + _U64(1)) & (_LEAST - _U64(1))
+    return np.flatnonzero(settled | narrow)
 
 
 def _shifted(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interval of unsettled lanes once a word is out, one across a word's end
-    being cut there; and those that are unsettled again."""
-    narrow = np.flatnonzero(span < _LEAST)
-    if len(narrow):
-        part, width = low[narrow], span[narrow]
-        across = (part ^ (part + width)) >= _SETTLED
-        span[narrow] = np.where(across, (~part + _U64(1)) & (_LEAST - _U64(1)), width)
+    """Intervals once a word is out, and those that are unsettled again: they
+    are narrower than a settled one."""
     low, span = low << _WORD, span << _WORD
-    # An interval that is settled again, or too narrow, is narrower than a settled one.
-    again = _unsettled(low, span) if span.min() < _SETTLED else narrow[:0]
-    return low, span, again
+    return low, span, _unsettled(low, span) if span.min() < _SETTLED else _NONE
+
+
+_NONE = np.zeros(0, np.int64)
 
 
 class Encoder:
